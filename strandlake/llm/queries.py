@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP1_SQL, op1_decontaminate
 from .jaccard import op10_jaccard_join
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL}
