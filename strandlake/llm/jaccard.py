@@ -40,16 +40,43 @@ def needed(na, nb, percent: int):
     return -((-percent * (na + nb)) // (100 + percent))
 
 
-def group_counts(s: np.ndarray) -> np.ndarray:
-    """Counts of a sorted set in G groups of the hash range; G is a power of two near a quarter of its size."""
+def point(s: np.ndarray) -> tuple[bytes, bytes]:
+    """Group counts of a sorted set, and the parity bits of eight times as many cells of its hashes' low bits.
+
+    The number of groups is a power of two near a third of the set's size, so a pair compares at the coarser of its two.
+    """
     g = max(4, min(12, int(len(s) // 4).bit_length()))
-    return np.bincount((s >> np.uint64(64 - g)).astype(np.int64), minlength=1 << g).astype(np.uint16)
+    counts = np.bincount((s >> np.uint64(64 - g)).astype(np.int64), minlength=1 << g)
+    cells = np.bincount((s & np.uint64((8 << g) - 1)).astype(np.int64), minlength=8 << g)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint16).tobytes(), np.packbits((cells & 1).astype(bool)).tobytes()
+
+
+def counts_of(raw: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8 if len(raw) == size else np.uint16)
 
 
 def coarser(c: np.ndarray, size: int) -> np.ndarray:
+    """Group counts of fewer groups."""
     return c if len(c) == size else c.reshape(size, -1).sum(1)
 
 
+def folded(p: np.ndarray, size: int) -> np.ndarray:
+    """Parity bytes of fewer cells."""
+    while len(p) > size:
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    return p
+
+
+def may_link(na: int, nb: int, ca: bytes, cb: bytes, pa: bytes, pb: bytes, percent: int) -> bool:
+    """False only if the summed minima or the odd cells (each holds a shingle of one set alone) rule a link out."""
+    x, y = counts_of(ca, len(pa)), counts_of(cb, len(pb))
+    g, least = min(len(x), len(y)), needed(na, nb, percent)
+    if int(np.minimum(coarser(x, g), coarser(y, g)).sum(dtype=np.int64)) < least:
+        return False
+    odd = np.bitwise_count(folded(np.frombuffer(pa, np.uint8), g) ^ folded(np.frombuffer(pb, np.uint8), g)).sum(dtype=np.int64)
+    return na + nb - odd >= 2 * least
+
+
 class CountTree:
     """R-tree over group counts, packed by sorting and tiling; finds pairs whose bound reaches the needed overlap."""
 
@@ -100,7 +127,7 @@ class CountTree:
 
 
 def _describe(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, k1, k2, prefix, counts) of every row."""
+    """(doc_id, n, k1, k2, prefix, counts, odd) of every row."""
 
     def fold(b: pa.RecordBatch, total: np.ndarray) -> None:
         for part in words.pieces(b, "text"):
@@ -117,7 +144,7 @@ def _describe(docs: DataFrame, k: int, percent: int) -> DataFrame:
         order = sent.value
         for batch in batches:
             for part in words.pieces(batch, "text"):
-                n, k1, k2, prefixes, counts = [], [], [], [], []
+                n, k1, k2, prefixes, counts, odd = [], [], [], [], [], []
                 for s in words.shingle_sets(part.column(1), k):
                     n.append(len(s))
                     m = words.mix(s)
@@ -126,39 +153,38 @@ def _describe(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     if not len(s):
                         prefixes.append(np.zeros(0, np.int64))
                         counts.append(b"")
+                        odd.append(b"")
                         continue
                     length = len(s) - -(-percent * len(s) // 100) + 1
                     c = order[(s >> np.uint64(64 - CELLS_LOG2)).astype(np.int64)]
                     first = s[:length] if not c.any() else s[np.argsort(c, kind="stable")[:length]]
                     prefixes.append(first.view(np.int64))
-                    counts.append(group_counts(s).tobytes())
+                    c, p = point(s)
+                    counts.append(c)
+                    odd.append(p)
                 ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(ends, flat), pa.array(counts, pa.binary())],
-                    names=["doc_id", "n", "k1", "k2", "prefix", "counts"],
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(ends, flat), pa.array(counts, pa.binary()), pa.array(odd, pa.binary())],
+                    names=["doc_id", "n", "k1", "k2", "prefix", "counts", "odd"],
                 )
 
-    return common.cut(docs.mapInArrow(describe, "doc_id long, n long, k1 long, k2 long, prefix array<long>, counts binary"), "shingles")
+    return common.cut(docs.mapInArrow(describe, "doc_id long, n long, k1 long, k2 long, prefix array<long>, counts binary, odd binary"), "shingles")
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose count bound reaches the needed overlap."""
-    both = pairs.join(points.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca")), "a")
-    both = both.join(points.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb")), "b")
+    """The pairs (a, b) that the bounds leave."""
+    both = pairs
+    for x in "ab":
+        both = both.join(points.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("counts").alias(f"c{x}"), F.col("odd").alias(f"p{x}")), x)
     both = both.where(f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = {x: b.column(b.schema.get_field_index(x)).to_pylist() for x in ("na", "nb", "ca", "cb")}
-            keep = []
-            for na, nb, ca, cb in zip(c["na"], c["nb"], c["ca"], c["cb"]):
-                x, y = np.frombuffer(ca, np.uint16), np.frombuffer(cb, np.uint16)
-                g = min(len(x), len(y))
-                keep.append(int(np.minimum(coarser(x, g), coarser(y, g)).sum()) >= needed(na, nb, percent))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            columns = [b.column(b.schema.get_field_index(x)).to_pylist() for x in ("na", "nb", "ca", "cb", "pa", "pb")]
+            yield b.select(["a", "b"]).filter(pa.array([may_link(*row, percent) for row in zip(*columns)], pa.bool_()))
 
-    return both.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(test, "a long, b long")
+    return both.select("a", "b", "na", "nb", "ca", "cb", "pa", "pb").mapInArrow(test, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -217,7 +243,7 @@ def _within(blocks: DataFrame, points: DataFrame, labels: DataFrame, percent: in
     m = m.join(kept.select("token", parts.alias("parts")), "token").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     m = m.select("doc_id", "c", "token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    m = m.join(points.select("doc_id", "n", "counts"), "doc_id").repartition(common.partitions(points), "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    m = m.join(points.select("doc_id", "n", "counts", "odd"), "doc_id").repartition(common.partitions(points), "token", "i", "j").sortWithinPartitions("token", "i", "j")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -225,15 +251,18 @@ def _within(blocks: DataFrame, points: DataFrame, labels: DataFrame, percent: in
             ids, c, n = (t[x].to_numpy() for x in ("doc_id", "c", "n"))
             if (c == c[0]).all():
                 continue
-            counts = [np.frombuffer(x, np.uint16) for x in t["counts"].to_pylist()]
-            sizes = np.array([len(x) for x in counts])
+            odd = [np.frombuffer(x, np.uint8) for x in t["odd"].to_pylist()]
+            counts = [counts_of(x, len(p)) for x, p in zip(t["counts"].to_pylist(), odd)]
+            sizes = np.array([len(x) for x in odd])
             found = []
             for g in np.unique(sizes):  # pairs at the coarser grouping of the two
                 at = np.flatnonzero(sizes >= g)
                 tree = CountTree(np.array([coarser(counts[x], g) for x in at], np.int32), n[at].astype(np.int64))
                 x, y = tree.pairs(percent, c[at])
+                cells = np.array([folded(odd[i], g) for i in at])
+                far = np.concatenate([np.bitwise_count(cells[x[k : k + 4096]] ^ cells[y[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
                 x, y = at[x], at[y]
-                ok = np.minimum(sizes[x], sizes[y]) == g
+                ok = (np.minimum(sizes[x], sizes[y]) == g) & (n[x] + n[y] - far >= 2 * needed(n[x] + n[y], 0, percent))
                 found += zip(np.minimum(ids[x[ok]], ids[y[ok]]).tolist(), np.maximum(ids[x[ok]], ids[y[ok]]).tolist())
             new = [p for p in set(found) if p not in seen and p[0] != p[1]]
             if len(seen) < 1 << 20:
@@ -241,7 +270,7 @@ def _within(blocks: DataFrame, points: DataFrame, labels: DataFrame, percent: in
             if new:
                 yield pa.RecordBatch.from_pydict({"b": pa.array([p[0] for p in new], pa.int64()), "a": pa.array([p[1] for p in new], pa.int64())})
 
-    return m.select("token", "i", "j", "doc_id", "c", "n", "counts").mapInArrow(join, "b long, a long").distinct().select("a", "b")
+    return m.select("token", "i", "j", "doc_id", "c", "n", "counts", "odd").mapInArrow(join, "b long, a long").distinct().select("a", "b")
 
 
 def similar_components(documents: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -256,7 +285,10 @@ def similar_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
     blocks = common.cut(tokens.join(shared, "token"), "blocks")
     ids = points.select("doc_id").distinct()
 
-    stars = blocks.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    # of each document's hubs, the one with most shared shingles and the smallest; step 3 finds what this leaves out
+    stars = blocks.where("doc_id <> hub").groupBy(F.col("doc_id").alias("a"), F.col("hub").alias("b")).count()
+    stars = stars.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("most"), F.min("b").alias("least"))
+    stars = common.cut(stars.select("a", F.explode(F.array_distinct(F.array("most", "least"))).alias("b")), "hubs")
     links = common.cut(_verified(common.cut(_bounded(stars, points, percent), "stars"), docs, k, percent), "links")
     labels = _labels(ids, links)
 
@@ -264,13 +296,13 @@ def similar_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
     hubs = m.groupBy("token", "c").agg(F.min("doc_id").alias("first"))
     low = hubs.groupBy("token").agg(F.min(F.struct("c", "first")).alias("low"), F.max(F.struct("c", "first")).alias("high")).where("low.c <> high.c")
     again = m.join(low, "token").select("doc_id", "c", F.explode(F.array("low", "high")).alias("x")).where("c <> x.c").select(F.col("doc_id").alias("a"), F.col("x.first").alias("b")).distinct()
-    again = again.join(stars, ["a", "b"], "left_anti")
+    again = common.cut(again.join(stars, ["a", "b"], "left_anti"), "hubs")
     links = common.cut(links.union(_verified(common.cut(_bounded(again, points, percent), "stars"), docs, k, percent)), "links")
     labels = common.cut(_labels(ids, links), "labels")
 
     rest = common.cut(_within(blocks.select("token", "doc_id"), points, labels, percent), "pairs")
-    rest = rest.join(stars, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti")
-    links = common.cut(links.union(_verified(common.cut(_bounded(rest, points, percent), "stars"), docs, k, percent)), "links")
+    rest = common.cut(rest.join(stars, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti"), "pairs")
+    links = common.cut(links.union(_verified(rest, docs, k, percent)), "links")
     final = classes.join(_labels(ids, links), classes.rep == F.col("doc_id"), "left").select("n", "k1", "k2", "c")
     out = told.select("doc_id", "n", "k1", "k2").join(final, ["n", "k1", "k2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
