@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .jaccard import op10_jaccard_join
+from .packing import op6_pack_sequences
+from .token_counts import op7_token_counts
+from .wavelet import op3_wavelet_ids
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_wavelet_ids": op3_wavelet_ids,
+    "op6_pack_sequences": op6_pack_sequences,
+    "op7_token_counts": op7_token_counts,
     "op10_jaccard_join": op10_jaccard_join,
 }
 

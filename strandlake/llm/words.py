@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+RAW_VALUES = BYTE_VALUES.copy()
 BYTE_VALUES[65:91] = BYTE_VALUES[97:123]  # A-Z count as a-z
 _P = int(_rng.integers(1, 2**62)) * 2 + 1
 _PINV = pow(_P, -1, 2**64)
@@ -104,13 +105,13 @@ def spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
     return begins, ends, np.searchsorted(begins, offsets)
 
 
-def hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of every word."""
+def hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
+    """The hash of every word; with RAW_VALUES capitals count as different."""
     if not len(begins):
         return np.zeros(0, np.uint64)
     p, inverse = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * p[: len(data)], out=sums[1:])
+    np.cumsum(values[data] * p[: len(data)], out=sums[1:])
     h = (sums[ends] - sums[begins]) * inverse[begins]
     return mix(h + (ends - begins).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
