@@ -89,6 +89,37 @@ def sketch_sum(rows: DataFrame, fold: Callable[[pa.RecordBatch, np.ndarray], Non
     return out
 
 
+FILTER_LOG2 = 23
+
+
+def _place(ids: pa.Array) -> np.ndarray:
+    x = ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - FILTER_LOG2)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame):
+    """A broadcast filter of fixed size (one MB) over a column of ids; others pass it now and then, these always."""
+
+    def fold(b: pa.RecordBatch, total: np.ndarray) -> None:
+        total[_place(b.column(0))] = 1
+
+    return ids.sparkSession.sparkContext.broadcast(np.packbits(sketch_sum(ids, fold, 1 << FILTER_LOG2) > 0))
+
+
+def passing(rows: DataFrame, key: str, sent, inside: bool = True) -> DataFrame:
+    """The rows whose key passes the filter, or those for which it surely does not. Null keys do not pass."""
+    k = rows.columns.index(key)
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(sent.value)
+        for b in batches:
+            ids = b.column(k)
+            yes = (bits[_place(ids.fill_null(0))] > 0) & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(yes == inside))
+
+    return rows.mapInArrow(test, rows.schema)
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Consecutive rows with equal keys, as tables, from batches sorted by the keys; holds one group at a time."""
     held: list[pa.RecordBatch] = []

@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .jaccard import op10_jaccard_join
+from .langid import op8_language_id
+from .near_vectors import OP9_SQL, op9_near_vectors
 from .packing import op6_pack_sequences
+from .passages import op5_repeated_passages
 from .token_counts import op7_token_counts
 from .wavelet import op3_wavelet_ids
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_wavelet_ids": op3_wavelet_ids,
+    "op5_repeated_passages": op5_repeated_passages,
     "op6_pack_sequences": op6_pack_sequences,
     "op7_token_counts": op7_token_counts,
+    "op8_language_id": op8_language_id,
+    "op9_near_vectors": op9_near_vectors,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL}
+SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op9_near_vectors": OP9_SQL}
