@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .html_text import op2_html_text
 from .jaccard import op10_jaccard_join
 from .langid import op8_language_id
+from .licenses import op4_license_scan
 from .near_vectors import OP9_SQL, op9_near_vectors
 from .packing import op6_pack_sequences
 from .passages import op5_repeated_passages
@@ -13,7 +15,9 @@ from .wavelet import op3_wavelet_ids
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_html_text": op2_html_text,
     "op3_wavelet_ids": op3_wavelet_ids,
+    "op4_license_scan": op4_license_scan,
     "op5_repeated_passages": op5_repeated_passages,
     "op6_pack_sequences": op6_pack_sequences,
     "op7_token_counts": op7_token_counts,
