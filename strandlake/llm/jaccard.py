@@ -5,7 +5,8 @@ counts, and the overlap of two documents is at most the sum of the coordinate mi
 all documents would compare nearly all of them, because the points of unrelated documents of one size lie close
 together; so trees are built per block of documents that share a shingle of their prefixes (the first
 n - ceil(t n) + 1 shingles of a fixed global order, of which two similar documents always share one). The order puts
-shingles of common sketch cells last, so that shared passages and boilerplate seldom make blocks.
+shingles of common sketch cells last, so that shared passages and boilerplate seldom make blocks. Blocks with the same
+smallest document, their hub, are one block.
 
 Links are only needed up to their components:
 1. equal sets form one class, with the smallest doc_id as its member;
@@ -32,7 +33,6 @@ from . import common, words
 
 CELLS_LOG2 = 20
 CHUNK = 256
-FILTER_LOG2 = 23
 
 
 def needed(na, nb, percent: int):
@@ -189,24 +189,10 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose texts link. Pairs of one b are dealt in chunks, each with b's text."""
-    spark = docs.sparkSession
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
-    def fold(b: pa.RecordBatch, total: np.ndarray) -> None:
-        x = words.mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-        total[np.unique((x >> np.uint64(64 - FILTER_LOG2)).astype(np.int64))] = 1
-
     # a filter of fixed size lets most other texts go before the shuffle; the join decides
-    seen = spark.sparkContext.broadcast(np.packbits(common.sketch_sum(ids, fold, 1 << FILTER_LOG2) > 0))
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(seen.value)
-        for b in batches:
-            b = b.filter(b.column(0).is_valid())
-            x = words.mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-            yield b.filter(pa.array(bits[(x >> np.uint64(64 - FILTER_LOG2)).astype(np.int64)] > 0))
-
-    texts = docs.mapInArrow(likely, "doc_id long, text string")
+    texts = common.passing(docs, "doc_id", common.id_filter(ids))
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(1 << 10)))
     sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias("parts"))
     salted = salted.join(sizes, "b").select("a", "b", F.pmod("salt", "parts").alias("salt"))
@@ -236,18 +222,16 @@ def _labels(ids: DataFrame, links: DataFrame) -> DataFrame:
 
 def _within(blocks: DataFrame, points: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """All candidate pairs of different components in blocks, each block in chunks of bounded size."""
-    m = blocks.join(labels, "doc_id")
-    kept = m.groupBy("token").agg(F.count("*").alias("members"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("content"))
-    kept = kept.where("c0 <> c1").groupBy("members", "content").agg(F.min("token").alias("token"))  # blocks of the same members once
-    parts = F.ceil(F.col("members") / F.lit(CHUNK)).cast("int")
-    m = m.join(kept.select("token", parts.alias("parts")), "token").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    m = blocks.select("hub", "doc_id").join(labels, "doc_id")
+    kept = m.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("parts"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").drop("c0", "c1")
+    m = m.join(kept, "hub").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    m = m.select("doc_id", "c", "token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    m = m.join(points.select("doc_id", "n", "counts", "odd"), "doc_id").repartition(common.partitions(points), "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    m = m.select("doc_id", "c", "hub", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    m = m.join(points.select("doc_id", "n", "counts", "odd"), "doc_id").repartition(common.partitions(points), "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for t in common.groups(batches, ["token", "i", "j"]):
+        for t in common.groups(batches, ["hub", "i", "j"]):
             ids, c, n = (t[x].to_numpy() for x in ("doc_id", "c", "n"))
             if (c == c[0]).all():
                 continue
@@ -270,41 +254,45 @@ def _within(blocks: DataFrame, points: DataFrame, labels: DataFrame, percent: in
             if new:
                 yield pa.RecordBatch.from_pydict({"b": pa.array([p[0] for p in new], pa.int64()), "a": pa.array([p[1] for p in new], pa.int64())})
 
-    return m.select("token", "i", "j", "doc_id", "c", "n", "counts", "odd").mapInArrow(join, "b long, a long").distinct().select("a", "b")
+    return m.select("hub", "i", "j", "doc_id", "c", "n", "counts", "odd").mapInArrow(join, "b long, a long").distinct().select("a", "b")
 
 
 def similar_components(documents: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """One row per row of documents: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     docs = common.one_column(documents, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
     told = _describe(docs, k, percent)
-    classes = common.cut(told.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    points = told.where("n > 0").join(classes.where("rep is not null").select(F.col("rep").alias("doc_id"), "n", "k1", "k2"), ["doc_id", "n", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "n", "k1", "k2"])
-    points = common.cut(points, "points")
+    rows = common.cut(told.select("doc_id", "n", "k1", "k2"), "rows")
+    classes = common.cut(rows.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
+    key = ["doc_id", "n", "k1", "k2"]
+    points = told.where("n > 0").join(classes.where("rep is not null").withColumnRenamed("rep", "doc_id"), key, "left_semi").dropDuplicates(key)
+    points = common.cut(points.drop("k1", "k2"), "points")
+    common.drop(told)
     tokens = points.select(F.explode("prefix").alias("token"), "doc_id")
     shared = tokens.groupBy("token").agg(F.count("*").alias("members"), F.min("doc_id").alias("hub")).where("members > 1").drop("members")
-    blocks = common.cut(tokens.join(shared, "token"), "blocks")
+    # blocks of one hub, the smallest member, make one; two members of a block are thus in one still
+    blocks = common.cut(tokens.join(shared, "token").groupBy("doc_id", "hub").count(), "blocks")
     ids = points.select("doc_id").distinct()
 
     # of each document's hubs, the one with most shared shingles and the smallest; step 3 finds what this leaves out
-    stars = blocks.where("doc_id <> hub").groupBy(F.col("doc_id").alias("a"), F.col("hub").alias("b")).count()
+    stars = blocks.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"), "count")
     stars = stars.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("most"), F.min("b").alias("least"))
     stars = common.cut(stars.select("a", F.explode(F.array_distinct(F.array("most", "least"))).alias("b")), "hubs")
     links = common.cut(_verified(common.cut(_bounded(stars, points, percent), "stars"), docs, k, percent), "links")
     labels = _labels(ids, links)
 
     m = blocks.join(labels, "doc_id")
-    hubs = m.groupBy("token", "c").agg(F.min("doc_id").alias("first"))
-    low = hubs.groupBy("token").agg(F.min(F.struct("c", "first")).alias("low"), F.max(F.struct("c", "first")).alias("high")).where("low.c <> high.c")
-    again = m.join(low, "token").select("doc_id", "c", F.explode(F.array("low", "high")).alias("x")).where("c <> x.c").select(F.col("doc_id").alias("a"), F.col("x.first").alias("b")).distinct()
+    hubs = m.groupBy("hub", "c").agg(F.min("doc_id").alias("first"))
+    low = hubs.groupBy("hub").agg(F.min(F.struct("c", "first")).alias("low"), F.max(F.struct("c", "first")).alias("high")).where("low.c <> high.c")
+    again = m.join(low, "hub").select("doc_id", "c", F.explode(F.array("low", "high")).alias("x")).where("c <> x.c").select(F.col("doc_id").alias("a"), F.col("x.first").alias("b")).distinct()
     again = common.cut(again.join(stars, ["a", "b"], "left_anti"), "hubs")
     links = common.cut(links.union(_verified(common.cut(_bounded(again, points, percent), "stars"), docs, k, percent)), "links")
     labels = common.cut(_labels(ids, links), "labels")
 
-    rest = common.cut(_within(blocks.select("token", "doc_id"), points, labels, percent), "pairs")
+    rest = common.cut(_within(blocks, points, labels, percent), "pairs")
     rest = common.cut(rest.join(stars, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti"), "pairs")
     links = common.cut(links.union(_verified(rest, docs, k, percent)), "links")
     final = classes.join(_labels(ids, links), classes.rep == F.col("doc_id"), "left").select("n", "k1", "k2", "c")
-    out = told.select("doc_id", "n", "k1", "k2").join(final, ["n", "k1", "k2"], "left")
+    out = rows.join(final, ["n", "k1", "k2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
 
 
