@@ -17,8 +17,9 @@ LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    told = langid.predict(docs, langid.fit(langid.training_rows(docs)))
-    return told.where(f"predicted.lang <> 'und' and predicted.score >= {LEAST_SCORE}").select(docs.columns)
+    into = common.fresh(docs.columns, "predicted")
+    told = langid.predict(docs, langid.fit(langid.training_rows(docs)), into)
+    return told.where(f"`{into}`.lang <> 'und' and `{into}`.score >= {LEAST_SCORE}").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

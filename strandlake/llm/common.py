@@ -46,6 +46,14 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """The name, made longer until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(df: DataFrame, least: int = 12) -> int:
     """Shuffle partitions of the session, for explicit repartitioning."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -171,8 +171,10 @@ def _shards(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
 HITS = "n_words long, spans array<struct<begin:int,end:int>>, chars array<struct<begin:int,end:int>>, items array<string>"
 
 
-def match(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """All columns of documents, and match struct<n_words, spans (of words), chars (the same in bytes), items>."""
+def match(documents: DataFrame, benchmark: DataFrame, window: int = 10, into: str = "match") -> DataFrame:
+    """All columns of documents, and `into` struct<n_words, spans (of words), chars (the same in bytes), items>."""
+    if common.fresh(documents.columns, into) != into:
+        raise ValueError(f"documents have a column {into}")
     out = documents
     text = documents.columns.index("text")
     spark = documents.sparkSession
@@ -211,9 +213,9 @@ def match(documents: DataFrame, benchmark: DataFrame, window: int = 10) -> DataF
                     span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
                     col = pa.array(rows, pa.struct([("n_words", pa.int64()), ("spans", span), ("chars", span), ("items", pa.list_(pa.string()))]))
                     kept = part.columns[:-1] if later else part.columns
-                    yield pa.RecordBatch.from_arrays([*kept, col], names=[*part.schema.names[: len(kept)], "match"])
+                    yield pa.RecordBatch.from_arrays([*kept, col], names=[*part.schema.names[: len(kept)], into])
 
-        out = out.mapInArrow(hits, ", ".join([*fields, f"match {kind}"]))
+        out = out.mapInArrow(hits, ", ".join([*fields, f"`{into}` {kind}"]))
     return out
 
 
@@ -222,18 +224,20 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10,
 
     Clean documents stay as they are. n_chars, if there, is set anew where text is cut.
     """
-    m = match(documents, benchmark, window)
-    hit = F.aggregate("match.spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["begin"])
-    m = m.where(hit <= F.lit(max_coverage) * F.col("match.n_words"))
+    into = common.fresh(documents.columns, "match")
+    m = match(documents, benchmark, window, into)
+    found = F.col(into)
+    hit = F.aggregate(found["spans"], F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["begin"])
+    m = m.where(hit <= F.lit(max_coverage) * found["n_words"])
     raw = F.encode(F.col("text"), "utf-8")
-    size = F.octet_length("text")
     # what lies between the spans
-    begins = F.concat(F.array(F.lit(0)), F.col("match.chars.end"))
-    ends = F.concat(F.col("match.chars.begin"), F.array(size))
+    begins = F.concat(F.array(F.lit(0)), found["chars"]["end"])
+    ends = F.concat(found["chars"]["begin"], F.array(F.octet_length("text")))
     parts = F.zip_with(begins, ends, lambda b, e: F.decode(F.substring(raw, b + 1, e - b), "utf-8"))
-    out = m.withColumn("text", F.when(F.size("match.spans") > 0, F.array_join(parts, " ")).otherwise(F.col("text")))
+    cut = F.size(found["spans"]) > 0
+    out = m.withColumn("text", F.when(cut, F.array_join(parts, " ")).otherwise(F.col("text")))
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.size("match.spans") > 0, F.length("text").cast(dict(documents.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(dict(documents.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return out.select(documents.columns)
 
 

@@ -115,8 +115,6 @@ def blocks(page: str) -> Blocks:
         at = m.end()
         tag = m.group(3)
         if tag is None:
-            if m.group(1):
-                close()
             continue
         tag = tag.lower()
         if tag in INLINE:

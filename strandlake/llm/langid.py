@@ -120,8 +120,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, least_rate: float = LEAST_RAT
     return LanguageFilters(sorted(totals), {k: np.array(v, np.uint32) for k, v in held.items()})
 
 
-def predict(documents: DataFrame, filters: LanguageFilters) -> DataFrame:
-    """All columns of documents, and predicted struct<lang, score>."""
+def predict(documents: DataFrame, filters: LanguageFilters, into: str = "predicted") -> DataFrame:
+    """All columns of documents, and `into` struct<lang, score>."""
+    if common.fresh(documents.columns, into) != into:
+        raise ValueError(f"documents have a column {into}")
     sent = documents.sparkSession.sparkContext.broadcast(filters)
     text = documents.columns.index("text")
 
@@ -145,10 +147,10 @@ def predict(documents: DataFrame, filters: LanguageFilters) -> DataFrame:
                         else:
                             scores[i] = 0
                 col = pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
-                yield pa.RecordBatch.from_arrays([*b.columns, col], names=[*b.schema.names, "predicted"])
+                yield pa.RecordBatch.from_arrays([*b.columns, col], names=[*b.schema.names, into])
 
     fields = [f"`{n}` {t}" for n, t in documents.dtypes]
-    return documents.mapInArrow(decide, ", ".join([*fields, "predicted struct<lang:string,score:double>"]))
+    return documents.mapInArrow(decide, ", ".join([*fields, f"`{into}` struct<lang:string,score:double>"]))
 
 
 def training_rows(documents: DataFrame) -> DataFrame:

@@ -289,11 +289,12 @@ def without_passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
     Documents without any stay as they are; those of which no word is left go. n_chars, if there, is set anew.
     """
     found = common.cut(passages(documents, least), "passages")
-    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("begin_word", "end_word")).alias("spans")).withColumnRenamed("doc_id", "passage_doc_id")
+    key, other = common.fresh(documents.columns, "passage_key"), common.fresh(documents.columns, "passage_doc_id")
+    spans = found.groupBy(F.col("doc_id").alias(other)).agg(F.collect_set(F.struct("begin_word", "end_word")).alias(common.fresh(documents.columns, "spans")))
     sent = common.id_filter(found.select("doc_id"))
-    keyed = documents.withColumn("passage_key", documents["doc_id"].cast("long"))
-    clean = common.passing(keyed, "passage_key", sent, inside=False)
-    maybe = common.passing(keyed, "passage_key", sent).join(spans, F.col("passage_key") == F.col("passage_doc_id"), "left").drop("passage_doc_id")
+    keyed = documents.withColumn(key, documents["doc_id"].cast("long"))
+    clean = common.passing(keyed, key, sent, inside=False)
+    maybe = common.passing(keyed, key, sent).join(spans, F.col(key) == F.col(other), "left").drop(other)
     text, chars = documents.columns.index("text"), documents.columns.index("n_chars") if "n_chars" in documents.columns else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
