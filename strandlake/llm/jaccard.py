@@ -298,3 +298,18 @@ def similar_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return similar_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP10_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents
+), sh as (
+  select distinct doc_id, case when len(w) >= 5 then array_to_string(w[p:p + 4], ' ') else array_to_string(w, ' ') end s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) p from w where len(w) > 0)
+), n as (select doc_id, count(*) n from sh group by 1
+), o as (select a.doc_id a, b.doc_id b, count(*) o from sh a join sh b using (s) where a.doc_id <> b.doc_id group by 1, 2
+), links as (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * o >= 75 * (x.n + y.n - o)
+), reach(v, c) as (select doc_id, doc_id from documents union select b, c from reach join links on a = v
+), comp as (select v, min(c) c from reach group by 1)
+select d.doc_id, coalesce(n, 0)::bigint n_shingles, c component_id from documents d join comp on v = d.doc_id left join n using (doc_id)
+"""

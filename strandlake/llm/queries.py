@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .html_text import op2_html_text
-from .jaccard import op10_jaccard_join
+from .jaccard import OP10_SQL, op10_jaccard_join
 from .langid import op8_language_id
 from .licenses import op4_license_scan
 from .near_vectors import OP9_SQL, op9_near_vectors
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op9_near_vectors": OP9_SQL}
+SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op9_near_vectors": OP9_SQL, "op10_jaccard_join": OP10_SQL}
