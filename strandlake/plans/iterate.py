@@ -49,8 +49,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Alternating large-star and small-star rounds; their number grows with the logarithm of a component's size.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
-    previous = None
     while True:
+        # done when all links are stars: nobody has two centres, and no centre has one
+        twice = e.groupBy("u").count().where("count > 1").select("u")
+        chained = e.select("u").join(e.select(F.col("v").alias("u")), "u", "left_semi")
+        if not twice.union(chained).limit(1).count():
+            return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -58,14 +62,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = e1.groupBy("u").agg(F.min("v").alias("m"))
         small = e1.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         e2 = cut(small, name)
-        now = tuple(e2.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
         drop(e)
         drop(e1)
         e = e2
-        if now == previous:
-            break
-        previous = now
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
 def orbits(steps: DataFrame, name: str = "orbits") -> DataFrame:
