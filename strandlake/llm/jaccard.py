@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 
 from . import common, words
 
-CELLS_LOG2 = 20
+CELLS_LOG2 = 21
 CHUNK = 256
+BLOCK_CHUNK = 1024
 
 
 def needed(na, nb, percent: int):
@@ -40,19 +41,26 @@ def needed(na, nb, percent: int):
     return -((-percent * (na + nb)) // (100 + percent))
 
 
+def groups_of(size: int) -> int:
+    """Number of groups beside `size` parity bytes."""
+    return max(16, size // 4)
+
+
 def point(s: np.ndarray) -> tuple[bytes, bytes]:
-    """Group counts of a sorted set, and the parity bits of eight times as many cells of its hashes' low bits.
+    """Group counts of a sorted set, and the parity bits of two to four cells a shingle, by its hashes' low bits.
 
-    The number of groups is a power of two near a third of the set's size, so a pair compares at the coarser of its two.
+    Both sizes are powers of two in proportion to the set's, so a pair compares at the coarser of its two.
     """
     g = max(4, min(12, int(len(s) // 4).bit_length()))
-    counts = np.bincount((s >> np.uint64(64 - g)).astype(np.int64), minlength=1 << g)
+    k = groups_of(1 << g).bit_length() - 1
+    counts = np.bincount((s >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k)
     cells = np.bincount((s & np.uint64((8 << g) - 1)).astype(np.int64), minlength=8 << g)
     return counts.astype(np.uint8 if counts.max() < 256 else np.uint16).tobytes(), np.packbits((cells & 1).astype(bool)).tobytes()
 
 
 def counts_of(raw: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8 if len(raw) == size else np.uint16)
+    """Group counts beside `size` parity bytes."""
+    return np.frombuffer(raw, np.uint8 if len(raw) == groups_of(size) else np.uint16)
 
 
 def coarser(c: np.ndarray, size: int) -> np.ndarray:
@@ -70,8 +78,9 @@ def folded(p: np.ndarray, size: int) -> np.ndarray:
 def may_link(na: int, nb: int, ca: bytes, cb: bytes, pa: bytes, pb: bytes, percent: int) -> bool:
     """False only if the summed minima or the odd cells (each holds a shingle of one set alone) rule a link out."""
     x, y = counts_of(ca, len(pa)), counts_of(cb, len(pb))
-    g, least = min(len(x), len(y)), needed(na, nb, percent)
-    if int(np.minimum(coarser(x, g), coarser(y, g)).sum(dtype=np.int64)) < least:
+    g, least = min(len(pa), len(pb)), needed(na, nb, percent)
+    k = groups_of(g)
+    if int(np.minimum(coarser(x, k), coarser(y, k)).sum(dtype=np.int64)) < least:
         return False
     odd = np.bitwise_count(folded(np.frombuffer(pa, np.uint8), g) ^ folded(np.frombuffer(pb, np.uint8), g)).sum(dtype=np.int64)
     return na + nb - odd >= 2 * least
@@ -136,8 +145,8 @@ def _describe(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 total += np.bincount((np.concatenate(sets) >> np.uint64(64 - CELLS_LOG2)).astype(np.int64), minlength=1 << CELLS_LOG2)
 
     cells = common.sketch_sum(docs, fold, 1 << CELLS_LOG2)
-    # class 0: up to eight times the mean cell; then one class for each doubling
-    rank = np.clip(np.floor(np.log2(np.maximum(1, cells) / (8 * max(1.0, cells.mean())))) + 1, 0, 60).astype(np.uint8)
+    # class 0: up to 2.5 times the mean cell; then one class for each doubling
+    rank = np.clip(np.floor(np.log2(np.maximum(1, cells) / (2.5 * max(1.0, cells.mean())))) + 1, 0, 60).astype(np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(rank)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +232,7 @@ def _labels(ids: DataFrame, links: DataFrame) -> DataFrame:
 def _within(blocks: DataFrame, points: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """All candidate pairs of different components in blocks, each block in chunks of bounded size."""
     m = blocks.select("hub", "doc_id").join(labels, "doc_id")
-    kept = m.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("parts"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").drop("c0", "c1")
+    kept = m.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(BLOCK_CHUNK)).cast("int").alias("parts"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").drop("c0", "c1")
     m = m.join(kept, "hub").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     m = m.select("doc_id", "c", "hub", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
@@ -241,7 +250,7 @@ def _within(blocks: DataFrame, points: DataFrame, labels: DataFrame, percent: in
             found = []
             for g in np.unique(sizes):  # pairs at the coarser grouping of the two
                 at = np.flatnonzero(sizes >= g)
-                tree = CountTree(np.array([coarser(counts[x], g) for x in at], np.int32), n[at].astype(np.int64))
+                tree = CountTree(np.array([coarser(counts[x], groups_of(g)) for x in at], np.int32), n[at].astype(np.int64))
                 x, y = tree.pairs(percent, c[at])
                 cells = np.array([folded(odd[i], g) for i in at])
                 far = np.concatenate([np.bitwise_count(cells[x[k : k + 4096]] ^ cells[y[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
@@ -268,7 +277,8 @@ def similar_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
     points = common.cut(points.drop("k1", "k2"), "points")
     common.drop(told)
     tokens = points.select(F.explode("prefix").alias("token"), "doc_id")
-    shared = tokens.groupBy("token").agg(F.count("*").alias("members"), F.min("doc_id").alias("hub")).where("members > 1").drop("members")
+    # as a table of its own, so that the join below has an exchange on either side and a hot token can be split
+    shared = common.cut(tokens.groupBy("token").agg(F.count("*").alias("members"), F.min("doc_id").alias("hub")).where("members > 1").drop("members"), "hubs")
     # blocks of one hub, the smallest member, make one; two members of a block are thus in one still
     blocks = common.cut(tokens.join(shared, "token").groupBy("doc_id", "hub").count(), "blocks")
     ids = points.select("doc_id").distinct()
