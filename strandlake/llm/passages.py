@@ -229,9 +229,11 @@ def aligned_chains(documents: DataFrame) -> DataFrame:
     """(doc_id, owner, begin, end, matched): places of words in doc_id that an alignment finds in the owner."""
     docs = common.one_column(documents, "doc_id", "text").withColumn("text", F.col("text").cast("string")).where("doc_id is not null and text is not null")
     found = seeds(docs)
-    owners = found.groupBy("seed").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
+    # as a table of its own, so that the join below has an exchange on either side and a hot seed can be split
+    owners = common.cut(found.groupBy("seed").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last"), "owners")
     shared = common.cut(found.join(owners, "seed"), "seeds")
     places = shared.where("doc_id = owner").groupBy("seed").agg(F.sort_array(F.collect_set(F.struct("nth", "place"))).alias("places"))
+    places = common.cut(places, "places")
     anchors = shared.where("doc_id <> owner").join(places, "seed")
     anchors = anchors.select("doc_id", "owner", "place", F.element_at("places", F.least(F.col("nth") + 1, F.size("places")))["place"].alias("owner_place"))
     chained = common.cut(_chained(anchors), "chains")
