@@ -1,49 +1,18 @@
-"""Shared folder, cut tables, fixed-size sketches and streamed groups for the corpus operators."""
+"""Column names, fixed-size sketches and id filters for the corpus operators; tables and groups come from plans."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where unset, a local one (local master) or one in the warehouse."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        local = spark.sparkContext.master.startswith("local")
-        _own[app] = f"file://{tempfile.mkdtemp(prefix='spark-')}" if local else spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-    return _own[app]
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, so that lost executors cost no recomputation beyond it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path
-    return out
+from pyspark.sql import DataFrame
 
+from ..plans.iterate import components, cut, drop, shared_dir
+from ..plans.kernels import groups
 
-def drop(df: DataFrame) -> None:
-    """Deletes a table made by cut() that nothing reads any more."""
-    path = getattr(df, "_cut_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+__all__ = ["components", "cut", "drop", "fresh", "groups", "id_filter", "one_column", "partitions", "passing", "shared_dir", "sketch_sum"]
 
 
 def fresh(columns: list[str], name: str) -> str:
@@ -126,59 +95,3 @@ def passing(rows: DataFrame, key: str, sent, inside: bool = True) -> DataFrame:
             yield b.filter(pa.array(yes == inside))
 
     return rows.mapInArrow(test, rows.schema)
-
-
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Consecutive rows with equal keys, as tables, from batches sorted by the keys; holds one group at a time."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for b in batches:
-        n = b.num_rows
-        if not n:
-            continue
-        cols = [b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(n, bool)
-        for c in cols:
-            change[1:] |= c[1:] != c[:-1]
-        first = tuple(c[0] for c in cols)
-        if held and first != last:
-            yield pa.Table.from_batches(held)
-            held = []
-        bounds = [0, *np.flatnonzero(change).tolist(), n]
-        for lo, hi in zip(bounds[:-1], bounds[1:]):
-            if lo:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(lo, hi - lo))
-        last = tuple(c[n - 1] for c in cols)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(id, component): for every id in edges (a, b) the smallest id that its links reach.
-
-    Alternating large-star and small-star rounds; each round's pairs are a table in the shared folder. The
-    number of rounds grows with the logarithm of a component's size.
-    """
-    n = partitions(edges)
-    # pairs with u > v
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
-    previous = None
-    while True:
-        both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e1 = cut(large.distinct(), name)
-        low = e1.groupBy("u").agg(F.min("v").alias("m"))
-        small = e1.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        e2 = cut(small, name)
-        now = e2.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        drop(e)
-        drop(e1)
-        e = e2
-        if tuple(now) == previous:
-            break
-        previous = tuple(now)
-    del n
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
