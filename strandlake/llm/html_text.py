@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from . import words
 
-SAMPLE = 400
+SAMPLE = 600
 TRAIN_BLOCKS = 256
-EPOCHS = 10
+EPOCHS = 16
 PATHS, WORDS, WIDTH, HIDDEN = 1024, 1024, 12, 12
 
 _TOKEN = re.compile(
