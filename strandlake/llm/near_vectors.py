@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TABLES = 12
+TABLES = 6
 FUNCTIONS = 2
 CHUNK = 512
 SEED = 977
@@ -47,7 +47,7 @@ def buckets(vectors: np.ndarray) -> np.ndarray:
     x[:, :d] = vectors
     rng = np.random.Generator(np.random.PCG64(SEED))
     rows = np.arange(n)
-    out = np.zeros((n, TABLES, 2 * FUNCTIONS), np.int64)
+    out = np.zeros((n, TABLES, FUNCTIONS + 2), np.int64)
     for t in range(TABLES):
         first, second = [], []
         for _ in range(FUNCTIONS):
@@ -61,7 +61,7 @@ def buckets(vectors: np.ndarray) -> np.ndarray:
                 keep.append(2 * at + (y[rows, at] < 0))
         # the bucket of all best coordinates, and those with one runner-up; one of both runners-up
         choices = [first, *([*first[:f], second[f], *first[f + 1 :]] for f in range(FUNCTIONS)), second]
-        for p, choice in enumerate(choices[: 2 * FUNCTIONS]):
+        for p, choice in enumerate(choices):
             key = np.zeros(n, np.int64)
             for c in choice:
                 key = key * (2 * size) + c
@@ -114,40 +114,59 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93) -> DataFrame:
                     names=["id", "label", "size", "t", "bucket"],
                 )
 
-    key = ["label", "size", "t", "bucket"]
-    dealt = common.cut(classes.select("id", "raw", "label").mapInArrow(deal, "id long, label string, size int, t int, bucket long").distinct(), "buckets")
+    key = ["space", "t", "bucket"]
+    space = F.xxhash64("label", "size").alias("space")
+    dealt = common.cut(classes.select("id", "raw", "label").mapInArrow(deal, "id long, label string, size int, t int, bucket long").select("id", space, "t", "bucket").distinct(), "buckets")
     full = dealt.groupBy(*key).count().where("count > 1").withColumn("parts", F.ceil(F.col("count") / F.lit(CHUNK)).cast("int")).drop("count")
-    m = dealt.join(full, key).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    m = dealt.join(common.cut(full, "full"), key).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     m = m.select(*key, "id", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    m = m.join(classes.select("id", "label", "raw", "weight"), ["id", "label"]).where("octet_length(raw) = size")
-    m = m.repartition(parts, *key, "i", "j").sortWithinPartitions(*key, "i", "j")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in common.groups(batches, [*key, "i", "j"]):
-            ids, weight, part = (g[c].to_numpy() for c in ("id", "weight", "part"))
-            t, bucket, cross = g["t"][0].as_py(), g["bucket"][0].as_py(), g["i"][0].as_py() != g["j"][0].as_py()
-            x = _units(g["raw"].to_pylist())
-            near = np.triu(x @ x.T >= least - 1e-9, 1)
-            if cross:
-                near &= part[:, None] != part[None, :]
-            a, b = np.nonzero(near)
+    spaced = classes.select("id", "raw", "weight", F.xxhash64("label", F.octet_length("raw")).alias("space"))
+    m = m.join(spaced, ["id", "space"])
+    key += ["i", "j"]
+    m = m.repartition(parts, *key).sortWithinPartitions(*key)
+
+    def linked(t: pa.Table, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Links of whole blocks that lie one after the other; begins has the first row of each."""
+        n = t.num_rows
+        ids, weight, part, space_, table, bucket = (t[c].to_numpy() for c in ("id", "weight", "part", "space", "t", "bucket"))
+        cross = t["i"].to_numpy() != t["j"].to_numpy()
+        raws = t["raw"].to_pylist()
+        size = np.array([len(r) for r in raws])
+        end = np.repeat(np.append(begins[1:], n), np.diff(np.append(begins, n)))
+        for bytes_ in np.unique(size):  # a block has one size only
+            rows_ = np.flatnonzero(size == bytes_)
+            x = np.zeros((n, bytes_ // 8))
+            x[rows_] = _units([raws[i] for i in rows_])
+            near: list[np.ndarray] = []
+            left = (end - np.arange(n) - 1)[rows_]
+            for k in range(0, len(rows_), 512):
+                some, count = rows_[k : k + 512], left[k : k + 512]
+                a = np.repeat(some, count)
+                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
+                ok = ~cross[a] | (part[a] != part[b])
+                a, b = a[ok], b[ok]
+                for q in range(0, len(a), 8192):
+                    p, r = a[q : q + 8192], b[q : q + 8192]
+                    hit = np.einsum("ij,ij->i", x[p], x[r]) >= least
+                    near.append(np.stack((p[hit], r[hit])))
+            a, b = np.concatenate(near, 1) if near else np.zeros((2, 0), np.int64)
             if not len(a):
                 continue
-            exact = np.concatenate([(x[a[k : k + 8192]] * x[b[k : k + 8192]]).sum(1) for k in range(0, len(a), 8192)])
-            a, b = a[exact >= least], b[exact >= least]
-            keys = buckets(x)
-            new = np.zeros(len(a), bool)
+            used, back = np.unique(np.concatenate((a, b)), return_inverse=True)
+            keys = np.concatenate([buckets(x[used[k : k + 2048]]) for k in range(0, len(used), 2048)])
+            new, (ia, ib) = np.zeros(len(a), bool), back.reshape(2, -1)
             for k in range(0, len(a), 8192):
-                ka, kb = keys[a[k : k + 8192]], keys[b[k : k + 8192]]
+                s_ = slice(k, k + 8192)
+                ka, kb, t_ = keys[ia[s_]], keys[ib[s_]], table[a[s_]]
                 shared = (ka[:, :, :, None] == kb[:, :, None, :]).any(3)
-                first = shared.any(2).argmax(1)
-                low = np.where(shared[:, t], ka[:, t], np.iinfo(np.int64).max).min(1)
-                new[k : k + 8192] = (first == t) & (low == bucket)
+                mine = np.arange(len(t_)), t_
+                low = np.where(shared[mine], ka[mine], np.iinfo(np.int64).max).min(1)
+                new[s_] = (shared.any(2).argmax(1) == t_) & (low == bucket[a[s_]])
             a, b = a[new], b[new]
-            links = np.bincount(a, weight[b], len(ids)) + np.bincount(b, weight[a], len(ids))
-            # links of this block that are enough for its components
-            root = np.arange(len(ids))
+            links = np.bincount(a, weight[b], n) + np.bincount(b, weight[a], n)
+            # of the links, those that are enough for the components
+            root = list(range(n))
 
             def top(i: int) -> int:
                 while root[i] != i:
@@ -159,18 +178,34 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93) -> DataFrame:
             for i, j in zip(a.tolist(), b.tolist()):
                 p, q = top(i), top(j)
                 if p != q:
-                    root[max(p, q)] = min(p, q)
-                    tied[max(p, q)] = min(p, q)
+                    root[max(p, q)] = tied[max(p, q)] = min(p, q)
             some = np.flatnonzero(links)
-            yield pa.RecordBatch.from_pydict({"id": pa.array(ids[some]), "links": pa.array(links[some].astype(np.int64)), "tied": pa.array([int(ids[tied[i]]) if i in tied else None for i in some.tolist()], pa.int64()), "label": g["label"].combine_chunks().take(pa.array(some)), "size": pa.array([g["size"][0].as_py()] * len(some), pa.int32())})
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(space_[some]), pa.array(links[some].astype(np.int64)), pa.array([int(ids[tied[i]]) if i in tied else None for i in some.tolist()], pa.int64())], names=["id", "space", "links", "tied"])
 
-    found = common.cut(m.select(*key, "i", "j", "id", "part", "raw", "weight").mapInArrow(compare, "id long, links long, tied long, label string, size int"), "near")
-    links = found.groupBy("id", "label", "size").agg(F.sum("links").alias("others"))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            change = np.zeros(t.num_rows, bool)
+            for c in key:
+                v = t[c].to_numpy()
+                change[1:] |= v[1:] != v[:-1]
+            begins = np.concatenate(([0], np.flatnonzero(change)))
+            last = int(begins[-1])  # this block may go on in the next batch
+            if last:
+                yield from linked(t.slice(0, last), begins[:-1])
+            held = t.slice(last)
+        if held is not None and held.num_rows:
+            yield from linked(held, np.zeros(1, np.int64))
+
+    found = common.cut(m.select(*key, "id", "part", "raw", "weight").mapInArrow(compare, "id long, space long, links long, tied long"), "near")
+    links = found.groupBy("id", "space").agg(F.sum("links").alias("others"))
     same = rows.where("raw is not null and label is not null and vec_id is not null").join(classes, ["label", "raw"])
     edges = found.where("tied is not null").select(F.col("id").alias("a"), F.col("tied").alias("b")).union(same.where("vec_id <> id").select(F.col("vec_id").alias("a"), F.col("id").alias("b")))
     reached = common.components(edges, "vectors")
-    counted = classes.join(links.withColumnRenamed("size", "bytes"), (classes["id"] == links["id"]) & (classes["label"] == links["label"]) & (F.octet_length("raw") == F.col("bytes")), "left")
-    counted = counted.select(classes["label"], "raw", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    counted = classes.withColumn("space", F.xxhash64("label", F.octet_length("raw"))).join(links, ["id", "space"], "left")
+    counted = counted.select("label", "raw", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     out = rows.join(counted, ["label", "raw"], "left").join(reached.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), (F.coalesce("component", "vec_id") == F.col("vec_id")).alias("kept"))
 
