@@ -7,12 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.iterate import components, cut, drop, shared_dir
 from ..plans.kernels import groups
 
-__all__ = ["components", "cut", "drop", "fresh", "groups", "id_filter", "one_column", "partitions", "passing", "shared_dir", "sketch_sum"]
+__all__ = ["components", "cut", "drop", "fresh", "groups", "id_filter", "one_column", "partitions", "passing", "shared_dir", "sketch_sum", "small_batches"]
 
 
 def fresh(columns: list[str], name: str) -> str:
@@ -28,13 +28,26 @@ def partitions(df: DataFrame, least: int = 12) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: rows of an Arrow batch; whole texts are long, and every task holds a batch on either side
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows, so that workers need little memory for whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def one_column(df: DataFrame, key: str, *columns: str) -> DataFrame:
     """Only the named columns, so that extra or clashing columns do not matter; key is cast to long."""
+    small_batches(df.sparkSession)
     return df.select(df[key].cast("long").alias(key), *[df[c] for c in columns])
 
 
-def sketch_sum(rows: DataFrame, fold: Callable[[pa.RecordBatch, np.ndarray], None], size: int, parts: int = 64) -> np.ndarray:
-    """Sums, over all partitions, of an int64 array of fixed size that fold() updates from each batch.
+def sketch_sum(rows: DataFrame, fold: Callable[[pa.RecordBatch, np.ndarray], None], size: int, parts: int = 64, kind: type = np.int32) -> np.ndarray:
+    """Sums, over all partitions, of an array of fixed size that fold() updates from each batch; kind holds one task's part.
 
     Tasks send compressed pieces; each piece is summed as a stream in one of `parts` groups, and the driver
     receives `size` numbers whatever the input's size.
@@ -42,13 +55,13 @@ def sketch_sum(rows: DataFrame, fold: Callable[[pa.RecordBatch, np.ndarray], Non
     step = size // parts
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = np.zeros(size, kind)
         for b in batches:
             fold(b, total)
         for k in range(parts):
             piece = total[k * step : (k + 1) * step]
             if piece.any():
-                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "v": pa.array([zlib.compress(piece.tobytes(), 1)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "v": pa.array([zlib.compress(piece.astype(np.int64).tobytes(), 1)], pa.binary())})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -80,7 +93,7 @@ def id_filter(ids: DataFrame):
     def fold(b: pa.RecordBatch, total: np.ndarray) -> None:
         total[_place(b.column(0))] = 1
 
-    return ids.sparkSession.sparkContext.broadcast(np.packbits(sketch_sum(ids, fold, 1 << FILTER_LOG2) > 0))
+    return ids.sparkSession.sparkContext.broadcast(np.packbits(sketch_sum(ids, fold, 1 << FILTER_LOG2, kind=np.uint8) > 0))
 
 
 def passing(rows: DataFrame, key: str, sent, inside: bool = True) -> DataFrame:

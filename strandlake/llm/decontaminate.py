@@ -178,6 +178,7 @@ def match(documents: DataFrame, benchmark: DataFrame, window: int = 10, into: st
     out = documents
     text = documents.columns.index("text")
     spark = documents.sparkSession
+    common.small_batches(spark)
     fields = [f"`{n}` {t}" for n, t in documents.dtypes]
     kind = f"struct<{','.join(x.replace(' ', ':', 1) for x in HITS.split(', '))}>"
     for k, items in enumerate(_shards(benchmark)):

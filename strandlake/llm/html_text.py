@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import common, words
 
 SAMPLE = 600
 TRAIN_BLOCKS = 256
@@ -293,6 +293,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
 
 def main_text(pages: DataFrame, labeller: Labeller) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
+    common.small_batches(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(labeller)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

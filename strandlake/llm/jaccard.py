@@ -142,7 +142,7 @@ def _describe(docs: DataFrame, k: int, percent: int) -> DataFrame:
         for part in words.pieces(b, "text"):
             sets = words.shingle_sets(part.column(1), k)
             if sets:
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - CELLS_LOG2)).astype(np.int64), minlength=1 << CELLS_LOG2)
+                np.add.at(total, (np.concatenate(sets) >> np.uint64(64 - CELLS_LOG2)).astype(np.int64), 1)
 
     cells = common.sketch_sum(docs, fold, 1 << CELLS_LOG2)
     # class 0: up to 2.5 times the mean cell; then one class for each doubling

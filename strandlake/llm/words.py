@@ -71,7 +71,7 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, budget: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, budget: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts have about `budget` bytes (a longer text is a slice of its own)."""
     i = batch.schema.get_field_index(column)
     lengths = pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False)
