@@ -33,7 +33,7 @@ from . import common, words
 
 CELLS_LOG2 = 21
 CHUNK = 256
-BLOCK_CHUNK = 1024
+BLOCK_CHUNK = 1536
 
 
 def needed(na, nb, percent: int):
