@@ -93,9 +93,13 @@ class LanguageFilters:
 def fit(labelled: DataFrame, sample: int = SAMPLE, least_rate: float = LEAST_RATE) -> LanguageFilters:
     """Filters from (doc_id, text, lang); takes about `sample` texts of each language."""
     labelled = labelled.where("lang is not null and text is not null and doc_id is not null")
-    sizes = labelled.groupBy("lang").count()
+    # one number a language goes to the driver, so that no text is shuffled by its language
+    sizes = labelled.groupBy("lang").count().collect()
+    if not sizes:
+        return LanguageFilters([], {})
+    size = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], r["count"])])[F.col("lang")]
     share = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = labelled.join(sizes, "lang").where(share * F.col("count") < F.lit(sample)).select("lang", "text")
+    chosen = labelled.where(share * size < F.lit(sample)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
