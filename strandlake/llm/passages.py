@@ -8,6 +8,7 @@
    them; a Fenwick tree over the owner's places holds the best chain that ends before each place.
 4. Alignment: words in the gaps between a chain's anchors and up to FLANK words beyond its ends are fetched for both
    documents and aligned in a band; the chain grows as long as the alignment gains, and its identity is counted.
+   A lone anchor is a chain too.
 5. Passages: a document's aligned chains of at least PART words that touch (up to JOIN words apart) are joined;
    those of at least `least` words count.
 
@@ -27,12 +28,12 @@ from pyspark.sql import functions as F
 
 from . import common, words
 
-K = 7
-WINDOW = 11
+K = 5
+WINDOW = 3
 LEAST = 45
 PART = 20
 JOIN = 4
-FLANK = 32
+FLANK = 48
 BAND = 6
 MAX_GAP = 40
 GAP_COST = 0.1
@@ -151,6 +152,60 @@ def grow(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return same + top[1], same + top[2], same + top[3]
 
 
+def grow_many(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """grow() of many pairs of sequences of non-negative numbers at once, one row each."""
+    la, lb = (np.fromiter(map(len, s), np.int64, len(s)) for s in (a, b))
+    out = np.zeros((len(a), 3), np.int64)
+    if not len(a) or not min(la.max(), lb.max()):
+        return out
+    size = int(max(la.max(), lb.max()))
+    pad = np.full((2, len(a), size + 1), -1, np.int64)
+    for p, s, n in ((pad[0], a, la), (pad[1], b, lb)):
+        p[:, :size][np.arange(size) < n[:, None]] = np.concatenate(s)
+    same = ((pad[0] != pad[1]) | (pad[0] < 0)).argmax(1)
+    out[:] = same[:, None]
+    k = np.flatnonzero((same < la) & (same < lb))
+    if not len(k):
+        return out
+    at = np.minimum(same[k, None] + np.arange(size + 1), size)
+    x, y = np.take_along_axis(pad[0][k], at, 1), np.take_along_axis(pad[1][k], at, 1)
+    y = np.pad(y, ((0, 0), (BAND, BAND)), constant_values=-1)
+    nx, ny, base = la[k] - same[k], lb[k] - same[k], same[k]
+    # a cell is score * unit + matches; column o of row i is the place j = i + o - BAND
+    unit, off, none = 1024, np.arange(2 * BAND + 1), -(1 << 40)
+    j = off - BAND
+    row = np.where((j >= 0) & (j <= ny[:, None]), -j * unit, none)
+    top, best = np.zeros(len(k), np.int64), np.zeros((len(k), 3), np.int64)
+    for i in range(1, size + 1):
+        go = i <= nx
+        if not go.all():
+            out[k[~go]] = base[~go, None] + best[~go]
+            k, x, y, nx, ny, base, row, top, best = (v[go] for v in (k, x, y, nx, ny, base, row, top, best))
+        if not len(k):
+            break
+        j = i + off - BAND
+        equal = y[:, i - 1 : i + 2 * BAND] == x[:, i - 1, None]
+        new = np.where(j >= 1, row + np.where(equal, unit + 1, -unit), none)
+        new[:, :-1] = np.maximum(new[:, :-1], row[:, 1:] - unit)
+        new[:, (j < 0)] = none
+        new = np.maximum.accumulate(new + off * unit, axis=1) - off * unit
+        new[(j < 0) | (j > ny[:, None])] = none
+        score = new // unit
+        o = score.argmax(1)
+        n = np.arange(len(k))
+        most = score[n, o]
+        up = most > top
+        top[up] = most[up]
+        best[up, 0], best[up, 1], best[up, 2] = i, j[o[up]], (new - score * unit)[n, o][up]
+        go, row = most >= top - 10, new
+        if not go.all():
+            out[k[~go]] = base[~go, None] + best[~go]
+            k, x, y, nx, ny, base, row, top, best = (v[go] for v in (k, x, y, nx, ny, base, row, top, best))
+    if len(k):
+        out[k] = base[:, None] + best
+    return out
+
+
 def matches(a: np.ndarray, b: np.ndarray) -> int:
     """Matching words of a banded global alignment of two gaps."""
     if not len(a) or not len(b):
@@ -171,8 +226,31 @@ def matches(a: np.ndarray, b: np.ndarray) -> int:
 def _chained(anchors: DataFrame) -> DataFrame:
     """(chain, doc_id, owner, begin, end, owner_begin, owner_end, solid, cuts, owner_cuts) of every chain."""
 
+    names = ["doc_id", "owner", "begin", "end", "owner_begin", "owner_end", "solid", "cuts", "owner_cuts"]
+
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in common.groups(batches, ["doc_id", "owner"]):
+        lone: list[pa.RecordBatch] = []
+
+        def others() -> Iterator[pa.RecordBatch]:
+            """The batches without groups of a single anchor inside them, which are chains as they are."""
+            for b in batches:
+                d, o = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("doc_id", "owner"))
+                new = (np.diff(d) != 0) | (np.diff(o) != 0)
+                one = np.zeros(b.num_rows, bool)
+                one[1:-1] = new[:-1] & new[1:]
+                lone.append(b.filter(pa.array(one)))
+                yield b.filter(pa.array(~one))
+
+        def ready() -> Iterator[pa.RecordBatch]:
+            while lone:
+                b = lone.pop()
+                d, o, x, y = (b.column(b.schema.get_field_index(c)) for c in ("doc_id", "owner", "place", "owner_place"))
+                ends = [pa.array(v.to_numpy() + K, pa.int32()) for v in (x, y)]
+                none = pa.array([[]] * b.num_rows, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([d, o, x, ends[0], y, ends[1], pa.array([K] * b.num_rows, pa.int32()), none, none], names=names)
+
+        for t in common.groups(others(), ["doc_id", "owner"]):
+            yield from ready()
             x, y = t["place"].to_numpy().astype(np.int64), t["owner_place"].to_numpy().astype(np.int64)
             rows = []
             far = np.flatnonzero(np.diff(x) > MAX_GAP + K) + 1  # anchors further apart never share a chain
@@ -192,37 +270,40 @@ def _chained(anchors: DataFrame) -> DataFrame:
             flat = lambda g: [v for p in g for v in p]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([d] * len(rows), pa.int64()), pa.array([o] * len(rows), pa.int64()), *[pa.array([r[i] for r in rows], pa.int32()) for i in range(5)], pa.array([flat(r[5]) for r in rows], pa.list_(pa.int32())), pa.array([flat(r[6]) for r in rows], pa.list_(pa.int32()))],
-                names=["doc_id", "owner", "begin", "end", "owner_begin", "owner_end", "solid", "cuts", "owner_cuts"],
+                names=names,
             )
+        yield from ready()
 
     sorted_ = anchors.repartition(common.partitions(anchors), "doc_id").sortWithinPartitions("doc_id", "owner", "place", "owner_place")
     out = sorted_.mapInArrow(chain, "doc_id long, owner long, begin int, end int, owner_begin int, owner_end int, solid int, cuts array<int>, owner_cuts array<int>")
-    return out.where(f"end - begin >= {PART} - 2 * {FLANK} and solid > {K}").withColumn("chain", F.xxhash64("doc_id", "owner", "begin", "owner_begin", "end", "owner_end"))
+    return out.withColumn("chain", F.xxhash64("doc_id", "owner", "begin", "owner_begin", "end", "owner_end"))
 
 
 def _fetched(chained: DataFrame, documents: DataFrame) -> DataFrame:
-    """(chain, side, words, sizes): the words of every chain's gaps and flanks in one document."""
-    side = lambda s, d, lo, hi, c: chained.select(F.col(d).alias("doc_id"), F.struct("chain", F.lit(s).alias("side"), F.col(lo).alias("lo"), F.col(hi).alias("hi"), F.col(c).alias("cuts")).alias("ask"))
-    asks = side(0, "doc_id", "begin", "end", "cuts").union(side(1, "owner", "owner_begin", "owner_end", "owner_cuts"))
+    """(chain, side, doc_id, other, lo, hi, solid, words, sizes): the words of every chain's gaps and flanks in one document."""
+    side = lambda s, d, e, lo, hi, c: chained.select(F.col(d).alias("doc_id"), F.struct("chain", F.lit(s).alias("side"), F.col(e).alias("other"), F.col(lo).alias("lo"), F.col(hi).alias("hi"), "solid", F.col(c).alias("cuts")).alias("ask"))
+    asks = side(0, "doc_id", "owner", "begin", "end", "cuts").union(side(1, "owner", "doc_id", "owner_begin", "owner_end", "owner_cuts"))
     parts = asks.groupBy("doc_id").agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias("parts"))
     asks = asks.join(parts, "doc_id").groupBy("doc_id", F.pmod(F.xxhash64("ask.chain"), "parts").alias("salt")).agg(F.collect_list("ask").alias("asks"))
     texts = common.passing(documents, "doc_id", common.id_filter(parts.select("doc_id")))
+    kinds = [("chain", pa.int64()), ("side", pa.int32()), ("doc_id", pa.int64()), ("other", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("solid", pa.int32()), ("words", pa.binary()), ("sizes", pa.list_(pa.int32()))]
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in words.pieces(batch, "text"):
                 h, first = words.word_hashes(b.column(0), words.LETTER_WORDS)
                 low = (h & np.uint64(0x7FFFFFFF)).astype(np.int32)
-                out: tuple[list, ...] = ([], [], [], [])
-                for i, asks_ in enumerate(b.column(1).to_pylist()):
+                out: list[list] = [[] for _ in kinds]
+                for i, (d, asks_) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
                     w = low[first[i] : first[i + 1]]
                     for a in asks_:
                         got = [w[max(0, a["lo"] - FLANK) : a["lo"]], w[a["hi"] : a["hi"] + FLANK], *(w[lo:hi] for lo, hi in zip(a["cuts"][::2], a["cuts"][1::2]))]
-                        for col, v in zip(out, (a["chain"], a["side"], np.concatenate(got).tobytes(), [len(g) for g in got])):
+                        for col, v in zip(out, (a["chain"], a["side"], d, a["other"], a["lo"], a["hi"], a["solid"], np.concatenate(got).tobytes(), [len(g) for g in got])):
                             col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int32()))], names=["chain", "side", "words", "sizes"])
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(out, kinds)], names=[n for n, _ in kinds])
 
-    return texts.join(asks, "doc_id").select("text", "asks").mapInArrow(fetch, "chain long, side int, words binary, sizes array<int>")
+    out = texts.join(asks, "doc_id").select("text", "doc_id", "asks")
+    return out.mapInArrow(fetch, "chain long, side int, doc_id long, other long, lo int, hi int, solid int, words binary, sizes array<int>")
 
 
 def aligned_chains(documents: DataFrame) -> DataFrame:
@@ -237,22 +318,34 @@ def aligned_chains(documents: DataFrame) -> DataFrame:
     anchors = shared.where("doc_id <> owner").join(places, "seed")
     anchors = anchors.select("doc_id", "owner", "place", F.element_at("places", F.least(F.col("nth") + 1, F.size("places")))["place"].alias("owner_place"))
     chained = common.cut(_chained(anchors), "chains")
-    sides = common.cut(_fetched(chained, docs), "flanks")
-    each = lambda s: sides.where(f"side = {s}").select("chain", F.col("words").alias(f"words{s}"), F.col("sizes").alias(f"sizes{s}"))
-    both = chained.select("chain", "doc_id", "owner", "begin", "end", "solid").join(each(0), "chain").join(each(1), "chain")
+    sides = _fetched(chained, docs)
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        """Both sides of every chain, in lists of some thousand."""
+        out, sides_, last = [], ([], []), None
         for b in batches:
-            begin, end, matched = [], [], []
-            for lo, hi, solid, w0, s0, w1, s1 in zip(*(b.column(i).to_pylist() for i in range(2, 9))):
-                p0, p1 = (np.split(np.frombuffer(w, np.int32), np.cumsum(s)[:-1]) for w, s in ((w0, s0), (w1, s1)))
-                left, right = grow(p0[0][::-1], p1[0][::-1]), grow(p0[1], p1[1])
-                begin.append(lo - left[0])
-                end.append(hi + right[0])
-                matched.append(solid + left[2] + right[2] + sum(matches(x, y) for x, y in zip(p0[2:], p1[2:])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(matched, pa.int32())], names=["doc_id", "owner", "begin", "end", "matched"])
-
-    out = both.select("doc_id", "owner", "begin", "end", "solid", "words0", "sizes0", "words1", "sizes1").mapInArrow(align, "doc_id long, owner long, begin int, end int, matched int")
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                if r[0] != last:
+                    out += [(x, y) for x in sides_[0] for y in sides_[1]]
+                    sides_, last = ([], []), r[0]
+                    if len(out) >= 4000:
+                        yield out
+                        out = []
+                sides_[r[1]].append(r)
+        yield out + [(x, y) for x in sides_[0] for y in sides_[1]]
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for both in pairs(batches):
+            p0, p1 = ([np.split(np.frombuffer(p[s][7], np.int32), np.cumsum(p[s][8])[:-1]) for p in both] for s in (0, 1))
+            left = grow_many([p[0][::-1] for p in p0], [p[0][::-1] for p in p1])
+            right = grow_many([p[1] for p in p0], [p[1] for p in p1])
+            get = lambda i: np.array([p[0][i] for p in both], np.int64)
+            inner = np.array([sum(matches(x, y) for x, y in zip(u[2:], v[2:])) for u, v in zip(p0, p1)], np.int64)
+            cols = get(2), get(3), get(4) - left[:, 0], get(5) + right[:, 0], get(6) + left[:, 2] + right[:, 2] + inner
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc_id", "owner", "begin", "end", "matched"])
+
+    sorted_ = sides.repartition(common.partitions(sides), "chain").sortWithinPartitions("chain", "side")
+    out = sorted_.mapInArrow(align, "doc_id long, owner long, begin int, end int, matched int")
     return out.where(f"end - begin >= {PART} and matched >= 0.6 * (end - begin)")
 
 

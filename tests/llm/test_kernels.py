@@ -133,6 +133,18 @@ def test_extension_alignment():
     assert passages.matches(np.array([1, 2, 3]), np.array([1, 9, 3])) == 2
 
 
+def test_many_sequences_grow_like_one():
+    rng = np.random.default_rng(3)
+    a, b = [], []
+    for n in range(400):
+        x = rng.integers(0, rng.choice([2, 5, 1000]), rng.integers(0, passages.FLANK + 1)).astype(np.int32)
+        y = np.array([v for w in x for v in ([w] if rng.random() < 0.85 else [[], [7], [w, 8]][rng.integers(3)])], np.int32)[: rng.integers(0, passages.FLANK + 1)]
+        a.append(x)
+        b.append(y if n % 4 else rng.integers(0, 5, len(x)).astype(np.int32))
+    assert [tuple(r) for r in passages.grow_many(a, b).tolist()] == [passages.grow(x, y) for x, y in zip(a, b)]
+    assert passages.grow_many([], []).shape == (0, 3)
+
+
 def test_license_alignment_with_edits():
     index = licenses.Index(licenses.TEMPLATES)
     text = "some words before permission is hereby granted free of charge to ANY company obtaining a copy of this software and documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software and after"

@@ -100,6 +100,29 @@ def test_passages_are_found_after_their_first_document(spark, rows):
         assert kept[d]["n_chars"] == len(kept[d]["text"]) and words_of(kept[d]["text"]) == [x for i, x in enumerate(words_of(texts[d])) if i not in spans[d]]
 
 
+def planted(rng, n, changed, even):
+    """A passage and its copy with changed words, evenly spaced or not, none near the ends."""
+    p = prose(rng, n, 10**6).split()
+    q = p.copy()
+    for i in [(k + 1) * n // (changed + 1) for k in range(changed)] if even else rng.sample(range(3, n - 3), changed):
+        q[i] = f"x{rng.randrange(10**6)}"
+    return p, q
+
+
+def test_passages_with_changed_words(spark):
+    rng, rows, want = random.Random(4), [], {}
+    for k in range(100):
+        p, q = planted(rng, *[(51, 5, True), (51, 7, True), (51, 6, False), (51, 8, False), (60, 4, True)][k % 5])
+        rows += [(2 * k, " ".join([prose(rng, 40, 10**6), *p, prose(rng, 40, 10**6)])), (2 * k + 1, " ".join([prose(rng, 60, 10**6), *q, prose(rng, 30, 10**6)]))]
+        want[2 * k + 1] = {i for i, w in enumerate(q, 60) if w in p}
+    got = defaultdict(set)
+    for r in passages.passages(docs(spark, rows)).collect():
+        assert r["first_doc_id"] == r["doc_id"] - 1
+        got[r["doc_id"]] |= set(range(r["begin_word"], r["end_word"]))
+    # brute force knows the words of every copy that stand in the passage
+    assert [d for d in want if not want[d] <= got[d]] == []
+
+
 def test_passages_of_nothing(spark):
     assert passages.passages(docs(spark, [])).count() == 0
     assert passages.without_passages(docs(spark, [])).count() == 0
