@@ -3,7 +3,8 @@
 1. Seeds: of the hashes of all runs of K words, the smallest of every WINDOW neighbours (so any shared run of
    K + WINDOW - 1 words has a common seed). Words are lower-cased runs of letters and digits.
 2. A seed that several documents hold belongs to the smallest of their doc_ids, the owner. The n-th place of that seed
-   in another document and the n-th (or else the last) in the owner are an anchor. So n copies give n - 1 anchors.
+   in another document and the n-th (or else the last) in the owner are an anchor, and so are those in a document and
+   in the one before it that holds the seed. So n copies give at most 2 n - 3 anchors.
 3. Chains: anchors of a document and an owner in increasing order of both places, with a cost for every word between
    them; a Fenwick tree over the owner's places holds the best chain that ends before each place.
 4. Alignment: words in the gaps between a chain's anchors and up to FLANK words beyond its ends are fetched for both
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, words
@@ -38,6 +39,9 @@ BAND = 6
 MAX_GAP = 40
 GAP_COST = 0.1
 CHUNK = 256
+#: places of a seed beyond which its documents are dealt over SPREAD ranges of ids
+HOT = 2000
+SPREAD = 64
 
 
 def winnow(r: np.ndarray, valid: np.ndarray, window: int) -> np.ndarray:
@@ -306,17 +310,36 @@ def _fetched(chained: DataFrame, documents: DataFrame) -> DataFrame:
     return out.mapInArrow(fetch, "chain long, side int, doc_id long, other long, lo int, hi int, solid int, words binary, sizes array<int>")
 
 
+def _before(shared: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, owner, place, owner_place): anchors with the document before that holds the seed, unless it is the owner."""
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / SPREAD for i in range(1, SPREAD)], 2000)).first()[0] or []
+    ranges = F.lit(0)
+    for c in sorted(set(cuts)):
+        ranges = ranges + (F.col("doc_id") > c).cast("int")
+    rows = shared.withColumn("part", F.when(F.col("n") > HOT, ranges).otherwise(0))
+    places = F.sort_array(F.collect_set(F.struct("nth", "place"))).alias("places")
+    held = lambda r: r.repartition("seed", "part").groupBy("seed", "part", "doc_id", "owner").agg(places).withColumn("it", F.struct("doc_id", "places"))
+    near = held(rows).select("it", "owner", F.lag("it").over(Window.partitionBy("seed", "part").orderBy("doc_id")).alias("prev"))
+    # the first of a hot seed's range follows the last of the range before
+    ends = held(rows.where(F.col("n") > HOT)).groupBy("seed", "part", "owner").agg(F.min("it").alias("it"), F.max("it").alias("last"))
+    far = ends.select("it", "owner", F.lag("last").over(Window.partitionBy("seed").orderBy("part")).alias("prev"))
+    both = near.union(far).where("prev.doc_id <> owner")
+    at = F.transform("it.places", lambda p: F.struct(p["place"].alias("place"), F.element_at("prev.places", F.least(p["nth"] + 1, F.size("prev.places")))["place"].alias("owner_place")))
+    return both.select(F.col("it.doc_id").alias("doc_id"), F.col("prev.doc_id").alias("owner"), F.explode(at).alias("at")).select("doc_id", "owner", "at.place", "at.owner_place")
+
+
 def aligned_chains(documents: DataFrame) -> DataFrame:
     """(doc_id, owner, begin, end, matched): places of words in doc_id that an alignment finds in the owner."""
     docs = common.one_column(documents, "doc_id", "text").withColumn("text", F.col("text").cast("string")).where("doc_id is not null and text is not null")
     found = seeds(docs)
     # as a table of its own, so that the join below has an exchange on either side and a hot seed can be split
-    owners = common.cut(found.groupBy("seed").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last"), "owners")
+    owners = common.cut(found.groupBy("seed").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("owner < last").drop("last"), "owners")
     shared = common.cut(found.join(owners, "seed"), "seeds")
     places = shared.where("doc_id = owner").groupBy("seed").agg(F.sort_array(F.collect_set(F.struct("nth", "place"))).alias("places"))
     places = common.cut(places, "places")
     anchors = shared.where("doc_id <> owner").join(places, "seed")
     anchors = anchors.select("doc_id", "owner", "place", F.element_at("places", F.least(F.col("nth") + 1, F.size("places")))["place"].alias("owner_place"))
+    anchors = anchors.union(_before(shared, docs))
     chained = common.cut(_chained(anchors), "chains")
     sides = _fetched(chained, docs)
 

@@ -123,6 +123,17 @@ def test_passages_with_changed_words(spark):
     assert [d for d in want if not want[d] <= got[d]] == []
 
 
+def test_passages_of_lines_that_stand_elsewhere(spark, monkeypatch):
+    rng = random.Random(6)
+    lines = [prose(rng, 6, 10**6) for _ in range(9)]
+    rows = [(i, f"{prose(rng, 30, 10**6)}\n{x}\n{y}\n{prose(rng, 30, 10**6)}") for i, (x, y) in enumerate(zip(lines, lines[1:]))]
+    rows += [(d, "\n".join([prose(rng, 40, 10**6), *lines, prose(rng, 20, 10**6)])) for d in (100, 200, 300)]
+    for hot in (passages.HOT, 1):  # whole seeds, then seeds in ranges of ids
+        monkeypatch.setattr(passages, "HOT", hot)
+        found = [tuple(r)[:5] for r in passages.passages(docs(spark, rows)).collect()]
+        assert sorted(found) == [(200, 40, 94, 100, 54), (300, 40, 94, 200, 54)]
+
+
 def test_passages_of_nothing(spark):
     assert passages.passages(docs(spark, [])).count() == 0
     assert passages.without_passages(docs(spark, [])).count() == 0
