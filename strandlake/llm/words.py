@@ -1,7 +1,8 @@
 """Words of whole batches of texts as numpy arrays of 64-bit hashes.
 
-A word's hash is a polynomial over its bytes modulo 2**64 with random byte values, then mixed; equal words always
-have equal hashes. Different words or shingles share one with probability about 2**-64 a pair.
+A word's hash sums its blocks of eight bytes, each mixed with its place in the word by a bijection without linear
+structure, and mixes the sum with the length; equal words always have equal hashes. The function is fixed and not keyed:
+for texts that were not made against it, two different words or shingles share a hash with probability about 2**-64.
 """
 
 from __future__ import annotations
@@ -12,13 +13,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_rng = np.random.Generator(np.random.PCG64(20240607))
-BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-RAW_VALUES = BYTE_VALUES.copy()
+RAW_VALUES = np.arange(256, dtype=np.uint8)
+BYTE_VALUES = RAW_VALUES.copy()
 BYTE_VALUES[65:91] = BYTE_VALUES[97:123]  # A-Z count as a-z
-_P = int(_rng.integers(1, 2**62)) * 2 + 1
-_PINV = pow(_P, -1, 2**64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
+#: the first n bytes of a block
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 #: white space of the join's words: 0x20 and 0x09-0x0D
 SPACE_WORDS = np.ones(256, bool)
@@ -38,25 +38,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    done, b = 1, base
-    out[0] = 1
-    while done < n:
-        m = min(done, n - done)
-        out[done : done + m] = out[:m] * np.uint64(b)
-        done += m
-        b = b * b % 2**64
-    return out
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        _powers[0], _powers[1] = _power(_P, size), _power(_PINV, size)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in a row, and where each begins; null texts are empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -109,11 +90,20 @@ def hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, values: np.nd
     """The hash of every word; with RAW_VALUES capitals count as different."""
     if not len(begins):
         return np.zeros(0, np.uint64)
-    p, inverse = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * p[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[begins]) * inverse[begins]
-    return mix(h + (ends - begins).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:-8] = values[data]
+    blocks = np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))  # the eight bytes from every place on
+    size = ends - begins
+    h = mix((blocks[begins] & _MASKS[np.minimum(size, 8)]) + _PLACE)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) // 8  # blocks after the first
+        first = np.cumsum(more) - more
+        nth = np.arange(first[-1] + more[-1]) - np.repeat(first, more) + 1
+        at = np.repeat(begins[long], more) + 8 * nth
+        x = blocks[at] & _MASKS[np.minimum(np.repeat(ends[long], more) - at, 8)]
+        h[long] += np.add.reduceat(mix(x + (nth + 1).astype(np.uint64) * _PLACE), first)
+    return mix(h + size.astype(np.uint64) * _PLACE)
 
 
 def word_hashes(texts: pa.Array, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
