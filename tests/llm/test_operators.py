@@ -233,10 +233,18 @@ def test_token_counts(spark, rows):
 
 
 def test_licenses(spark):
+    filler = prose(random.Random(5), 30_000)
     rows = [(1, "x. Released under the MIT license!"), (2, None), (3, ""), (4, "licensed under CC-BY-NC 4.0 and released under the mit license."), (4, "nothing"), (None, "Released under the MIT License.")]
+    rows += [(5, f"{filler}\nReleased under the MIT License.\n{filler}"), (6, "Released under the MIT License. " * 3), (1, rows[0][1])]
     got = sorted((str(r["doc_id"]), r["license"], r["begin_char"], r["end_char"], r["coverage"]) for r in licenses.scan(docs(spark, rows)).collect())
-    assert got == [("1", "MIT", 3, 33, 1.0), ("4", "CC-BY-NC-4.0", 0, 27, 1.0), ("4", "MIT", 32, 62, 1.0), ("None", "MIT", 0, 30, 1.0)]
+    n = len(filler) + 1
+    want = [("1", "MIT", 3, 33, 1.0)] * 2 + [("4", "CC-BY-NC-4.0", 0, 27, 1.0), ("4", "MIT", 32, 62, 1.0), ("5", "MIT", n, n + 30, 1.0), *(("6", "MIT", 32 * k, 32 * k + 30, 1.0) for k in range(3)), ("None", "MIT", 0, 30, 1.0)]
+    assert got == want
     assert licenses.scan(docs(spark, [])).count() == 0
+    # ties: of two names for one text the first stays, a name given twice is reported once; texts without words find nothing
+    own = [("b", "alpha beta gamma delta"), ("a", "alpha beta gamma delta"), ("a", "alpha beta gamma delta"), ("none", "...")]
+    assert [tuple(r)[:4] for r in licenses.scan(docs(spark, [(1, "x alpha beta gamma delta")]), own).collect()] == [(1, "a", 1, 5)]
+    assert licenses.scan(docs(spark, rows), []).count() == 0
 
 
 def test_html(spark):
