@@ -1,16 +1,22 @@
 """Sequence packing as a cutting-stock problem, solved by column generation on a length histogram.
 
-Each document's ids (with the end id) are cut into pieces of `length` and a rest. Rests are counted in units of
-length / UNITS (rounded up), so the histogram has at most UNITS bins whatever the input's size. A linear program
-over patterns (numbers of pieces of each bin that fit one sequence) is solved by the simplex method; an unbounded
-knapsack over the dual prices supplies each entering column. Pattern counts are rounded down and what is left is
-packed largest first. Pieces are ranked within their bins and take the patterns' slots in this order.
+1. Each document's ids (with the end id) are cut into pieces of `length` and a rest. Rests are counted in size classes
+   whose tops are exact up to EXACT and then STEPS to each doubling, so the histogram has a bounded number of bins.
+2. A linear program over patterns (numbers of pieces of each class that fit one sequence) is solved by the simplex
+   method; an unbounded knapsack over the dual prices supplies each entering column. Pattern counts are rounded down and
+   what is left is packed largest first. Pieces are ranked within their classes and take the patterns' slots in order.
+3. What the classes and patterns leave open in a sequence is filled by free cuts: sequences from the end of the list are
+   taken apart and their pieces, in a row, are cut where the open places, in a row, end. So padding stays small for any
+   lengths (also such of which no two fit a sequence), and few documents are cut. Rows lie on a line of ids that is dealt
+   in cells of CELL ids, so no task holds more than a cell's pieces.
 
-Null or empty text: the end id alone. Null and repeated doc_ids are documents like others. No rows: no pieces.
+Null or empty text: the end id alone. Null and repeated doc_ids are documents like others. No rows: no pieces. Texts of
+any length are read whole; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +27,24 @@ from pyspark.sql import functions as F
 
 from . import common, tokens, words
 
-UNITS = 256
+EXACT = 64
+STEPS = 32
+#: the linear program ends within this share of its optimum; what that leaves open is filled by cuts
+GAP = 3e-3
+#: runs of sequences, of which the last are taken apart
+BLOCKS = 4096
+CELL = 1 << 16
+
+
+def size_tops(length: int) -> np.ndarray:
+    """The largest size of every class, up to `length`."""
+    out, top, step = [], 0, 1
+    while top < length:
+        top += step
+        out.append(min(top, length))
+        if top >= EXACT and top & (top - 1) == 0:
+            step = max(1, top // STEPS)
+    return np.array(out, np.int64)
 
 
 def best_column(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -45,7 +68,7 @@ def best_column(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[f
     return float(value[capacity]), column
 
 
-def patterns(counts: dict[int, int], capacity: int = UNITS, rounds: int = 3000) -> list[tuple[dict[int, int], int]]:
+def patterns(counts: dict[int, int], capacity: int, rounds: int = 3000) -> list[tuple[dict[int, int], int]]:
     """Patterns {size: number} and how often to use each, so that exactly `counts` pieces of each size are placed."""
     sizes = np.array(sorted(s for s, c in counts.items() if c), np.int64)
     if not len(sizes):
@@ -57,7 +80,7 @@ def patterns(counts: dict[int, int], capacity: int = UNITS, rounds: int = 3000)
     x = inverse @ demand
     for k in range(rounds):
         value, column = best_column(inverse.sum(0), sizes, capacity)
-        if value <= 1 + 2e-4:  # the optimum is at least sum(x) / value (Farley), so this is within 0.02 %
+        if value <= 1 + GAP:  # the optimum is at least sum(x) / value (Farley)
             break
         d = inverse @ column
         up = d > 1e-10
@@ -96,68 +119,149 @@ def patterns(counts: dict[int, int], capacity: int = UNITS, rounds: int = 3000)
     return out
 
 
-def cut_documents(documents: DataFrame, tokenizer: str, end_id: int, length: int) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens) of every piece."""
-    docs = common.one_column(documents, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
+def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int, with_ids: bool = False) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, doc_hash, bin) of every piece of docs (doc_id, text); with_ids adds
+    the ids as little-endian bytes."""
+    tops = size_tops(length)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = tokens.encoder(tokenizer)
         for batch in batches:
             for piece in words.pieces(batch, "text"):
                 flat, starts, _ = e.encode(piece.column(1))
-                rows: tuple[list, ...] = ([], [], [], [], [])
+                rows: tuple[list, ...] = ([], [], [], [], [], [])
+                raw: list[bytes] = []
                 for d, a, b in zip(piece.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist()):
                     ids = memoryview(np.append(flat[a:b], np.uint32(end_id)).astype("<u4")).cast("B")
-                    n = b - a + 1
+                    n, h = b - a + 1, int.from_bytes(hashlib.blake2b(ids, digest_size=8).digest(), "little", signed=True)
                     for s in range(0, n, length):
                         size = min(length, n - s)
-                        for col, v in zip(rows, (d, s, size, zlib.crc32(ids[4 * s : 4 * (s + size)]), n)):
+                        for col, v in zip(rows, (d, s, size, zlib.crc32(ids[4 * s : 4 * (s + size)]), n, h)):
                             col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                        if with_ids:
+                            raw.append(bytes(ids[4 * s : 4 * (s + size)]))
+                bins = np.searchsorted(tops, np.array(rows[2], np.int64)).astype(np.int32)
+                cols = [*(pa.array(c, pa.int64()) for c in rows), pa.array(bins), *([pa.array(raw, pa.binary())] if with_ids else [])]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "doc_hash", "bin", "ids"][: len(cols)])
 
-    return docs.mapInArrow(encode, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.mapInArrow(encode, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, doc_hash long, bin int" + ", ids binary" * with_ids)
 
 
-def pack(documents: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, length: int = 2048) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    unit = max(1, -(-length // UNITS))
-    capacity = length // unit
-    pieces = cut_documents(documents, tokenizer, end_id, length).withColumn("bin", F.ceil(F.col("length") / F.lit(unit)).cast("int"))
-    pieces = common.cut(pieces.withColumn("deal", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(common.partitions(documents))).cast("int")), "pieces")
+def _placed(pieces: DataFrame, length: int) -> tuple[DataFrame, int]:
+    """The pieces with sequence_id and their order nth in it, by patterns; the number of sequences."""
+    tops = size_tops(length)
     by_deal = pieces.groupBy("bin", "deal").count()
     counts = {r["bin"]: r["n"] for r in by_deal.groupBy("bin").agg(F.sum("count").alias("n")).collect()}
 
-    # slots of each bin in order: (first rank, first sequence, pieces of the bin in the pattern)
-    slots: dict[int, list[tuple[int, int, int]]] = {b: [] for b in counts}
-    taken, sequence = dict.fromkeys(counts, 0), 0
-    for pattern, n in patterns(counts, capacity):
-        for b, c in pattern.items():
-            slots[b].append((taken[b], sequence, c))
+    # slots of each bin in order: (first rank, first sequence, pieces of the bin in the pattern, pieces before them)
+    slots: dict[int, list[tuple[int, int, int, int]]] = {b: [] for b in counts}
+    taken, sequence, bin_of = dict.fromkeys(counts, 0), 0, {int(tops[b]): b for b in counts}
+    for pattern, n in patterns({int(tops[b]): c for b, c in counts.items()}, length):
+        before = 0
+        for size in sorted(pattern, reverse=True):
+            b, c = bin_of[size], pattern[size]
+            slots[b].append((taken[b], sequence, c, before))
             taken[b] += n * c
+            before += c
         sequence += n
-    tables = {b: np.array(s, np.int64).reshape(-1, 3) for b, s in slots.items()}
-    sent = pieces.sparkSession.sparkContext.broadcast(tables)
+    sent = pieces.sparkSession.sparkContext.broadcast({b: np.array(s, np.int64).reshape(-1, 4) for b, s in slots.items()})
 
     base = by_deal.withColumn("base", F.sum("count").over(Window.partitionBy("bin").orderBy("deal")) - F.col("count")).select("bin", "deal", "base")
-    ranked = pieces.withColumn("row", F.row_number().over(Window.partitionBy("bin", "deal").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")))
-    ranked = ranked.join(base, ["bin", "deal"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "bin", (F.col("base") + F.col("row") - 1).alias("rank"))
+    ranked = pieces.withColumn("row", F.row_number().over(Window.partitionBy("bin", "deal").orderBy("doc_id", "start", "ids_crc32", "doc_tokens", "doc_hash")))
+    ranked = ranked.join(base, ["bin", "deal"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "doc_hash", "bin", (F.col("base") + F.col("row") - 1).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bins, rank = b.column(5).to_numpy(), b.column(6).to_numpy()
+            bins, rank = b.column(6).to_numpy(), b.column(7).to_numpy()
             seq, nth = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for x in np.unique(bins):
                 at = bins == x
                 t = sent.value[int(x)]
                 row = np.searchsorted(t[:, 0], rank[at], "right") - 1
                 within, each = rank[at] - t[row, 0], t[row, 2]
-                seq[at], nth[at] = t[row, 1] + within // each, within % each
+                seq[at], nth[at] = t[row, 1] + within // each, t[row, 3] + within % each
             yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(seq), pa.array(nth)], names=[*b.schema.names[:6], "sequence_id", "nth"])
 
-    placed = ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bin int, sequence_id long, nth long")
-    order = Window.partitionBy("sequence_id").orderBy(F.desc("bin"), "nth")
+    out = ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, doc_hash long, sequence_id long, nth long")
+    order = Window.partitionBy("sequence_id").orderBy("nth")
     offset = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset.alias("offset"))
+    return out.withColumn("offset", offset), sequence
+
+
+def _on_a_line(rows: DataFrame, order: list[str], size: str, bases: DataFrame) -> DataFrame:
+    """Rows with their place `at` when all lie in a row by block and order, once for each cell they touch."""
+    at = F.sum(size).over(Window.partitionBy("block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(size)
+    out = rows.withColumn("at", at).join(bases, "block").withColumn("at", F.col("at") + F.col("base")).drop("base", "block")
+    return out.withColumn("cell", F.explode(F.sequence((F.col("at") / CELL).cast("long"), ((F.col("at") + F.col(size) - 1) / CELL).cast("long"))))
+
+
+def _filled(placed: DataFrame, docs: DataFrame, sequences: int, tokenizer: str, end_id: int, length: int) -> DataFrame:
+    """The result: open places of sequences hold the pieces of sequences from the end of the list."""
+    spark, columns = placed.sparkSession, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    each = max(1, -(-sequences // BLOCKS))
+    block = F.floor(F.col("sequence_id") / F.lit(each)).cast("long").alias("block")
+    used = placed.groupBy("sequence_id").agg(F.sum("length").alias("used"))
+    sums = dict(placed.groupBy(block).agg(F.sum("length")).collect())  # at most BLOCKS numbers
+    n = -(-sequences // each)
+    room = [min(sequences, (b + 1) * each) * length - b * each * length - sums.get(b, 0) for b in range(n)]
+    last, donated, open_ = n, 0, sum(room)
+    while last and donated + sums.get(last - 1, 0) <= open_ - room[last - 1]:
+        last -= 1
+        donated += sums.get(last, 0)
+        open_ -= room[last]
+    if not donated:
+        return placed.select(columns)
+
+    def bases(sizes: list[int], first: int) -> DataFrame:
+        ends = np.cumsum([0, *sizes])
+        return spark.createDataFrame([(first + i, int(x)) for i, x in enumerate(ends[:-1])], "block long, base long")
+
+    stay, go = placed.where(F.col("sequence_id") < last * each), placed.where(F.col("sequence_id") >= last * each)
+    gaps = used.where(F.col("sequence_id") < last * each).select("sequence_id", "used", (F.lit(length) - F.col("used")).alias("room"), block).where("room > 0")
+    gaps = _on_a_line(gaps, ["sequence_id"], "room", bases(room[:last], 0))
+    go = _on_a_line(go.select("doc_id", "start", "length", "doc_tokens", "doc_hash", "sequence_id", "nth", block), ["sequence_id", "nth"], "length", bases([sums.get(b, 0) for b in range(last, n)], last))
+    # the ids of the pieces that go: only their documents are encoded again
+    key = common.fresh(docs.columns, "key")
+    keyed = docs.withColumn(key, F.coalesce("doc_id", F.lit(-1)))
+    some = common.passing(keyed, key, common.id_filter(go.select(F.coalesce("doc_id", F.lit(-1)).alias(key)))).select("doc_id", "text")
+    ids = cut_documents(some, tokenizer, end_id, length, with_ids=True).groupBy("doc_id", "start", "doc_tokens", "doc_hash").agg(F.first("ids").alias("ids"))
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"i.{c}")) for c in ("doc_id", "start", "doc_tokens", "doc_hash")]
+    go = go.alias("p").join(ids.alias("i"), same[0] & same[1] & same[2] & same[3]).select("cell", "at", F.col("p.length").alias("size"), F.lit(1).alias("role"), F.col("p.doc_id"), F.col("p.start"), F.col("p.doc_tokens"), "ids", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("used"))
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    gaps = gaps.select("cell", "at", F.col("room").alias("size"), F.lit(0).alias("role"), none("doc_id", "long"), none("start", "long"), none("doc_tokens", "long"), none("ids", "binary"), "sequence_id", "used")
+    both = gaps.unionByName(go).repartition(common.partitions(docs), "cell").sortWithinPartitions("cell", "role", "at")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in common.groups(batches, ["cell"]):
+            at, size, role = (t[c].to_numpy() for c in ("at", "size", "role"))
+            low = int(t["cell"][0].as_py()) * CELL
+            g, p = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+            if not len(g) or not len(p):
+                continue
+            begin, end = max(low, int(at[p[0]])), min(low + CELL, int(at[p[-1]] + size[p[-1]]))
+            cuts = np.unique(np.clip(np.concatenate((at[g], at[p], [begin, end])), begin, end))
+            lo, hi = cuts[:-1], cuts[1:]
+            gap, piece = g[np.searchsorted(at[g], lo, "right") - 1], p[np.searchsorted(at[p], lo, "right") - 1]
+            shift = lo - at[piece]
+            raw = t["ids"].take(pa.array(piece)).to_pylist()
+            crc = [zlib.crc32(memoryview(x)[4 * a : 4 * (a + k)]) for x, a, k in zip(raw, shift.tolist(), (hi - lo).tolist())]
+            pick = lambda c, rows: t[c].take(pa.array(rows)).combine_chunks()
+            start = pick("start", piece).to_numpy() + shift
+            offset = pick("used", gap).to_numpy() + lo - at[gap]
+            yield pa.RecordBatch.from_arrays([pick("doc_id", piece), pa.array(start), pa.array(hi - lo), pa.array(crc, pa.int64()), pick("doc_tokens", piece), pick("sequence_id", gap), pa.array(offset)], names=columns)
+
+    return stay.select(columns).union(both.mapInArrow(merge, ", ".join(f"{c} long" for c in columns)))
+
+
+def pack(documents: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, length: int = 2048) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    docs = common.one_column(documents, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
+    deal = F.pmod(F.xxhash64("doc_id", "start", "doc_hash"), F.lit(common.partitions(documents))).cast("int").alias("deal")
+    pieces = common.cut(cut_documents(docs, tokenizer, end_id, length).select("*", deal), "pieces")
+    placed, sequences = _placed(pieces, length)
+    placed = common.cut(placed, "placed")
+    common.drop(pieces)
+    return _filled(placed, docs, sequences, tokenizer, end_id, length)
 
 
 def op6_pack_sequences(spark, sf_dir: str) -> DataFrame:

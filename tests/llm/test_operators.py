@@ -187,19 +187,25 @@ def test_wavelet_shards(spark, rows):
     assert wavelet.read_documents(wavelet.write_shards(docs(spark, []), "byte_bpe_50k.json", 2)).count() == 0
 
 
-def test_packing(spark, rows):
+def packed(spark, rows):
+    """The pieces, held against the library; the share of padding."""
     got = packing.pack(docs(spark, rows)).collect()
     library = tokens.encoder("word_bpe_49k.json").library
-    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    by_doc, by_sequence, texts = defaultdict(list), defaultdict(list), defaultdict(list)
     for r in got:
-        by_doc[r["doc_id"]].append(r)
+        by_doc[r["doc_id"], r["doc_tokens"]].append(r)
         by_sequence[r["sequence_id"]].append(r)
-    texts = defaultdict(list)
     for d, t in rows:
-        texts[d].append(np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4"))
-    for d, ids in texts.items():
-        want = sorted((s, min(2048, len(x) - s), zlib.crc32(x[s : s + 2048].tobytes()), len(x)) for x in ids for s in range(0, len(x), 2048))
-        assert sorted((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in by_doc[d]) == want
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        texts[d, len(ids)].append(ids)
+    assert set(by_doc) == set(texts)
+    for k, all_ids in texts.items():
+        times = np.zeros(k[1], int)
+        for r in by_doc[k]:
+            lo, hi = r["start"], r["start"] + r["length"]
+            assert r["length"] > 0 and hi <= k[1] and r["ids_crc32"] in {zlib.crc32(x[lo:hi].tobytes()) for x in all_ids}
+            times[lo:hi] += 1
+        assert (times == len(all_ids)).all()
     for s in by_sequence.values():
         at = 0
         for r in sorted(s, key=lambda r: r["offset"]):
@@ -207,9 +213,24 @@ def test_packing(spark, rows):
             at += r["length"]
         assert at <= 2048
     assert sorted(by_sequence) == list(range(len(by_sequence)))
+    return 1 - sum(r["length"] for r in got) / 2048 / len(by_sequence)
+
+
+def test_packing(spark, rows):
+    packed(spark, rows)
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [(1,), (9,), (17,), (1100,), (1, 2, 3, 9, 17, 25), (1500, 1300, 3000), tuple(range(200, 1500, 13))])
+def test_packing_leaves_little_padding(spark, sizes):
+    rng, total, rows = random.Random(2), 0, []
+    while total < 150_000 and len(rows) < 40_000:
+        n = sizes[rng.randrange(len(sizes))]
+        rows.append((len(rows) if len(rows) % 50 else None, " ".join(["the"] * (n - 1)) if n > 1 else rng.choice(["", None])))
+        total += n
+    assert packed(spark, rows) < 0.01 + 2048 / total
+
+
 def test_token_counts(spark, rows):
     library = tokens.encoder("byte_bpe_50k.json").library
     texts = defaultdict(list)
