@@ -245,14 +245,17 @@ def test_knapsack_and_patterns():
     counts = {int(s): int(n) for s, n in zip(range(1, 257, 3), rng.integers(0, 40, 86))} | {256: 5}
     placed: dict[int, int] = {}
     used = 0
-    for pattern, n in packing.patterns(counts):
+    for pattern, n in packing.patterns(counts, 256):
         assert sum(s * k for s, k in pattern.items()) <= 256 and n > 0
         used += n
         for s, k in pattern.items():
             placed[s] = placed.get(s, 0) + n * k
     assert placed == {s: n for s, n in counts.items() if n}
     assert used <= 1.01 * sum(s * n for s, n in counts.items()) / 256 + len(counts) / 2  # rounding opens a sequence for every other bin at most here
-    assert packing.patterns({}) == []
+    assert packing.patterns({}, 256) == []
+    tops = packing.size_tops(2048)
+    assert tops[:64].tolist() == list(range(1, 65)) and tops[-1] == 2048 and len(tops) == 224 and (np.diff(tops) <= np.maximum(1, tops[:-1] / 32)).all()
+    assert packing.size_tops(100)[-1] == 100 and packing.size_tops(1).tolist() == [1]
 
 
 def test_count_tree_is_the_pairwise_bound():
@@ -301,18 +304,67 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title></head><body><header><h1>Si
 
 
 def test_blocks_and_labels():
-    b = html_text.blocks(PAGE)
+    page = html_text.blocks(PAGE)
+    b = page.blocks
     assert [x[0] for x in b] == ["Site", "one", "two", "Buy this", "Head&line", "First bold text more", "Second part", "Nice!", "© X"]
-    assert html_text.labels(b).tolist() == [0, 0, 0, 0, 1, 1, 1, 0, 0]
+    assert html_text.labels(page).tolist() == [0, 0, 0, 0, 1, 1, 1, 0, 0]
     assert b[1][2] == 1.0
-    assert html_text.blocks("") == [] and html_text.blocks("a < b <") [0][0] == "a < b <"
-    assert [x[0] for x in html_text.blocks("<p>x<script>never ends")] == ["x"]
     plain = html_text.blocks("<div>" + "some plain words here and there " * 3 + "</div><div><a href=q>link only</a></div>")
     assert html_text.labels(plain).tolist() == [1, 0]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("", []),
+        ("a < b <", ["a < b <"]),
+        ("<p>x<script>never ends", ["x"]),
+        ("<html><head><title>x</title><body><p>text", ["text"]),
+        ("<head><meta charset=utf-8><title>x</title><p>text", ["text"]),
+        ("<p>a<svg class=i />b<svg/>c</p>", ["abc"]),
+        ("<p>a<svg><title>t</title><text>no</text></svg>b", ["ab"]),
+        ("<p>a<svg><title/><path d=1/></svg>b", ["ab"]),
+        ("<svg><g><p>text</p>", ["text"]),
+        ("<select-box>x</select-box><p>y", ["x", "y"]),
+        ("<object-list>x</object-list><head-line>y</head-line>", ["x", "y"]),
+        ("<p data-x=it's>a</p><p title=\"it's\">b", ["a", "b"]),
+        ("<p title='x\">a</p><p class=y'>b", ["b"]),  # by HTML's rules the value ends at the next such quote
+        ("<a href='x>text</a> more", ["text more"]),  # and with its tag if none follows
+        ("<p \"odd>a", ["a"]),
+        ("<object><object>no</object>yes", ["yes"]),
+        ("<object>no<object>no</object></object>yes", ["yes"]),
+        ("<select><option>one<p>text", ["one", "text"]),
+        ("<select><option>one</select>text", ["text"]),
+        ("<noscript>on</noscript><template><p>t</template>x<textarea>&lt;p></textarea>y", ["xy"]),
+        ("<!-->a<!--->b<!-- <p>c --!>d<!-- never", ["abd"]),
+        ("<!DOCTYPE html><?xml x?>a<![CDATA[b>c", ["ac"]),
+        ("<ul><li><p>one<li><p>two</ul>three", ["one", "two", "three"]),
+        ("<p>x<sup>2</sup> &amp; <math><mi>y</mi></math></p></div></p>z", ["x2 & y", "z"]),
+        ("a<br>b<br/>c<hr>d", ["a b c", "d"]),
+        ("<p>cut in a tag <a hre", ["cut in a tag"]),
+        ("&#x41;&nbsp;&notin; &unknown; &lt", ["A ∉ &unknown; <"]),
+    ],
+)
+def test_blocks_lose_nothing(page, want):
+    assert [x[0] for x in html_text.blocks(page).blocks] == want
+
+
+def test_pages_of_any_depth_and_length():
+    import time
+
+    deep = "<div class=main>" * 100_000 + "<p>text</p>" + "</div></em>" * 100_000
+    wide = "".join(f"<p class=c{i % 7}>word{i} and <b>more</b>" for i in range(40_000))
+    odd = ["<a " * 100_000, "<p x='" * 100_001, '<p x="' * 100_001, "<![CDATA[" * 100_000, "<svg>" * 100_000 + "<p>x", "</p>" * 100_000, "<li>" * 100_000, "<!--" * 100_000, "<b =" * 100_000 + ">"]
+    began = time.thread_time()
+    pages = [html_text.blocks(p) for p in [deep, wide, *odd]]
+    f = html_text.Features(pages)
+    assert len(pages[0].blocks) == 1 and len(pages[1].blocks) == 40_000 and pages[1].blocks[-1][0] == "word39999 and more"
+    assert len(html_text.Labeller().scores(f)) == f.pages.sum()
+    assert time.thread_time() - began < 60  # linear; squares would take hours
+
+
 def test_labeller_gradients_and_learning():
-    pages = [html_text.blocks(PAGE.replace("Second", f"Second {i}" * (1 + i % 3))) for i in range(24)]
+    pages = [html_text.blocks(PAGE.replace("Second", f"Second {i}" * (1 + i % 3)).replace("<p>", "<p>" if i % 2 else "<div><p>")) for i in range(24)]
     net = html_text.Labeller()
     f, y = html_text.Features(pages[:3]), np.concatenate([html_text.labels(p) for p in pages[:3]])
     for k in net.p:
