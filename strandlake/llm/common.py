@@ -28,16 +28,19 @@ def partitions(df: DataFrame, least: int = 12) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: rows of an Arrow batch; whole texts are long, and every task holds a batch on either side
+#: rows and bytes of an Arrow batch; whole texts are long, and every task holds a batch on either side
 BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to BATCH_ROWS rows, so that workers need little memory for whole texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """Lowers the session's Arrow batches to BATCH_ROWS rows or about BATCH_BYTES bytes, so that workers need little
+    memory for whole texts."""
+    for kind, most in (("Records", BATCH_ROWS), ("Bytes", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.max{kind}PerBatch"
+        now = str(spark.conf.get(name)).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def one_column(df: DataFrame, key: str, *columns: str) -> DataFrame:
