@@ -30,7 +30,7 @@ from . import common, tokens, words
 EXACT = 64
 STEPS = 32
 #: the linear program ends within this share of its optimum; what that leaves open is filled by cuts
-GAP = 3e-3
+GAP = 5e-4
 #: runs of sequences, of which the last are taken apart
 BLOCKS = 4096
 CELL = 1 << 16
@@ -68,17 +68,36 @@ def best_column(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[f
     return float(value[capacity]), column
 
 
-def patterns(counts: dict[int, int], capacity: int, rounds: int = 3000) -> list[tuple[dict[int, int], int]]:
+def patterns(counts: dict[int, int], capacity: int, rounds: int = 150) -> list[tuple[dict[int, int], int]]:
     """Patterns {size: number} and how often to use each, so that exactly `counts` pieces of each size are placed."""
     sizes = np.array(sorted(s for s, c in counts.items() if c), np.int64)
     if not len(sizes):
         return []
     demand = np.array([counts[int(s)] for s in sizes], np.float64)
-    m = len(sizes)
-    columns = np.diag(capacity // sizes).astype(np.float64)
-    inverse = np.diag(1.0 / np.diag(columns))
-    x = inverse @ demand
+    m, least = len(sizes), float(sizes @ demand) / capacity
+    # first basis: patterns filled largest first, each used until one of its sizes is exhausted; later ones lack that
+    # size, so the basis is triangular and feasible
+    columns, x, left, open_ = np.zeros((m, m)), np.zeros(m), demand.copy(), set(range(m))
+    for k in range(m):
+        if not left.any():  # several sizes were exhausted at once
+            columns[open_.pop(), k] = 1
+            continue
+        room = capacity
+        for i in np.flatnonzero(left > 0)[::-1].tolist():
+            n = min(int(np.ceil(left[i])), room // int(sizes[i]))
+            columns[i, k] = n
+            room -= n * int(sizes[i])
+        some = np.flatnonzero(columns[:, k])
+        done = some[(left[some] / columns[some, k]).argmin()]
+        open_.discard(int(done))
+        x[k] = left[done] / columns[done, k]
+        left -= x[k] * columns[:, k]
+        left[done] = 0
+        left[left < 1e-9] = 0
+    inverse = np.linalg.inv(columns)
     for k in range(rounds):
+        if x.sum() <= (1 + GAP) * least:
+            break
         value, column = best_column(inverse.sum(0), sizes, capacity)
         if value <= 1 + GAP:  # the optimum is at least sum(x) / value (Farley)
             break
