@@ -1,9 +1,10 @@
 """Token ids in wavelet-matrix files: one compressed file a shard, with access, counting and occurrence lookup.
 
-File layout (little-endian): magic b"WMX1", bits u32, n u64, docs u64, then for every document its id i64 (with a
-bitmap of null ids) and its length u32, then for every bit-plane, highest bit first, the number of zeros u64 and the
-plane's bits (first bit highest in its byte), all after the magic as one zlib stream. Ranks are counted again on
-opening.
+File layout (little-endian): magic b"WMX2", bits u32, n u64, docs u64, the length of the document table u64 and the
+table as a zlib stream (a bitmap of null ids, every document's id i64 and length u32), then for every bit-plane, highest
+bit first, the number of zeros u64, the ones before every block of BLOCK bytes u32 (a sixteenth of the plane) and the
+plane's bits (first bit highest in its byte). Planes and ranks are read where they lie: opening a file copies nothing but
+the document table, and an access reads a block of each plane. A file has less than 2**32 ids.
 
 Shards hold ranges of doc_id in ascending order (null ids first; rows of one id by their text), at most about
 `limit` ids each. They are rows of a Parquet table in the shared folder, so Spark's commit protocol makes a
@@ -28,23 +29,31 @@ from . import common, tokens, words
 class WaveletMatrix:
     """Bit-planes of a sequence of ids, each plane stably sorted by the bits above."""
 
-    BLOCK = 8  # bytes of a rank block
+    BLOCK = 64  # bytes of a rank block
 
-    def __init__(self, planes: list[np.ndarray], zeros: list[int], n: int):
-        self.planes, self.zeros, self.n = planes, zeros, n
-        self._ranks: list[np.ndarray] | None = None
+    def __init__(self, planes: list[np.ndarray], zeros: list[int], n: int, ranks: list[np.ndarray]):
+        self.planes, self.zeros, self.n, self.ranks = planes, zeros, n, ranks
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         a = ids.astype(np.uint16 if bits <= 16 else np.uint32)
-        planes, zeros = [], []
+        planes, zeros, ranks = [], [], []
         for b in range(bits - 1, -1, -1):
             bit = (a & a.dtype.type(1 << b)) != 0
             planes.append(np.packbits(bit))
+            ranks.append(cls.ones_before(planes[-1]))
             low = a[~bit]
             zeros.append(len(low))
             a = np.concatenate((low, a[bit]))
-        return cls(planes, zeros, len(ids))
+        return cls(planes, zeros, len(ids), ranks)
+
+    @classmethod
+    def ones_before(cls, plane: np.ndarray) -> np.ndarray:
+        """The ones before every block, and all of them at the end."""
+        whole = np.zeros(-(-len(plane) // cls.BLOCK) * cls.BLOCK, np.uint8)
+        whole[: len(plane)] = plane
+        counts = np.bitwise_count(whole.view(np.uint64)).reshape(-1, cls.BLOCK // 8).sum(1, dtype=np.uint32)
+        return np.concatenate((np.zeros(1, np.uint32), np.cumsum(counts, dtype=np.uint32)))
 
     def all(self) -> np.ndarray:
         """The whole sequence, by undoing the sorts from the lowest plane up."""
@@ -59,16 +68,6 @@ class WaveletMatrix:
             a = up
         return a.astype(np.uint32)
 
-    @property
-    def ranks(self) -> list[np.ndarray]:
-        if self._ranks is None:
-            self._ranks = []
-            for p in self.planes:
-                whole = np.zeros(-(-len(p) // self.BLOCK) * self.BLOCK, np.uint8)
-                whole[: len(p)] = p
-                self._ranks.append(np.concatenate(([0], np.cumsum(np.bitwise_count(whole.view(np.uint64)).astype(np.int64)))))
-        return self._ranks
-
     def _ones(self, k: int, i: int) -> int:
         """Ones among the first i bits of plane k."""
         block, rest = divmod(i, 8 * self.BLOCK)
@@ -102,6 +101,17 @@ class WaveletMatrix:
         a, b = self._range(x, lo, self.n if hi is None else hi)
         return b - a
 
+    def _place(self, k: int, one: int, rank: int) -> int:
+        """Place of the rank-th one (or zero) of plane k: its block by bisection of the ranks, then within it."""
+        ranks, width = self.ranks[k], 8 * self.BLOCK
+        before = lambda b: int(ranks[b]) if one else b * width - int(ranks[b])
+        lo, hi = 0, len(ranks) - 1
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            lo, hi = (mid, hi) if before(mid) <= rank else (lo, mid)
+        bits = np.unpackbits(self.planes[k][lo * self.BLOCK : (lo + 1) * self.BLOCK]) == one
+        return lo * width + int(np.flatnonzero(bits)[rank - before(lo)])
+
     def select(self, x: int, j: int) -> int:
         """Index of the j-th occurrence of x (from 0), or -1."""
         if x >> len(self.planes):
@@ -113,44 +123,40 @@ class WaveletMatrix:
         for k in range(bits - 1, -1, -1):
             one = x >> (bits - 1 - k) & 1
             rank = i - self.zeros[k] if one else i
-            # the rank-th one (or zero) of plane k: by its block, then within it
-            edges = self.ranks[k] if one else np.arange(len(self.ranks[k])) * (8 * self.BLOCK) - self.ranks[k]
-            block = int(np.searchsorted(edges, rank, "right")) - 1
-            at = block * self.BLOCK
-            b = np.unpackbits(self.planes[k][at : at + self.BLOCK]) == one
-            i = 8 * at + int(np.flatnonzero(b)[rank - int(edges[block])])
+            i = self._place(k, one, rank)
         return i
 
 
 def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, bits: int) -> bytes:
     m = WaveletMatrix.build(ids, bits)
-    head = struct.pack("<IQQ", bits, m.n, len(doc_ids))
     null = np.packbits(np.array([d is None for d in doc_ids], bool)).tobytes()
-    body = [head, null, np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array(lengths, "<u4").tobytes()]
-    for z, p in zip(m.zeros, m.planes):
-        body += [struct.pack("<Q", z), p.tobytes()]
-    return b"WMX1" + zlib.compress(b"".join(body), 1)
+    docs = zlib.compress(b"".join([null, np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array(lengths, "<u4").tobytes()]), 1)
+    body = [b"WMX2", struct.pack("<IQQQ", bits, m.n, len(doc_ids), len(docs)), docs]
+    for z, r, p in zip(m.zeros, m.ranks, m.planes):
+        body += [struct.pack("<Q", z), r.astype("<u4").tobytes(), p.tobytes()]
+    return b"".join(body)
 
 
 def unpack(blob: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
     """Document ids, their lengths and the matrix of one file."""
-    if blob[:4] != b"WMX1":
+    if blob[:4] != b"WMX2":
         raise ValueError("not a wavelet-matrix file")
-    raw = zlib.decompress(blob[4:])
-    bits, n, docs = struct.unpack_from("<IQQ", raw)
-    at = struct.calcsize("<IQQ")
-    null = np.unpackbits(np.frombuffer(raw, np.uint8, -(-docs // 8), at), count=docs)
-    at += -(-docs // 8)
-    ids = np.frombuffer(raw, "<i8", docs, at).tolist()
-    at += 8 * docs
-    lengths = np.frombuffer(raw, "<u4", docs, at).astype(np.int64)
-    at += 4 * docs
-    planes, zeros, size = [], [], -(-n // 8)
+    bits, n, docs, size = struct.unpack_from("<IQQQ", blob, 4)
+    at = 4 + struct.calcsize("<IQQQ")
+    raw = zlib.decompress(blob[at : at + size])
+    at += size
+    flags = -(-docs // 8)
+    null = np.unpackbits(np.frombuffer(raw, np.uint8, flags), count=docs)
+    ids = np.frombuffer(raw, "<i8", docs, flags).tolist()
+    lengths = np.frombuffer(raw, "<u4", docs, flags + 8 * docs).astype(np.int64)
+    planes, zeros, ranks, size = [], [], [], -(-n // 8)
+    blocks = -(-size // WaveletMatrix.BLOCK) + 1
     for _ in range(bits):
-        zeros.append(struct.unpack_from("<Q", raw, at)[0])
-        planes.append(np.frombuffer(raw, np.uint8, size, at + 8))
-        at += 8 + size
-    return [None if x else d for d, x in zip(ids, null)], lengths, WaveletMatrix(planes, zeros, n)
+        zeros.append(struct.unpack_from("<Q", blob, at)[0])
+        ranks.append(np.frombuffer(blob, "<u4", blocks, at + 8))
+        planes.append(np.frombuffer(blob, np.uint8, size, at + 8 + 4 * blocks))
+        at += 8 + 4 * blocks + size
+    return [None if x else d for d, x in zip(ids, null)], lengths, WaveletMatrix(planes, zeros, n, ranks)
 
 
 def write_shards(documents: DataFrame, tokenizer: str, end_id: int, limit: int = 1 << 21) -> DataFrame:
@@ -192,8 +198,13 @@ def write_shards(documents: DataFrame, tokenizer: str, end_id: int, limit: int =
 
 def read_documents(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone."""
-    sizes = shards.select("shard", "part", "n_tokens")
-    before = sizes.withColumn("before", F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n_tokens")
+    # ids before a file: in its range of doc_ids by a window, and in the ranges before, of which there are as many as
+    # shuffle partitions
+    upto = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = shards.groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens"))
+    ranges = ranges.select("shard", upto(Window.orderBy("shard")).alias("base"))
+    sizes = shards.select("shard", "part", "n_tokens").withColumn("within", upto(Window.partitionBy("shard").orderBy("part")))
+    before = sizes.join(ranges, "shard").select("shard", "part", (F.col("within") + F.col("base")).alias("before"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
