@@ -3,16 +3,19 @@
 Rows are compared only within one label and dimension. Equal vectors form a class first. A vector's hash in a table
 joins `FUNCTIONS` cross-polytope functions: three rounds of random signs and the Walsh-Hadamard transform, then the
 largest coordinate with its sign. Multiprobe adds the buckets with a runner-up coordinate. Vectors that share any
-bucket are candidates; all of them are verified by cosine in double precision. Buckets are processed in blocks of two chunks
-of at most CHUNK vectors, so a bucket of any size is compared in full by tasks of bounded memory. A pair that shares
-several buckets counts in the first.
+bucket are candidates. First only ids and signatures of 128 sign bits are dealt to buckets: a vector of whose bucket no
+other one differs in few enough bits (six deviations over the mean at the limit) needs no verification there. The
+vectors of the others follow, and all their pairs are verified by cosine in double precision. Buckets are processed in
+blocks of two chunks of at most CHUNK vectors, so a bucket of any size is compared in full by tasks of bounded memory. A
+pair that shares several buckets counts in the first. Vectors of single precision are sent as such.
 
 Null label or vec_id, null, empty or zero vectors and those with null or non-finite components link with nothing and
-are kept. Rows that share a vec_id are one vector for components and add up their links.
+are kept. Rows that share a vec_id are one vector for components and add up their links. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +29,7 @@ TABLES = 6
 FUNCTIONS = 2
 CHUNK = 512
 SEED = 977
+BITS = 128
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -69,6 +73,40 @@ def buckets(vectors: np.ndarray) -> np.ndarray:
     return out
 
 
+def signatures(vectors: np.ndarray) -> np.ndarray:
+    """BITS signs of rotated coordinates as (vectors, BITS / 64) numbers; zeros in few dimensions, where signs depend on each other."""
+    n, d = vectors.shape
+    size = 1 << max(1, (d - 1).bit_length())
+    if size < 32:
+        return np.zeros((n, BITS // 64), np.int64)
+    x = np.zeros((n, size))
+    x[:, :d] = vectors
+    rng = np.random.Generator(np.random.PCG64(SEED + 1))
+    signs: list[np.ndarray] = []
+    while sum(s.shape[1] for s in signs) < BITS:
+        y = x
+        for _ in range(3):
+            y = hadamard(y * rng.choice((-1.0, 1.0), size))
+        signs.append(y > 0)
+    return np.packbits(np.concatenate(signs, 1)[:, :BITS], axis=1).view(np.int64)
+
+
+def most_bits(least: float) -> int:
+    """Bits in which two vectors with this cosine may differ."""
+    p = math.acos(max(-1.0, min(1.0, least))) / math.pi
+    return math.ceil(BITS * p + 6 * math.sqrt(BITS * p * (1 - p)))
+
+
+def encoded(x: np.ndarray) -> bytes:
+    """A vector in single precision if that is exact, else in double precision and one byte more."""
+    small = x.astype(np.float32)
+    return small.tobytes() if (small.astype(np.float64) == x).all() else x.tobytes() + b"d"
+
+
+def dimensions(raw: bytes) -> int:
+    return len(raw) // 8 if len(raw) % 4 else len(raw) // 4
+
+
 def _vectors(column: pa.Array) -> list[np.ndarray | None]:
     """Rows as doubles; None for those that link with nothing."""
     out = []
@@ -83,7 +121,7 @@ def _vectors(column: pa.Array) -> list[np.ndarray | None]:
 
 
 def _units(raw: list[bytes]) -> np.ndarray:
-    x = np.array([np.frombuffer(r) for r in raw])
+    x = np.array([np.frombuffer(r[:-1]) if len(r) % 4 else np.frombuffer(r, np.float32).astype(np.float64) for r in raw])
     x = x / np.abs(x).max(1, keepdims=True)  # no overflow in the squares
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -95,7 +133,7 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = [None if v is None else v.tobytes() for v in _vectors(b.column(2))]
+            raw = [None if v is None else encoded(v) for v in _vectors(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary())], names=["vec_id", "label", "raw"])
 
     rows = common.cut(e.mapInArrow(read, "vec_id long, label string, raw binary"), "vectors")
@@ -103,28 +141,49 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size = np.array([len(r) for r in b.column(1).to_pylist()])
             ids, label, raw = b.column(0).to_numpy(), b.column(2), b.column(1).to_pylist()
+            size = np.array([dimensions(r) for r in raw])
             for s in np.unique(size):
                 at = np.flatnonzero(size == s)
-                keys = buckets(_units([raw[i] for i in at]))
+                x = _units([raw[i] for i in at])
+                keys, signs = buckets(x), signatures(x)
                 n, t, p = keys.shape
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids[at], t * p)), label.take(pa.array(np.repeat(at, t * p))), pa.array(np.full(n * t * p, s, np.int32)), pa.array(np.tile(np.repeat(np.arange(t, dtype=np.int32), p), n)), pa.array(keys.ravel())],
-                    names=["id", "label", "size", "t", "bucket"],
+                    [pa.array(np.repeat(ids[at], t * p)), label.take(pa.array(np.repeat(at, t * p))), pa.array(np.full(n * t * p, s, np.int32)), pa.array(np.tile(np.repeat(np.arange(t, dtype=np.int32), p), n)), pa.array(keys.ravel()), *(pa.array(np.repeat(signs[:, k], t * p)) for k in range(2))],
+                    names=["id", "label", "size", "t", "bucket", "s0", "s1"],
                 )
 
     key = ["space", "t", "bucket"]
     space = F.xxhash64("label", "size").alias("space")
-    dealt = common.cut(classes.select("id", "raw", "label").mapInArrow(deal, "id long, label string, size int, t int, bucket long").select("id", space, "t", "bucket").distinct(), "buckets")
+    dealt = common.cut(classes.select("id", "raw", "label").mapInArrow(deal, "id long, label string, size int, t int, bucket long, s0 long, s1 long").select("id", space, "t", "bucket", "s0", "s1").distinct(), "buckets")
     full = dealt.groupBy(*key).count().where("count > 1").withColumn("parts", F.ceil(F.col("count") / F.lit(CHUNK)).cast("int")).drop("count")
     m = dealt.join(common.cut(full, "full"), key).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    m = m.select(*key, "id", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    spaced = classes.select("id", "raw", "weight", F.xxhash64("label", F.octet_length("raw")).alias("space"))
-    m = m.join(spaced, ["id", "space"])
+    m = m.select(*key, "id", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "s0", "s1")
     key += ["i", "j"]
+    limit = most_bits(least)
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows whose block has another vector that differs in few bits."""
+        for t in common.groups(batches, key):
+            s, part = np.stack((t["s0"].to_numpy(), t["s1"].to_numpy()), 1).view(np.uint64), t["part"].to_numpy()
+            cross, keep = t["i"][0].as_py() != t["j"][0].as_py(), np.zeros(len(part), bool)
+            for k in range(0, len(part), 256):
+                near = np.bitwise_count(s[k : k + 256, None] ^ s[None]).sum(2, dtype=np.int16) <= limit
+                if cross:
+                    near &= part[k : k + 256, None] != part[None]
+                else:
+                    near[np.arange(len(near)), k + np.arange(len(near))] = False
+                keep[k : k + 256] = near.any(1)
+            if keep.any():
+                yield from t.filter(pa.array(keep)).select([*key, "id", "part"]).combine_chunks().to_batches()
+
     m = m.repartition(parts, *key).sortWithinPartitions(*key)
+    m = common.cut(m.select(*key, "id", "part", "s0", "s1").mapInArrow(alike, "space long, t int, bucket long, i int, j int, id long, part int"), "alike")
+    width = F.octet_length("raw")
+    dims = F.when(width % 4 == 1, F.floor(width / 8)).otherwise(F.floor(width / 4)).cast("int")
+    spaced = classes.select("id", "raw", "weight", F.xxhash64("label", dims).alias("space"))
+    m = m.join(spaced, ["id", "space"]).repartition(parts, *key).sortWithinPartitions(*key)
 
     def linked(t: pa.Table, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Links of whole blocks that lie one after the other; begins has the first row of each."""
@@ -132,11 +191,11 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93) -> DataFrame:
         ids, weight, part, space_, table, bucket = (t[c].to_numpy() for c in ("id", "weight", "part", "space", "t", "bucket"))
         cross = t["i"].to_numpy() != t["j"].to_numpy()
         raws = t["raw"].to_pylist()
-        size = np.array([len(r) for r in raws])
+        size = np.array([dimensions(r) for r in raws])
         end = np.repeat(np.append(begins[1:], n), np.diff(np.append(begins, n)))
-        for bytes_ in np.unique(size):  # a block has one size only
-            rows_ = np.flatnonzero(size == bytes_)
-            x = np.zeros((n, bytes_ // 8))
+        for width_ in np.unique(size):  # a block has one size only
+            rows_ = np.flatnonzero(size == width_)
+            x = np.zeros((n, width_))
             x[rows_] = _units([raws[i] for i in rows_])
             near: list[np.ndarray] = []
             left = (end - np.arange(n) - 1)[rows_]
@@ -204,7 +263,7 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93) -> DataFrame:
     same = rows.where("raw is not null and label is not null and vec_id is not null").join(classes, ["label", "raw"])
     edges = found.where("tied is not null").select(F.col("id").alias("a"), F.col("tied").alias("b")).union(same.where("vec_id <> id").select(F.col("vec_id").alias("a"), F.col("id").alias("b")))
     reached = common.components(edges, "vectors")
-    counted = classes.withColumn("space", F.xxhash64("label", F.octet_length("raw"))).join(links, ["id", "space"], "left")
+    counted = classes.withColumn("space", F.xxhash64("label", dims)).join(links, ["id", "space"], "left")
     counted = counted.select("label", "raw", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     out = rows.join(counted, ["label", "raw"], "left").join(reached.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), (F.coalesce("component", "vec_id") == F.col("vec_id")).alias("kept"))
