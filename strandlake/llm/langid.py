@@ -9,7 +9,9 @@ rate in any language, so there are at most 1 / least_rate of them. Training take
 a language (a documented bound), chosen by a hash of doc_id; prediction covers every whole text.
 
 Null text, or no letter in it: `und` with score 0, also when there is nothing to learn from. Null doc_id: never trained
-on, held_out is null. Score: the language's share of all corrected rates.
+on, held_out is null. Score: the language's share of all corrected rates; rate: its corrected rate alone, which does not
+depend on the other languages. In a tie the first name counts. Texts of any length are read whole; other columns than
+those named are not looked at.
 """
 
 from __future__ import annotations
@@ -125,7 +127,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, least_rate: float = LEAST_RAT
 
 
 def predict(documents: DataFrame, filters: LanguageFilters, into: str = "predicted") -> DataFrame:
-    """All columns of documents, and `into` struct<lang, score>."""
+    """All columns of documents, and `into` struct<lang, score, rate>."""
     if common.fresh(documents.columns, into) != into:
         raise ValueError(f"documents have a column {into}")
     sent = documents.sparkSession.sparkContext.broadcast(filters)
@@ -136,11 +138,11 @@ def predict(documents: DataFrame, filters: LanguageFilters, into: str = "predict
         for batch in batches:
             for b in words.pieces(batch, batch.schema.names[text]):
                 g, starts = grams(b.column(text))
-                langs, scores = ["und"] * b.num_rows, np.zeros(b.num_rows)
+                langs, scores, highest = ["und"] * b.num_rows, np.zeros(b.num_rows), np.zeros(b.num_rows)
                 if f.languages:
                     rates = f.rates(g, starts)
-                    best, total = rates.argmax(1), rates.sum(1)
-                    scores = np.where(total > 0, rates.max(1) / np.maximum(total, 1e-300), 0.0)
+                    best, total, highest = rates.argmax(1), rates.sum(1), rates.max(1)
+                    scores = np.where(total > 0, highest / np.maximum(total, 1e-300), 0.0)
                     data, offsets = words.bytes_of(b.column(text))
                     letter = np.concatenate(([0], np.cumsum(_FOLD[data] != 32)))
                     ascii_ = np.concatenate(([0], np.cumsum((_FOLD[data] != 32) & (data < 128))))
@@ -149,12 +151,12 @@ def predict(documents: DataFrame, filters: LanguageFilters, into: str = "predict
                         if plain[i] or some[i] and any(c.isalpha() for c in b.column(text)[i].as_py()):
                             langs[i] = f.languages[best[i]]
                         else:
-                            scores[i] = 0
-                col = pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+                            scores[i] = highest[i] = 0
+                col = pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(highest, pa.float64())], ["lang", "score", "rate"])
                 yield pa.RecordBatch.from_arrays([*b.columns, col], names=[*b.schema.names, into])
 
     fields = [f"`{n}` {t}" for n, t in documents.dtypes]
-    return documents.mapInArrow(decide, ", ".join([*fields, f"`{into}` struct<lang:string,score:double>"]))
+    return documents.mapInArrow(decide, ", ".join([*fields, f"`{into}` struct<lang:string,score:double,rate:double>"]))
 
 
 def training_rows(documents: DataFrame) -> DataFrame:
