@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, words
-from .passages import winnow
 
 K = 2
 WINDOW = 2
@@ -147,7 +146,7 @@ class Index:
         if not len(r) or not len(self.keys):
             return z, z, z
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(r)]
-        at = winnow(r, np.arange(len(r)) + K <= first[1:][doc], WINDOW)
+        at = words.winnow(r, np.arange(len(r)) + K <= first[1:][doc], WINDOW)
         k = self._find(r[at], self.keys, self.tables[0])
         at, k = at[k >= 0], k[k >= 0]
         n = self.size[k]

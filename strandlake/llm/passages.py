@@ -1,20 +1,24 @@
 """Repeated passages across documents by collinear chaining of shared k-mer seeds.
 
-1. Seeds: of the hashes of all runs of K words, the smallest of every WINDOW neighbours (so any shared run of
-   K + WINDOW - 1 words has a common seed). Words are lower-cased runs of letters and digits.
-2. A seed that several documents hold belongs to the smallest of their doc_ids, the owner. The n-th place of that seed
-   in another document and the n-th (or else the last) in the owner are an anchor, and so are those in a document and
-   in the one before it that holds the seed. So n copies give at most 2 n - 3 anchors.
-3. Chains: anchors of a document and an owner in increasing order of both places, with a cost for every word between
-   them; a Fenwick tree over the owner's places holds the best chain that ends before each place.
+1. Seeds: the runs of K words whose hash has a remainder of 0 by EVERY, whatever stands around them. Words are
+   lower-cased runs of letters and digits.
+2. A seed's place in a document and its place in the document before (by doc_id) that holds the seed are an anchor: the
+   n-th place there, or else the first. So n copies give n - 1 anchors a seed, and a passage meets the latest document
+   that holds it, also where parts of it stand in other documents. Seeds that a sample shows to be frequent are dealt
+   over SPREAD ranges of doc_id, and the ranges are joined at their ends, so no task holds all places of a hot seed.
+3. Chains: anchors of a document and one before it in increasing order of both places, with a cost for every word
+   between them; a Fenwick tree over the places holds the best chain that ends before each place. Anchors in order on
+   both sides are a chain as they are. A lone seed of K words is no chain: a passage of LEAST words that is alike in
+   five of six words has 12 seeds and more.
 4. Alignment: words in the gaps between a chain's anchors and up to FLANK words beyond its ends are fetched for both
-   documents and aligned in a band; the chain grows as long as the alignment gains, and its identity is counted.
-   A lone anchor is a chain too.
+   documents (as 24 bits of their hashes) and aligned in a band; the chain grows as long as the alignment gains, and its
+   identity is counted.
 5. Passages: a document's aligned chains of at least PART words that touch (up to JOIN words apart) are joined;
    those of at least `least` words count.
 
-A repeated passage is reported for every document but the owner; null doc_ids and texts have none. Rows of one doc_id
-are one document that holds each of their texts and never repeats itself.
+A repeated passage is reported for every document but the first; null doc_ids and texts have none, empty texts neither.
+Rows of one doc_id are one document that holds each of their texts and never repeats itself. Texts of any length are
+read whole; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common, words
 
 K = 5
-WINDOW = 3
+EVERY = 2
 LEAST = 45
 PART = 20
 JOIN = 4
@@ -42,43 +46,46 @@ CHUNK = 256
 #: places of a seed beyond which its documents are dealt over SPREAD ranges of ids
 HOT = 2000
 SPREAD = 64
+#: documents among which frequent seeds are looked for, and how many seeds at most are dealt so
+SAMPLE = 20_000
+HOT_SEEDS = 1 << 17
 
 
-def winnow(r: np.ndarray, valid: np.ndarray, window: int) -> np.ndarray:
-    """Places of hashes that are the smallest in some window of neighbours; the others are only compared."""
-    top = np.iinfo(np.uint64).max
-    x = np.concatenate((np.full(window - 1, top, np.uint64), np.where(valid, r, top), np.full(window - 1, top, np.uint64)))
-    least = x
-    for j in range(1, window):
-        least = np.minimum(least[:-1], x[j:])
-    most = least
-    for j in range(1, window):
-        most = np.maximum(most[:-1], least[j:])
-    return np.flatnonzero((most == r) & valid)
+def seeds(documents: DataFrame, hot: np.ndarray | None = None, cuts: list[int] | None = None) -> DataFrame:
+    """(seed, doc_id, place, nth, part) of every seed of every document; nth counts the places of one seed in a document.
 
-
-def seeds(documents: DataFrame) -> DataFrame:
-    """(seed, doc_id, place, nth) of every seed of every document; nth counts the places of one seed in a document."""
+    part is 0, and for the seeds in `hot` (sorted) the range between `cuts` in which doc_id lies, from 1 on.
+    """
+    spark = documents.sparkSession
+    sent = spark.sparkContext.broadcast((np.zeros(0, np.int64) if hot is None else hot, np.array(cuts or [], np.int64)))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, ends = sent.value
         for batch in batches:
             for b in words.pieces(batch, "text"):
                 h, first = words.word_hashes(b.column(1), words.LETTER_WORDS)
                 r = words.runs(h, K)
                 if not len(r):
                     continue
-                doc = np.repeat(np.arange(b.num_rows), np.diff(first))[: len(r)]
-                at = winnow(r, np.arange(len(r)) + K <= first[1:][doc], WINDOW)
-                d, seed = doc[at], r[at]
-                order = np.lexsort((at, seed, d))
-                new = np.ones(len(at), bool)
-                new[1:] = (np.diff(seed[order]) != 0) | (np.diff(d[order]) != 0)
-                begin = np.flatnonzero(new)
+                at = np.flatnonzero(r % np.uint64(EVERY) == 0)
+                d = np.searchsorted(first, at, "right") - 1
+                inside = at + K <= first[1:][d]
+                at, d = at[inside], d[inside]
+                seed = r[at]
+                mixed = seed + words.mix(d.astype(np.uint64))
+                order = np.argsort(mixed, kind="stable")
+                begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), bool), np.diff(mixed[order]) != 0)))
                 nth = np.empty(len(at), np.int32)
                 nth[order] = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
-                yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), b.column(0).take(pa.array(d)), pa.array((at - first[:-1][d]).astype(np.int32)), pa.array(nth)], names=["seed", "doc_id", "place", "nth"])
+                ids, seed = b.column(0).to_numpy()[d], seed.view(np.int64)
+                part = np.zeros(len(at), np.int32)
+                if len(often):
+                    k = np.minimum(np.searchsorted(often, seed), len(often) - 1)
+                    some = np.flatnonzero(often[k] == seed)
+                    part[some] = np.searchsorted(ends, ids[some]) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(seed), pa.array(ids), pa.array((at - first[:-1][d]).astype(np.int32)), pa.array(nth), pa.array(part)], names=["seed", "doc_id", "place", "nth", "part"])
 
-    return documents.where("doc_id is not null").mapInArrow(find, "seed long, doc_id long, place int, nth int")
+    return documents.where("doc_id is not null").mapInArrow(find, "seed long, doc_id long, place int, nth int, part int")
 
 
 def chains(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
@@ -214,69 +221,80 @@ def matches(a: np.ndarray, b: np.ndarray) -> int:
     """Matching words of a banded global alignment of two gaps."""
     if not len(a) or not len(b):
         return 0
-    if len(a) == len(b) and (a == b).all():
-        return len(a)
-    band = BAND + abs(len(a) - len(b))
-    a, b = a.tolist(), b.tolist()
+    band, n = BAND + abs(len(a) - len(b)), min(len(a), len(b))
+    # what is equal from the beginning and from the end stays so
+    head = int(np.argmin(np.append(a[:n] == b[:n], False)))
+    tail = int(np.argmin(np.append((a[::-1][: n - head] == b[::-1][: n - head]), False)))
+    a, b = a[head : len(a) - tail].tolist(), b[head : len(b) - tail].tolist()
+    if not a or not b:
+        return head + tail
     row = [0] * (len(b) + 1)
     for i, w in enumerate(a, 1):
         new = [0] * (len(b) + 1)
         for j in range(1, len(b) + 1):
             new[j] = max(row[j], new[j - 1], row[j - 1] + (w == b[j - 1] and abs(i - j) <= band))
         row = new
-    return row[-1]
+    return head + tail + row[-1]
+
+
+_NAMES = ["doc_id", "owner", "begin", "end", "owner_begin", "owner_end", "solid", "cuts", "owner_cuts"]
+
+
+def linked(d: np.ndarray, o: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """Chains of two anchors and more of whole groups (document, owner) that lie one after the other, sorted by places."""
+    new = np.ones(len(d), bool)
+    new[1:] = (np.diff(d) != 0) | (np.diff(o) != 0) | (np.diff(x) > MAX_GAP + K)  # anchors further apart never share a chain
+    begin = np.flatnonzero(new)
+    up = np.ones(len(d), bool)
+    up[1:] = new[1:] | (np.diff(x) > 0) & (np.diff(y) > 0)
+    plain = np.logical_and.reduceat(up, begin) if len(begin) else np.zeros(0, bool)
+    size = np.diff(np.append(begin, len(d)))
+    # in order already: every anchor follows the one before
+    rows = np.flatnonzero(np.repeat(plain, size))
+    first = new[rows]
+    first[1:] |= np.diff(y[rows]) > MAX_GAP + K
+    order, start = [rows], [first]
+    for i in np.flatnonzero(~plain).tolist():
+        part = np.arange(begin[i], begin[i] + size[i])
+        for c in chains(x[part], y[part]):
+            order.append(part[c])
+            start.append(np.arange(len(c)) == 0)
+    rows, first = np.concatenate(order), np.concatenate(start)
+    begin = np.flatnonzero(first)
+    size = np.diff(np.append(begin, len(rows)))
+    keep = np.repeat(size > 1, size)
+    rows, first = rows[keep], first[keep]
+    begin = np.flatnonzero(first)
+    end = (np.append(begin[1:], len(rows)) - 1)[: len(begin)]
+    cx, cy = x[rows], y[rows]
+    # words between anchors: from one's end to the next's begin, in both texts
+    dx, dy = np.diff(cx, prepend=0), np.diff(cy, prepend=0)
+    open_ = ~first & ((dx != dy) | (dx > K))
+    solid = np.where(first, K, np.where(open_, np.minimum(np.minimum(dx, dy), K), dx))
+    solid = np.add.reduceat(solid, begin) if len(begin) else np.zeros(0, np.int64)
+    at = np.flatnonzero(open_)
+    edges = np.concatenate(([0], np.cumsum(np.add.reduceat(open_.astype(np.int64), begin) if len(begin) else []))).astype(np.int32) * 2
+    gaps = [pa.ListArray.from_arrays(edges, pa.array(np.stack((np.minimum(c[at - 1] + K, c[at]), c[at]), 1).ravel().astype(np.int32))) for c in (cx, cy)]
+    numbers = [cx[begin], cx[end] + K, cy[begin], cy[end] + K, solid]
+    return pa.RecordBatch.from_arrays([pa.array(d[rows[begin]]), pa.array(o[rows[begin]]), *(pa.array(v.astype(np.int32)) for v in numbers), *gaps], names=_NAMES)
 
 
 def _chained(anchors: DataFrame) -> DataFrame:
     """(chain, doc_id, owner, begin, end, owner_begin, owner_end, solid, cuts, owner_cuts) of every chain."""
 
-    names = ["doc_id", "owner", "begin", "end", "owner_begin", "owner_end", "solid", "cuts", "owner_cuts"]
-
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lone: list[pa.RecordBatch] = []
-
-        def others() -> Iterator[pa.RecordBatch]:
-            """The batches without groups of a single anchor inside them, which are chains as they are."""
-            for b in batches:
-                d, o = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("doc_id", "owner"))
-                new = (np.diff(d) != 0) | (np.diff(o) != 0)
-                one = np.zeros(b.num_rows, bool)
-                one[1:-1] = new[:-1] & new[1:]
-                lone.append(b.filter(pa.array(one)))
-                yield b.filter(pa.array(~one))
-
-        def ready() -> Iterator[pa.RecordBatch]:
-            while lone:
-                b = lone.pop()
-                d, o, x, y = (b.column(b.schema.get_field_index(c)) for c in ("doc_id", "owner", "place", "owner_place"))
-                ends = [pa.array(v.to_numpy() + K, pa.int32()) for v in (x, y)]
-                none = pa.array([[]] * b.num_rows, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([d, o, x, ends[0], y, ends[1], pa.array([K] * b.num_rows, pa.int32()), none, none], names=names)
-
-        for t in common.groups(others(), ["doc_id", "owner"]):
-            yield from ready()
-            x, y = t["place"].to_numpy().astype(np.int64), t["owner_place"].to_numpy().astype(np.int64)
-            rows = []
-            far = np.flatnonzero(np.diff(x) > MAX_GAP + K) + 1  # anchors further apart never share a chain
-            for part in np.split(np.arange(len(x)), far):
-                for c in chains(x[part], y[part]):
-                    c = part[c]
-                    cx, cy = x[c], y[c]
-                    # words between anchors: from one's end to the next's begin, in both texts
-                    dx, dy = np.diff(cx), np.diff(cy)
-                    open_ = (dx != dy) | (dx > K)
-                    at = np.flatnonzero(open_)
-                    solid = K + int(np.where(open_, np.minimum(np.minimum(dx, dy), K), dx).sum())
-                    gx = [(int(min(cx[i] + K, cx[i + 1])), int(cx[i + 1])) for i in at]
-                    gy = [(int(min(cy[i] + K, cy[i + 1])), int(cy[i + 1])) for i in at]
-                    rows.append((int(cx[0]), int(cx[-1]) + K, int(cy[0]), int(cy[-1]) + K, solid, gx, gy))
-            d, o = t["doc_id"][0].as_py(), t["owner"][0].as_py()
-            flat = lambda g: [v for p in g for v in p]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([d] * len(rows), pa.int64()), pa.array([o] * len(rows), pa.int64()), *[pa.array([r[i] for r in rows], pa.int32()) for i in range(5)], pa.array([flat(r[5]) for r in rows], pa.list_(pa.int32())), pa.array([flat(r[6]) for r in rows], pa.list_(pa.int32()))],
-                names=names,
-            )
-        yield from ready()
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+        for batch in batches:
+            held = [np.concatenate((h, batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64))) for h, c in zip(held, ("doc_id", "owner", "place", "owner_place"))]
+            if not len(held[0]):
+                continue
+            # the last group may go on in the next batch
+            last = int(np.flatnonzero(np.concatenate(([True], (np.diff(held[0]) != 0) | (np.diff(held[1]) != 0))))[-1])
+            if last:
+                yield linked(*(h[:last] for h in held))
+                held = [h[last:] for h in held]
+        if len(held[0]):
+            yield linked(*held)
 
     sorted_ = anchors.repartition(common.partitions(anchors), "doc_id").sortWithinPartitions("doc_id", "owner", "place", "owner_place")
     out = sorted_.mapInArrow(chain, "doc_id long, owner long, begin int, end int, owner_begin int, owner_end int, solid int, cuts array<int>, owner_cuts array<int>")
@@ -287,22 +305,26 @@ def _fetched(chained: DataFrame, documents: DataFrame) -> DataFrame:
     """(chain, side, doc_id, other, lo, hi, solid, words, sizes): the words of every chain's gaps and flanks in one document."""
     side = lambda s, d, e, lo, hi, c: chained.select(F.col(d).alias("doc_id"), F.struct("chain", F.lit(s).alias("side"), F.col(e).alias("other"), F.col(lo).alias("lo"), F.col(hi).alias("hi"), "solid", F.col(c).alias("cuts")).alias("ask"))
     asks = side(0, "doc_id", "owner", "begin", "end", "cuts").union(side(1, "owner", "doc_id", "owner_begin", "owner_end", "owner_cuts"))
-    parts = asks.groupBy("doc_id").agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias("parts"))
-    asks = asks.join(parts, "doc_id").groupBy("doc_id", F.pmod(F.xxhash64("ask.chain"), "parts").alias("salt")).agg(F.collect_list("ask").alias("asks"))
-    texts = common.passing(documents, "doc_id", common.id_filter(parts.select("doc_id")))
+    ids = asks.select("doc_id").groupBy("doc_id").count()
+    # a document that many chains ask for is asked in parts; a table, so that a join with it can be split
+    parts = common.cut(ids.where(f"count > {CHUNK}").select("doc_id", F.ceil(F.col("count") / F.lit(CHUNK)).alias("parts")), "parts")
+    asks = asks.join(parts, "doc_id", "left").withColumn("salt", F.pmod(F.xxhash64("ask.chain"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    asks = asks.repartition(common.partitions(documents), "doc_id", "salt").groupBy("doc_id", "salt").agg(F.collect_list("ask").alias("asks"))
+    asks = common.cut(asks, "asks")
+    texts = common.passing(documents, "doc_id", common.id_filter(asks.select("doc_id")))
     kinds = [("chain", pa.int64()), ("side", pa.int32()), ("doc_id", pa.int64()), ("other", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("solid", pa.int32()), ("words", pa.binary()), ("sizes", pa.list_(pa.int32()))]
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in words.pieces(batch, "text"):
                 h, first = words.word_hashes(b.column(0), words.LETTER_WORDS)
-                low = (h & np.uint64(0x7FFFFFFF)).astype(np.int32)
+                low = np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3])
                 out: list[list] = [[] for _ in kinds]
                 for i, (d, asks_) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
                     w = low[first[i] : first[i + 1]]
                     for a in asks_:
                         got = [w[max(0, a["lo"] - FLANK) : a["lo"]], w[a["hi"] : a["hi"] + FLANK], *(w[lo:hi] for lo, hi in zip(a["cuts"][::2], a["cuts"][1::2]))]
-                        for col, v in zip(out, (a["chain"], a["side"], d, a["other"], a["lo"], a["hi"], a["solid"], np.concatenate(got).tobytes(), [len(g) for g in got])):
+                        for col, v in zip(out, (a["chain"], a["side"], d, a["other"], a["lo"], a["hi"], a["solid"], b"".join(g.tobytes() for g in got), [len(g) for g in got])):
                             col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(out, kinds)], names=[n for n, _ in kinds])
 
@@ -310,37 +332,51 @@ def _fetched(chained: DataFrame, documents: DataFrame) -> DataFrame:
     return out.mapInArrow(fetch, "chain long, side int, doc_id long, other long, lo int, hi int, solid int, words binary, sizes array<int>")
 
 
-def _before(shared: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, owner, place, owner_place): anchors with the document before that holds the seed, unless it is the owner."""
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / SPREAD for i in range(1, SPREAD)], 2000)).first()[0] or []
-    ranges = F.lit(0)
-    for c in sorted(set(cuts)):
-        ranges = ranges + (F.col("doc_id") > c).cast("int")
-    rows = shared.withColumn("part", F.when(F.col("n") > HOT, ranges).otherwise(0))
-    places = F.sort_array(F.collect_set(F.struct("nth", "place"))).alias("places")
-    held = lambda r: r.repartition("seed", "part").groupBy("seed", "part", "doc_id", "owner").agg(places).withColumn("it", F.struct("doc_id", "places"))
-    near = held(rows).select("it", "owner", F.lag("it").over(Window.partitionBy("seed", "part").orderBy("doc_id")).alias("prev"))
-    # the first of a hot seed's range follows the last of the range before
-    ends = held(rows.where(F.col("n") > HOT)).groupBy("seed", "part", "owner").agg(F.min("it").alias("it"), F.max("it").alias("last"))
-    far = ends.select("it", "owner", F.lag("last").over(Window.partitionBy("seed").orderBy("part")).alias("prev"))
-    both = near.union(far).where("prev.doc_id <> owner")
-    at = F.transform("it.places", lambda p: F.struct(p["place"].alias("place"), F.element_at("prev.places", F.least(p["nth"] + 1, F.size("prev.places")))["place"].alias("owner_place")))
-    return both.select(F.col("it.doc_id").alias("doc_id"), F.col("prev.doc_id").alias("owner"), F.explode(at).alias("at")).select("doc_id", "owner", "at.place", "at.owner_place")
+def _read(raw: bytes, sizes: list[int]) -> list[np.ndarray]:
+    """Words of 24 bits, in pieces of these sizes."""
+    wide = np.zeros((len(raw) // 3, 4), np.uint8)
+    wide[:, :3] = np.frombuffer(raw, np.uint8).reshape(-1, 3)
+    return np.split(wide.view("<i4").ravel(), np.cumsum(sizes)[:-1])
+
+
+def _frequent(docs: DataFrame) -> np.ndarray:
+    """Seeds that a sample of at most about SAMPLE documents shows to have more than HOT places; they are dealt apart,
+    nothing else depends on the sample."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("seeds")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    often = seeds(some).groupBy("seed").count().where(F.col("count") > max(1 if share == 1 else 8, int(HOT * share)))
+    return np.sort(np.array([r[0] for r in often.orderBy(F.desc("count"), "seed").limit(HOT_SEEDS).select("seed").collect()], np.int64))
+
+
+def _anchors(docs: DataFrame) -> DataFrame:
+    """(doc_id, owner, place, owner_place): every seed's place and one in the document before that holds the seed."""
+    hot, cuts = _frequent(docs), []
+    if len(hot):
+        cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / SPREAD for i in range(1, SPREAD)], 2000)).first()[0] or []))
+    same = Window.partitionBy("seed", "part")
+    before = same.orderBy("doc_id").rangeBetween(Window.unboundedPreceding, -1)
+    level = Window.partitionBy("seed", "part", "nth").orderBy("doc_id").rangeBetween(Window.unboundedPreceding, -1)
+    held = seeds(docs, hot, cuts).withColumns({"low": F.min("doc_id").over(same), "high": F.max("doc_id").over(same)}).where("low < high or part > 0").drop("low", "high")
+    # the same place in number of the document before, or its first
+    held = held.withColumn("any", F.max(F.struct("doc_id", -F.col("nth"), "place")).over(before)).withColumn("own", F.max(F.struct("doc_id", "place")).over(level))
+    at = F.when(F.col("own").isNull(), F.struct(F.col("any.doc_id").alias("owner"), F.col("any.place").alias("owner_place"))).otherwise(F.struct(F.col("own.doc_id").alias("owner"), F.col("own.place").alias("owner_place")))
+    cold = F.when(F.col("part") > 0, F.col("seed")).alias("seed")
+    held = common.cut(held.select("doc_id", "place", "nth", "part", cold, at.alias("at")).where("at.owner is not null or part > 0"), "anchors")
+    out = held.where("at.owner is not null").select("doc_id", "at.owner", "place", "at.owner_place")
+    if not len(hot):
+        return out
+    # a range's first document follows the last one of the ranges before
+    rows = held.where("part > 0")
+    ends = rows.groupBy("seed", "part").agg(F.max(F.struct("doc_id", -F.col("nth"), "place")).alias("last"))
+    ends = ends.withColumn("last", F.max("last").over(Window.partitionBy("seed").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).where("last is not null")
+    far = rows.where("at.owner is null").join(common.cut(ends, "ends"), ["seed", "part"])
+    return out.union(far.select("doc_id", F.col("last.doc_id").alias("owner"), "place", F.col("last.place").alias("owner_place")))
 
 
 def aligned_chains(documents: DataFrame) -> DataFrame:
     """(doc_id, owner, begin, end, matched): places of words in doc_id that an alignment finds in the owner."""
     docs = common.one_column(documents, "doc_id", "text").withColumn("text", F.col("text").cast("string")).where("doc_id is not null and text is not null")
-    found = seeds(docs)
-    # as a table of its own, so that the join below has an exchange on either side and a hot seed can be split
-    owners = common.cut(found.groupBy("seed").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("owner < last").drop("last"), "owners")
-    shared = common.cut(found.join(owners, "seed"), "seeds")
-    places = shared.where("doc_id = owner").groupBy("seed").agg(F.sort_array(F.collect_set(F.struct("nth", "place"))).alias("places"))
-    places = common.cut(places, "places")
-    anchors = shared.where("doc_id <> owner").join(places, "seed")
-    anchors = anchors.select("doc_id", "owner", "place", F.element_at("places", F.least(F.col("nth") + 1, F.size("places")))["place"].alias("owner_place"))
-    anchors = anchors.union(_before(shared, docs))
-    chained = common.cut(_chained(anchors), "chains")
+    chained = common.cut(_chained(_anchors(docs)), "chains")
     sides = _fetched(chained, docs)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -359,7 +395,7 @@ def aligned_chains(documents: DataFrame) -> DataFrame:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for both in pairs(batches):
-            p0, p1 = ([np.split(np.frombuffer(p[s][7], np.int32), np.cumsum(p[s][8])[:-1]) for p in both] for s in (0, 1))
+            p0, p1 = ([_read(p[s][7], p[s][8]) for p in both] for s in (0, 1))
             left = grow_many([p[0][::-1] for p in p0], [p[0][::-1] for p in p1])
             right = grow_many([p[1] for p in p0], [p[1] for p in p1])
             get = lambda i: np.array([p[0][i] for p in both], np.int64)
