@@ -1,6 +1,6 @@
 """A training corpus from raw documents in five stages; each works on all that the stage before it kept.
 
-language: what has no letters, or no language that is clearly ahead, goes. near_duplicates: of each group of linked
+language: what has no letters, or few n-grams of any one language, goes. near_duplicates: of each group of linked
 documents the one with the smallest doc_id stays. passages: repeated passages stay in their first document only.
 decontamination: spans of test items go, and documents that consist of them for the most part. packing: pieces of at
 most 2048 tokens in sequences. All but the last return the columns of documents.
@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.llm import common, decontaminate, jaccard, langid, packing, passages
 
-#: a text's language needs at least this share of all languages' rates
-LEAST_SCORE = 0.3
+#: at least this share of a text's n-grams must stand in its language's filter, however many languages there are
+LEAST_RATE = 0.1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     into = common.fresh(docs.columns, "predicted")
     told = langid.predict(docs, langid.fit(langid.training_rows(docs)), into)
-    return told.where(f"`{into}`.lang <> 'und' and `{into}`.score >= {LEAST_SCORE}").select(docs.columns)
+    return told.where(f"`{into}`.lang <> 'und' and `{into}`.rate >= {LEAST_RATE}").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +50,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = common.cut(stage(spark, docs, sf_dir), name)
+        before, docs = docs, common.cut(stage(spark, docs, sf_dir), name)
+        common.drop(before)
     return docs
