@@ -1,7 +1,8 @@
 """Repeated passages across documents by collinear chaining of shared k-mer seeds.
 
-1. Seeds: the runs of K words whose hash has a remainder of 0 by EVERY, whatever stands around them. Words are
-   lower-cased runs of letters and digits.
+1. Seeds: the runs of K words whose hash has a remainder of 0 by EVERY, whatever stands around them, and those that
+   repeat one to three words, since a text of such runs has too few different ones to choose from; their places are
+   counted anew after every WRAP. Words are lower-cased runs of letters and digits.
 2. A seed's place in a document and its place in the document before (by doc_id) that holds the seed are an anchor: the
    n-th place there, or else the first. So n copies give n - 1 anchors a seed, and a passage meets the latest document
    that holds it, also where parts of it stand in other documents. Seeds that a sample shows to be frequent are dealt
@@ -43,6 +44,7 @@ BAND = 6
 MAX_GAP = 40
 GAP_COST = 0.1
 CHUNK = 256
+WRAP = 40
 #: places of a seed beyond which its documents are dealt over SPREAD ranges of ids
 HOT = 2000
 SPREAD = 64
@@ -67,7 +69,11 @@ def seeds(documents: DataFrame, hot: np.ndarray | None = None, cuts: list[int] |
                 r = words.runs(h, K)
                 if not len(r):
                     continue
-                at = np.flatnonzero(r % np.uint64(EVERY) == 0)
+                periodic = np.zeros(len(r), bool)
+                for p in (1, 2, 3):
+                    again = np.append(h[:-p] == h[p:], np.zeros(p, bool))
+                    periodic |= np.logical_and.reduce([again[i : i + len(r)] for i in range(K - p)])
+                at = np.flatnonzero(periodic | (r % np.uint64(EVERY) == 0))
                 d = np.searchsorted(first, at, "right") - 1
                 inside = at + K <= first[1:][d]
                 at, d = at[inside], d[inside]
@@ -77,6 +83,7 @@ def seeds(documents: DataFrame, hot: np.ndarray | None = None, cuts: list[int] |
                 begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), bool), np.diff(mixed[order]) != 0)))
                 nth = np.empty(len(at), np.int32)
                 nth[order] = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
+                nth[periodic[at]] %= WRAP
                 ids, seed = b.column(0).to_numpy()[d], seed.view(np.int64)
                 part = np.zeros(len(at), np.int32)
                 if len(often):
@@ -365,12 +372,14 @@ def _anchors(docs: DataFrame) -> DataFrame:
     out = held.where("at.owner is not null").select("doc_id", "at.owner", "place", "at.owner_place")
     if not len(hot):
         return out
-    # a range's first document follows the last one of the ranges before
-    rows = held.where("part > 0")
-    ends = rows.groupBy("seed", "part").agg(F.max(F.struct("doc_id", -F.col("nth"), "place")).alias("last"))
-    ends = ends.withColumn("last", F.max("last").over(Window.partitionBy("seed").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).where("last is not null")
-    far = rows.where("at.owner is null").join(common.cut(ends, "ends"), ["seed", "part"])
-    return out.union(far.select("doc_id", F.col("last.doc_id").alias("owner"), "place", F.col("last.place").alias("owner_place")))
+    # a range's first document follows the last one of the ranges before: at the same place in number, or its first
+    rows, by_part = held.where("part > 0"), lambda *keys: Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    own = rows.groupBy("seed", "part", "nth").agg(F.max(F.struct("doc_id", "place")).alias("own"))
+    own = common.cut(own.withColumn("own", F.max("own").over(by_part("seed", "nth"))), "ends")
+    any_ = rows.groupBy("seed", "part").agg(F.max(F.struct("doc_id", -F.col("nth"), "place")).alias("any"))
+    any_ = common.cut(any_.withColumn("any", F.max("any").over(by_part("seed"))), "ends")
+    far = rows.where("at.owner is null").drop("at").join(own, ["seed", "part", "nth"]).join(any_, ["seed", "part"])
+    return out.union(far.select("doc_id", at.alias("at"), "place").where("at.owner is not null").select("doc_id", "at.owner", "place", "at.owner_place"))
 
 
 def aligned_chains(documents: DataFrame) -> DataFrame:

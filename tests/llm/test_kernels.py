@@ -114,16 +114,59 @@ def test_fenwick_chain_is_the_best_chain():
 
 def test_winnowing_guarantee():
     rng = np.random.default_rng(3)
-    shared = words.mix(rng.integers(0, 1 << 40, passages.K + passages.WINDOW - 1).astype(np.uint64))
+    shared = words.mix(rng.integers(0, 1 << 40, licenses.K + licenses.WINDOW - 1).astype(np.uint64))
     for _ in range(20):
         found = []
         for _ in range(2):
             h = np.concatenate((words.mix(rng.integers(0, 1 << 40, 30).astype(np.uint64)), shared, words.mix(rng.integers(0, 1 << 40, 30).astype(np.uint64))))
-            r = words.runs(h, passages.K)
-            found.append(set(r[passages.winnow(r, np.ones(len(r), bool), passages.WINDOW)].tolist()))
+            r = words.runs(h, licenses.K)
+            found.append(set(r[words.winnow(r, np.ones(len(r), bool), licenses.WINDOW)].tolist()))
         assert found[0] & found[1]
 
 
+def test_chains_of_many_groups_are_those_of_each():
+    rng = random.Random(7)
+    rows = []
+    for d in range(60):
+        for o in range(rng.randrange(4)):
+            x = y = 0
+            for _ in range(rng.randrange(1, 12)):
+                x, y = x + rng.choice([1, 2, 7, 60]), max(0, y + rng.choice([1, 2, 7, 60, -9]))
+                rows.append((d, o, x, y))
+    rows = sorted(set(rows))
+    d, o, x, y = (np.array(c, np.int64) for c in zip(*rows))
+    far = passages.MAX_GAP + passages.K
+    want = []
+    for k in sorted({r[:2] for r in rows}):
+        at = [i for i, r in enumerate(rows) if r[:2] == k]
+        for part in np.split(np.array(at), np.flatnonzero(np.diff(x[at]) > far) + 1):
+            for c in passages.chains(x[part], y[part]):
+                if len(c) > 1:
+                    want.append((*k, int(x[part[c[0]]]), int(x[part[c[-1]]]) + passages.K, int(y[part[c[0]]]), int(y[part[c[-1]]]) + passages.K, [(int(min(x[part[i]] + passages.K, x[part[j]])), int(x[part[j]])) for i, j in zip(c[:-1], c[1:]) if x[part[j]] - x[part[i]] != y[part[j]] - y[part[i]] or x[part[j]] - x[part[i]] > passages.K]))
+    b = passages.linked(d, o, x, y)
+    cuts = [list(zip(v[::2], v[1::2])) for v in b.column(7).to_pylist()]
+    assert sorted(zip(*(c.to_pylist() for c in b.columns[:6]), cuts)) == sorted(want) and len(want) > 40
+    assert [len(v) for v in b.column(7).to_pylist()] == [len(v) for v in b.column(8).to_pylist()]
+
+
+def test_gap_alignment_keeps_equal_ends():
+    rng = np.random.default_rng(9)
+
+    def plain(a, b):
+        band = passages.BAND + abs(len(a) - len(b))
+        row = [0] * (len(b) + 1)
+        for i, w in enumerate(a, 1):
+            new = [0] * (len(b) + 1)
+            for j in range(1, len(b) + 1):
+                new[j] = max(row[j], new[j - 1], row[j - 1] + (w == b[j - 1] and abs(i - j) <= band))
+            row = new
+        return row[-1]
+
+    for _ in range(300):
+        a, b = (rng.integers(0, 4, rng.integers(0, 14)) for _ in range(2))
+        assert passages.matches(a, b) == plain(a.tolist(), b.tolist())
+
+
 def test_extension_alignment():
     a = np.arange(20)
     b = np.concatenate((np.arange(8), [99], np.arange(9, 14), [50, 51, 52, 53, 54, 55]))
@@ -291,6 +334,12 @@ def test_hadamard_and_recall():
     y = 0.93 * x + (1 - 0.93**2) ** 0.5 * z  # exactly at the limit, the hardest pairs
     a, b = near_vectors.buckets(x), near_vectors.buckets(y)
     assert (a[:, :, :, None] == b[:, :, None, :]).any((1, 2, 3)).mean() >= 0.9
+    bits = lambda u, v: np.bitwise_count((u ^ v).view(np.uint64)).sum(1)
+    u, v = near_vectors.signatures(x), near_vectors.signatures(y)
+    assert (bits(u, v) <= near_vectors.most_bits(0.93)).all() and (bits(u, np.roll(u, 1, 0)) <= near_vectors.most_bits(0.93)).mean() < 1e-3
+    for w in (x[0], x[0].astype(np.float32).astype(np.float64)):
+        raw = near_vectors.encoded(w)
+        assert near_vectors.dimensions(raw) == 64 and near_vectors._units([raw])[0] == pytest.approx(w / np.linalg.norm(w), abs=1e-15)
 
 
 def test_section_ends():

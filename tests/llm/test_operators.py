@@ -134,6 +134,15 @@ def test_passages_of_lines_that_stand_elsewhere(spark, monkeypatch):
         assert sorted(found) == [(200, 40, 94, 100, 54), (300, 40, 94, 200, 54)]
 
 
+def test_passages_of_one_word(spark):
+    rng, rows = random.Random(8), []
+    for k in range(12):
+        line = " ".join([f"v{k}"] * 60 if k % 3 else [f"v{k}", f"u{k}"] * 30)
+        rows += [(2 * k + i, f"{prose(rng, 30, 10**6)} {line} {prose(rng, 30, 10**6)}") for i in (0, 1)]
+    found = {r["doc_id"]: (r["begin_word"], r["end_word"]) for r in passages.passages(docs(spark, rows)).collect()}
+    assert found == {2 * k + 1: (30, 90) for k in range(12)}
+
+
 def test_passages_of_nothing(spark):
     assert passages.passages(docs(spark, [])).count() == 0
     assert passages.without_passages(docs(spark, [])).count() == 0
@@ -158,7 +167,7 @@ def test_decontamination(spark, rows, monkeypatch):
                     hit |= set(range(i, i + size))
                     items.add(str(k))
         want[d] = (len(w), hit, sorted(items))
-    for size in (decontaminate.SHARD_WORDS, 20):  # one automaton, then several
+    for size in (decontaminate.SHARD_WORDS, 30, 12):  # one automaton, then several, of items whole and cut
         monkeypatch.setattr(decontaminate, "SHARD_WORDS", size)
         for r in decontaminate.match(docs(spark, rows).drop("match"), b).collect():
             m = r["match"]
@@ -322,6 +331,14 @@ def test_vectors(spark, monkeypatch):
     got = near_vectors.near_vectors(e).collect()
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == {i: (len(links[i]), top(i), top(i) == i) for i, _, _ in rows}
     assert near_vectors.near_vectors(e.limit(0)).count() == 0
+    # in more dimensions signatures pick; single and double precision, repeated ids and columns of the operator's own names
+    base = rng.standard_normal((60, 48))
+    rows = [(i, (base[i % 60] + (0.04 * rng.standard_normal(48) if i >= 60 else 0)).astype(np.float32 if i % 2 else np.float64).tolist(), 1) for i in range(120)] + [(7, rng.standard_normal(48).tolist(), 1)]
+    e = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "vec_id long, embedding array<double>, label int, id int, raw string, part int")
+    want = {i: i % 60 for i in range(120)}
+    got = near_vectors.near_vectors(e).collect()
+    assert len(got) == 121 and all(r["component_id"] == want[r["vec_id"]] and r["n_links"] == 1 for r in got if r["vec_id"] != 7)
+    assert [(r["component_id"], r["n_links"]) for r in got if r["vec_id"] == 7] == [(7, 1)] * 2
 
 
 def test_components(spark):
