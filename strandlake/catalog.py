@@ -104,7 +104,7 @@ def normal(s, d) -> DataFrame:
 
 
 # ---- labels and files
-INFER = "case when contains(file, 'hc15') then 'C15' when contains(file, 'hc5AF') then 'C5' when contains(file, 'wt2_newsep') then 'C2' when contains(file, 'c4_') then 'C4' else coalesce(nullif(regexp_extract(file, '[_\\.](C\\d+)[_\\.]', 1), ''), 'Other') end"
+INFER = "case when contains(file, 'hc5AF') then 'C5' when contains(file, 'wt2_newsep') then 'C2' when contains(file, 'hc15') then 'C15' when contains(file, 'c4_7') then 'C4' else coalesce(nullif(regexp_extract(file, '[_\\.](C\\d+)[_\\.]', 1), ''), 'Other') end"
 FILES = "files as (select o_orderkey id, 'mono_' || case o_custkey % 5 when 0 then 'hc5AF' when 1 then 'wt2_newsep' when 2 then 'hc15' when 3 then 'c4_7' else 'x_C9_y' end || '_N' || o_orderkey || '.bin' as file, o_custkey seed from orders)"
 query("q_infer_label", f"with {FILES} select id, {INFER} as label from files")(lambda s, d: lb.labelled(fx.file_names(s, d)).select("id", "label"))
 query("q_first_files", f"with {FILES}, l as (select file, {INFER} as label from files) select label, file, row_number() over (partition by label order by file) rank from l qualify rank <= 5")(
@@ -139,6 +139,13 @@ query(
 # ---- spatial
 query("q_contact_edges", f"with {EDGES} select 0::bigint run_id, u, v from edges")(lambda s, d: fx.lattice_edges(s, d))
 query("q_box_counts", f"with {POINTS} select run_id, floor(x / 10)::bigint + 1 bx, floor(y / 10)::bigint + 1 as by, count(*) n from points group by 1, 2, 3")(lambda s, d: sp.box_counts(fx.lattice(s, d)))
+query("q_box_members", f"with {POINTS} select run_id, floor(x / 10)::bigint + 1 bx, floor(y / 10)::bigint + 1 as by, count(*) n, string_agg(id::varchar, ',' order by id) ids from points group by 1, 2, 3")(
+    lambda s, d: sp.box_members(fx.lattice(s, d)).withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+)
+query("q_first_edges", f"with {EDGES} select 0::bigint run_id, u, v from edges order by u, v limit 500")(lambda s, d: sp.first_edges(fx.lattice_edges(s, d), 500))
+query("q_pair_checks", f"with {CLOUD}, near as (select a.id u, b.id v, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 d2 from cloud a join cloud b on a.id < b.id where (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 9) select 0::bigint run_id, u, v, round(d2, 6) d2, d2 <= 4 collides, d2 between (2 * 1.02::double * 0.98::double) ** 2 and (2 * 1.02::double) ** 2 touches from near")(
+    lambda s, d: rounded(sp.pair_checks(fx.cloud(s, d), 3.0))
+)
 query(
     "q_remove_small_boxes",
     f"with {EDGES}, kept as (select *, row_number() over (order by id) new_id from (select id, x, y, count(*) over (partition by floor(x / 10), floor(y / 10)) n from points) where n >= 12) select 0::bigint run_id, a.new_id u, b.new_id v from edges join kept a on a.id = u join kept b on b.id = v",
@@ -162,7 +169,7 @@ query("q_transform_coords", f"with {CLOUD} select run_id, id, round((x - (x0 + x
 )
 query(
     "q_corner_occupancy",
-    f"with {CLOUD}, n as (select count(*) filter (x >= x1 - w and y >= y1 - w) tr, count(*) filter (x <= x0 + w and y >= y1 - w) tl, count(*) filter (x >= x1 - w and y <= y0 + w) br, count(*) filter (x <= x0 + w and y <= y0 + w) bl from (select *, 0.25::double * least(x1 - x0, y1 - y0) w from cloud, box)) select 0::bigint run_id, *, case least(tr, tl, br, bl) when tr then 'tr' when tl then 'tl' when br then 'br' else 'bl' end corner from n",
+    f"with {CLOUD}, s as (select *, 0.05::double * least(x1 - x0, y1 - y0) m, 0.24::double * least(x1 - x0, y1 - y0) w from cloud, box), k as (select x between x1 - m - w and x1 - m r, x between x0 + m and x0 + m + w l, y between y1 - m - w and y1 - m t, y between y0 + m and y0 + m + w b from s), n as (select count(*) filter (t and r) tr, count(*) filter (t and l) tl, count(*) filter (b and r) br, count(*) filter (b and l) bl from k) select 0::bigint run_id, *, case least(tr, tl, br, bl) when tr then 'tr' when tl then 'tl' when br then 'br' else 'bl' end corner from n",
 )(lambda s, d: sp.corner_occupancy(fx.cloud(s, d)))
 query(
     "q_pc1_extremes",
@@ -170,8 +177,12 @@ query(
 )(lambda s, d: sp.principal_axis(fx.cloud(s, d)))
 query(
     "q_scale_ticks",
-    f"with {CLOUD}, n as (select greatest(x1 - x0, y1 - y0) * 1.55 nm from box), u as (select *, case when nm >= 1e6 then 1e6 when nm >= 1e3 then 1e3 else 1 end::double divisor from n), b as (select *, nm / divisor / 8 raw, 10.0::double ** floor(log10(nm / divisor / 8)) base from u), t as (select *, base * case when raw / base <= 1 then 1 when raw / base <= 2 then 2 when raw / base <= 5 then 5 else 10 end step from b) select 0::bigint run_id, case when nm >= 1e6 then 'mm' when nm >= 1e3 then 'µm' else 'nm' end unit, divisor, round(step, 6) step, round(ceil(nm / divisor / step) * step, 6) last_tick from t",
+    f"with {CLOUD}, n as (select greatest(x1 - x0, y1 - y0) * 1.55 nm from box), u as (select *, case when nm >= 1e6 then 1e6 when nm >= 1e3 then 1e3 else 1 end::double divisor from n), b as (select *, nm / divisor / 8 raw, 10.0::double ** floor(log10(nm / divisor / 8)) base from u), t as (select *, case when raw <= 0 then 1 else base * case when raw / base <= 1 then 1 when raw / base <= 2 then 2 when raw / base <= 5 then 5 else 10 end end step from b) select 0::bigint run_id, case when nm >= 1e6 then 'mm' when nm >= 1e3 then 'µm' else 'nm' end unit, divisor, round(step, 6) step, round(ceil(nm / divisor / step) * step, 6) last_tick from t",
 )(lambda s, d: sp.scale_ticks(fx.cloud(s, d)))
+query(
+    "q_tick_places",
+    f"with {CLOUD}, n as (select greatest(x1 - x0, y1 - y0) * 1.55 nm from box), u as (select nm / case when nm >= 1e6 then 1e6 when nm >= 1e3 then 1e3 else 1 end::double span from n), b as (select *, span / 8 raw, 10.0::double ** floor(log10(span / 8)) base from u), t as (select *, base * case when raw / base <= 1 then 1 when raw / base <= 2 then 2 when raw / base <= 5 then 5 else 10 end step from b) select 0::bigint run_id, i::int i, round(i * step, 6) tick from t, range(0, 100) r(i) where i <= ceil(span / step)",
+)(lambda s, d: rounded(sp.tick_places(fx.cloud(s, d))))
 query("q_stride_sample", f"with {POINTS} select run_id, id from points qualify (row_number() over (order by id) - 1) % 7 = 0")(lambda s, d: sp.stride_sample(fx.lattice(s, d), 7).select("run_id", "id"))
 query("q_frontier", f"with {POINTS}, s as (select o_id // 1200 run_id, o_id id from (select id o_id from points)) select run_id, id from s qualify id > max(id) over (partition by run_id) - 40")(lambda s, d: sp.frontier(fx.strips(fx.lattice(s, d))).select("run_id", "id"))
 query("q_voronoi")(lambda s, d: rounded(vo.voronoi_areas(fx.cloud(s, d))))
@@ -187,6 +198,9 @@ def _edge_diff(s, d):
 
 
 query("q_edge_diff", f"with {STORED} select 0::bigint run_id, u, v, 'extra' side from (select * from stored except select * from edges) union all select 0, u, v, 'missing' from (select * from edges except select * from stored)")(_edge_diff)
+query("q_edge_gaps", f"with {STORED}, diff as (select u, v, 'extra' side from (select * from stored except select * from edges) union all select u, v, 'missing' from (select * from edges except select * from stored)) select 0::bigint run_id, u, v, side, round(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2), 6) d, 2.0::double two_radii, 2.04::double contact from diff join points p on p.id = u join points q on q.id = v")(
+    lambda s, d: rounded(gr.edge_gaps(fx.lattice(s, d), _edge_diff(s, d)))
+)
 query("q_dedup_edges", "select distinct 0::bigint run_id, least(l_partkey % 1000, l_suppkey) u, greatest(l_partkey % 1000, l_suppkey) v from lineitem where l_partkey % 1000 <> l_suppkey")(
     lambda s, d: gr.dedup_edges(fx.table(s, d, "lineitem").selectExpr("0L as run_id", "l_partkey % 1000 as u", "l_suppkey as v"))
 )
@@ -201,6 +215,9 @@ query("q_turn_hist", f"with {DEVIATION}, r as (select round(deviation, 4) v from
 query("q_node_roles", f"with {DEVIATION} select 0::bigint run_id, deg.id, case when degree = 0 then 'isolated' when degree = 1 then 'leaf' when degree >= 3 then 'junction' when round(deviation, 6) >= 15 then 'turning' else 'interim_straight' end as role from deg left join dev on dev.id = deg.id")(
     lambda s, d: gr.node_roles(*graph(s, d))
 )
+ROLES = f"{DEVIATION}, roles as (select deg.id, case when degree = 0 then 'isolated' when degree = 1 then 'leaf' when degree >= 3 then 'junction' when round(deviation, 6) >= 15 then 'turning' else 'interim_straight' end as role from deg left join dev on dev.id = deg.id)"
+query("q_role_counts", f"with {ROLES} select 0::bigint run_id, role, count(*) n from roles group by role")(lambda s, d: gr.role_counts(*graph(s, d)))
+query("q_end_nodes", f"with {EDGES} select 0::bigint run_id, id, case degree when 1 then 'endpoint' else 'junction' end kind from deg where degree = 1 or degree >= 3")(lambda s, d: gr.end_nodes(*graph(s, d)))
 query("q_components", f"with recursive {COMPS} select 0::bigint run_id, id, comp from comps")(lambda s, d: gr.components(*graph(s, d)))
 query("q_bfs_dist", f"with recursive {SWEEP} select 0::bigint run_id, c comp, v id, d::bigint dist from dist0")(lambda s, d: pt.distances(*graph_with_components(s, d)))
 query("q_geodesic_len", f"with recursive {SWEEP} select 0::bigint run_id, comp, hops from hops")(lambda s, d: pt.backbones(*graph_with_components(s, d), mode="geodesic").select("run_id", "comp", "hops"))
@@ -213,7 +230,8 @@ query(
 CORE = EDGES + ", e0 as (select u, v from edges), " + ", ".join(f"e{i} as materialized (select u, v from e{i - 1} where u in (select x from (select u x from e{i - 1} union all select v from e{i - 1}) group by x having count(*) >= 2) and v in (select x from (select u x from e{i - 1} union all select v from e{i - 1}) group by x having count(*) >= 2))" for i in range(1, 41))
 query("q_two_core", f"with {CORE} select 0::bigint run_id, u, v from e40")(lambda s, d: gr.two_core(fx.lattice_edges(s, d)))
 query("q_segments", f"with recursive {SEGMENTS} select 0::bigint run_id, seg, pos, id from seg")(lambda s, d: gr.segments(fx.lattice_edges(s, d)))
-query("q_segment_length", f"with recursive {ALONG} select 0::bigint run_id, seg, count(*) nodes, round(sum(step), 6) length from turns group by seg")(lambda s, d: rounded(gr.segment_lengths(fx.lattice(s, d), gr.segments(fx.lattice_edges(s, d)))))
+query("q_segments_by_component", f"with recursive {SEGMENTS} select 0::bigint run_id, comp, seg, pos, id from seg join comps using (id)")(lambda s, d: (lambda p, e, c: gr.segments_by_component(e, c))(*graph_with_components(s, d)))
+query("q_segment_length", f"with recursive {ALONG} select 0::bigint run_id, seg, count(*) nodes, round(sum(step), 6) length from turns group by seg having sum(step) > 1e-9")(lambda s, d: rounded(gr.segment_lengths(fx.lattice(s, d), gr.segments(fx.lattice_edges(s, d)))))
 query(
     "q_segment_curvature",
     f"with recursive {ALONG} select 0::bigint run_id, seg, round(coalesce(sum(t), 0), 4) total, round(case when count(id2) > 0 then coalesce(sum(t), 0) / count(id2) else 0 end, 4) mean, round(coalesce(sum(t), 0) / sum(step), 4) density from turns group by seg",
@@ -230,7 +248,14 @@ query(
     "q_refine_segments",
     f"with recursive {ALONG}, f as (select seg, pos + 1 pos from turns where id2 is not null and round(degrees(t), 6) >= 50), m as (select seg, pos, id, (f.pos is not null)::int flag from seg left join f using (seg, pos)), r as (select *, sum(flag) over (partition by seg order by pos) piece from m) select 0::bigint run_id, seg, piece::bigint piece, pos, id from r union all select 0, seg, (piece - 1)::bigint, pos, id from r where flag = 1",
 )(lambda s, d: (lambda p, seg, f: gr.refined_segments(seg, f))(*_flags(s, d)))
-query("q_segment_turnings")(lambda s, d: gr.segment_turnings(fx.lattice(s, d), gr.segments(fx.lattice_edges(s, d)), 50.0))
+query(
+    "q_length_density",
+    f"with recursive {ALONG}, len as (select sum(step) * 1.55::double nm from turns group by seg having sum(step) > 1e-9), b as (select min(nm) - 6 lo, (max(nm) - min(nm) + 12) / 127 h from len) select g::int g, round(lo + g * h, 6) x, round(sum(exp(-0.5 * ((lo + g * h - nm) / 1.5) ** 2)) / (count(*) * 1.5 * sqrt(2 * pi())), 6) density from len, b, range(128) t(g) group by g, lo, h having lo + g * h >= 0",
+)(lambda s, d: rounded(st.length_density(gr.segment_lengths(fx.lattice(s, d), gr.segments(fx.lattice_edges(s, d))))))
+query(
+    "q_segment_turnings",
+    f"with recursive {ALONG}, flag as (select seg, pos + 1 pos, id1 id, row_number() over (partition by seg order by pos) k from turns where id2 is not null and round(degrees(t), 6) >= 50), scan(seg, k, last) as (select seg, k, pos from flag where k = 1 union all select f.seg, f.k, case when f.pos - last >= 2 then f.pos else last end from scan join flag f on f.seg = scan.seg and f.k = scan.k + 1) select 0::bigint run_id, seg, pos, id from flag join scan using (seg, k) where last = pos",
+)(lambda s, d: gr.segment_turnings(fx.lattice(s, d), gr.segments(fx.lattice_edges(s, d)), 50.0))
 
 
 def _forest(s, d):
@@ -241,17 +266,22 @@ def _forest(s, d):
 
 
 query("q_msf_weight", f"with recursive {COMPS} select 0::bigint run_id, comp, 2.0::double * (count(*) - 1) weight, count(*) - 1 edges from comps group by comp having count(*) > 1")(_forest)
-query("q_max_tree")(lambda s, d: gr.spanning_forest(fx.lattice_edges(s, d).withColumn("w", ((F.col("u") * 31 + F.col("v") * 17) % 101).cast("double")), largest=True))
+query(
+    "q_max_tree",
+    f"with recursive {EDGES}, ranked as (select u, v, ((u * 31 + v * 17) % 101)::double w, row_number() over (order by (u * 31 + v * 17) % 101 desc, u, v) k from edges), ways as (select u a, v b, k from ranked union all select v, u, k from ranked), heavier(k0, x) as (select k, u from ranked union select k0, b from heavier join ways on a = x and k < k0) select 0::bigint run_id, u, v, w from ranked where not exists (select 1 from heavier where k0 = k and x = ranked.v)",
+)(lambda s, d: gr.spanning_forest(fx.lattice_edges(s, d).withColumn("w", ((F.col("u") * 31 + F.col("v") * 17) % 101).cast("double")), largest=True))
 query("q_backbone")(lambda s, d: pt.backbones(*graph_with_components(s, d)))
 query("q_turn_aware")(lambda s, d: pt.turn_aware_costs(*graph_with_components(s, d)))
+query("q_turn_aware_length")(lambda s, d: pt.turn_aware_costs(*graph_with_components(s, d), by_length=True))
 query("q_longest_paths")(lambda s, d: pt.longest_paths(*graph_with_components(s, d)))
 
 # ---- faces
 query("q_faces", f"with recursive {FACES} select 0::bigint run_id, u, v, size, round(area, 6) area from loops")(lambda s, d: rounded(fc.loops(*graph(s, d))[1].select("run_id", "u", "v", "size", "area")))
 ENCLOSED = f"{FACES}, outer_ as (select o from loops order by -round(abs(area), 6), u, v limit 1)"
 query("q_face_areas", f"with recursive {ENCLOSED} select 0::bigint run_id, u, v, round(abs(area), 6) area from loops where o not in (select o from outer_)")(lambda s, d: rounded(fc.enclosed(fc.loops(*graph(s, d))[1]).select("run_id", "u", "v", "area")))
-query("q_top_faces", f"with recursive {ENCLOSED} select 0::bigint run_id, u, v, round(abs(area), 6) area from loops where o not in (select o from outer_) order by round(abs(area), 6) desc, u, v limit 50")(
-    lambda s, d: rounded(fc.enclosed(fc.loops(*graph(s, d))[1]).select("run_id", "u", "v", "area")).orderBy(F.desc("area"), "u", "v").limit(50)
+query("q_areas_over_floor", f"with recursive {ENCLOSED} select 0::bigint run_id, u, v, round(abs(area), 6) area from loops where o not in (select o from outer_) and abs(area) >= 5")(lambda s, d: rounded(fc.face_areas(*graph(s, d))))
+query("q_top_faces", f"with recursive {ENCLOSED}, top as (select u, v, abs(area) area from loops where o not in (select o from outer_) order by round(abs(area), 6) desc, u, v limit 50) select 0::bigint run_id, u, v, round(area, 6) area, round((area - min(area) over ()) / greatest(max(area) over () - min(area) over (), 2.220446049250313e-16), 6) shade from top")(
+    lambda s, d: rounded(fc.top_faces(fc.enclosed(fc.loops(*graph(s, d))[1])))
 )
 
 

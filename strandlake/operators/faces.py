@@ -46,6 +46,19 @@ def enclosed(found: DataFrame, floor: float = 0.0, drop_outer: str = "global", p
     return kept.withColumn("area", F.abs("area")).where(F.col("area") >= floor)
 
 
+def face_areas(points: DataFrame, edges: DataFrame, floor: float = 5.0) -> DataFrame:
+    """(run_id, u, v, area) of the enclosed faces of at least the floor."""
+    return enclosed(loops(points, edges)[1], floor).select("run_id", "u", "v", "area")
+
+
+def top_faces(found: DataFrame, most: int = 50) -> DataFrame:
+    """(run_id, u, v, area, shade): the largest faces, and where their areas lie between the smallest and the largest shown."""
+    top = found.withColumn("key", F.round("area", 6)).orderBy(F.desc("key"), "run_id", "u", "v").limit(most)
+    ends = top.agg(F.min("area").alias("lo"), F.max("area").alias("hi"))
+    shade = (F.col("area") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(2.220446049250313e-16))
+    return top.crossJoin(F.broadcast(ends)).select("run_id", "u", "v", "area", shade.alias("shade"))
+
+
 def centroids(points: DataFrame, named: DataFrame, found: DataFrame) -> DataFrame:
     """(run_id, u, v, cx, cy) of every loop; loops without area have the mean of their vertices."""
     p = lambda s: points.select("run_id", F.col("id").alias(s), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}"))

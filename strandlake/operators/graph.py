@@ -24,6 +24,13 @@ def edge_difference(stored: DataFrame, expected: DataFrame) -> DataFrame:
     return a.join(b, key, "left_anti").withColumn("side", F.lit("extra")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("missing")))
 
 
+def edge_gaps(points: DataFrame, edges: DataFrame, radius: float = 1.0, scale: float = 1.02) -> DataFrame:
+    """The edges with their ends' distance d, two radii and the contact distance."""
+    end = lambda s: points.select("run_id", F.col("id").alias(s), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}"))
+    e = edges.join(end("u"), ["run_id", "u"]).join(end("v"), ["run_id", "v"])
+    return e.select(*edges.columns, F.hypot(F.col("xu") - F.col("xv"), F.col("yu") - F.col("yv")).alias("d"), F.lit(2 * radius).alias("two_radii"), F.lit(2 * radius * scale).alias("contact"))
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("run_id", F.col("u").alias("src"), F.col("v").alias("dst")).unionByName(edges.select("run_id", F.col("v").alias("src"), F.col("u").alias("dst")))
 
@@ -70,6 +77,17 @@ def node_roles(points: DataFrame, edges: DataFrame, least: float = 15.0) -> Data
     return d.select("run_id", "id", role.alias("role"))
 
 
+def role_counts(points: DataFrame, edges: DataFrame, least: float = 15.0) -> DataFrame:
+    """(run_id, role, n)."""
+    return node_roles(points, edges, least).groupBy("run_id", "role").agg(F.count("*").alias("n"))
+
+
+def end_nodes(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """(run_id, id, kind): endpoints with one edge, and junctions with three or more."""
+    d = degrees(points, edges).where("degree = 1 or degree >= 3")
+    return d.select("run_id", "id", F.when(F.col("degree") == 1, "endpoint").otherwise("junction").alias("kind"))
+
+
 def components(points: DataFrame, edges: DataFrame) -> DataFrame:
     """(run_id, id, comp): the smallest id that a node reaches; isolated nodes are their own."""
     key = lambda c: F.xxhash64("run_id", c)
@@ -138,6 +156,12 @@ def segments(edges: DataFrame) -> DataFrame:
     return nodes.select("run_id", F.concat_ws("-", "a", "b").alias("seg"), "pos", "id")
 
 
+def segments_by_component(edges: DataFrame, comps: DataFrame) -> DataFrame:
+    """(run_id, comp, seg, pos, id): the segments of the edges, each once, with their component."""
+    s = segments(dedup_edges(edges))
+    return s.join(comps.select("run_id", "id", "comp"), ["run_id", "id"]).select("run_id", "comp", "seg", "pos", "id")
+
+
 def _cycle_ranks(loop: DataFrame, halfedges: DataFrame) -> DataFrame:
     """(run_id, a, b, pos, id) along pure cycles: the step to the start is cut, then places double up as in chains."""
     s = loop.join(halfedges, ["run_id", "src", "dst"])
@@ -157,10 +181,12 @@ def _along(points: DataFrame, seg: DataFrame) -> DataFrame:
     return s.select("*", *[F.lead(c, n).over(w).alias(f"{c}{n}") for c in ("id", "x", "y") for n in (1, 2)])
 
 
-def segment_lengths(points: DataFrame, seg: DataFrame) -> DataFrame:
-    """(run_id, seg, nodes, length); repeated nodes in a row count once."""
-    s = _along(points, seg)
-    return s.groupBy("run_id", "seg").agg(F.count("*").alias("nodes"), F.sum(F.hypot(F.col("x1") - F.col("x"), F.col("y1") - F.col("y"))).alias("length"))
+def segment_lengths(points: DataFrame, seg: DataFrame, least: float = 1e-9) -> DataFrame:
+    """(run_id, seg, nodes, length) of segments with a finite length over `least`; repeated nodes in a row count once."""
+    w = Window.partitionBy("run_id", "seg").orderBy("pos")
+    once = seg.withColumn("before", F.lag("id").over(w)).where("before is null or before <> id").drop("before")
+    s = _along(points, once).groupBy("run_id", "seg").agg(F.count("*").alias("nodes"), F.sum(F.hypot(F.col("x1") - F.col("x"), F.col("y1") - F.col("y"))).alias("length"))
+    return s.where((F.col("length") > least) & (F.col("length") < float("inf")))
 
 
 def segment_curvature(points: DataFrame, seg: DataFrame) -> DataFrame:
@@ -209,4 +235,4 @@ def spanning_forest(edges: DataFrame, weight: str = "w", largest: bool = False)
         e = iterate.cut(new, "forest")
     if taken is None:
         return edges.select("run_id", "u", "v", F.col(weight).cast("double").alias("w")).limit(0)
-    return taken.select("run_id", "u", "v", (F.col("w") * sign).alias("w"))
+    return taken.select("run_id", "u", "v", (F.col("w") * sign + 0.0).alias("w"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: patterns in the order in which they are tried (fixed values)
-PATTERNS = [("hc15", "C15"), ("hc5AF", "C5"), ("wt2_newsep", "C2"), ("c4_", "C4")]
+#: texts in names and their labels (fixed values)
+PATTERNS = [("hc5AF", "C5"), ("wt2_newsep", "C2"), ("hc15", "C15"), ("c4_7", "C4")]
 
 
 def base_name(path: Column) -> Column:
@@ -14,7 +14,10 @@ def base_name(path: Column) -> Column:
 
 
 def label(path: Column, patterns: list[tuple[str, str]] | None = None) -> Column:
-    """The first pattern that the name contains, else a C number between separators, else `Other`."""
+    """The label of the text that the name contains, else a C number between separators, else `Other`.
+
+    Of several texts in one name, the first of the list counts.
+    """
     name = base_name(path)
     out = None
     for text, is_ in PATTERNS if patterns is None else patterns:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry
+
 BIN = 5
 CUTOFF = 0.0005
 TAU_ROW, GAMMA_ROW = 0.05, 2.0
@@ -77,7 +79,7 @@ def compared(w: DataFrame, k: DataFrame) -> DataFrame:
 def relative_bins(points: DataFrame, step: int = BIN) -> DataFrame:
     """(run_id, id, angle, bin) of every candidate direction relative to the monomer's rotation."""
     p = points.select("run_id", "id", "rotation", F.explode(F.sequence(F.lit(0), F.lit(360 - step), F.lit(step))).alias("angle"))
-    return p.select("run_id", "id", "angle", angle_bin(F.pmod(F.col("angle") - F.col("rotation"), F.lit(360))).alias("bin"))
+    return p.select("run_id", "id", "angle", angle_bin(geometry.relative_angle(F.col("rotation"), F.col("angle"))).alias("bin"))
 
 
 def candidates(points: DataFrame, mass: DataFrame, radius: float = 1.0, step: int = BIN) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry
 from ..plans import iterate
 
 CONTACT_SCALE = 1.02
@@ -28,7 +29,7 @@ def contact_pairs(points: DataFrame, reach: float) -> DataFrame:
     a = p.select("run_id", F.col("id").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), "cx", "cy")
     b = p.select("run_id", F.col("id").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"), "cx", "cy", _offsets(HALF_PLANE).alias("o"))
     b = b.select("run_id", "b", "xb", "yb", (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"), ((F.col("o.dx") == 0) & (F.col("o.dy") == 0)).alias("own"))
-    d2 = (F.col("xa") - F.col("xb")) ** 2 + (F.col("ya") - F.col("yb")) ** 2
+    d2 = geometry.distance2(*(F.col(c) for c in ("xa", "ya", "xb", "yb")))
     both = a.join(b, ["run_id", "cx", "cy"]).where("a <> b and (not own or a < b)").withColumn("d2", d2).where(F.col("d2") <= reach * reach)
     return both.select("run_id", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "d2")
 
@@ -38,6 +39,19 @@ def contact_edges(points: DataFrame, radius: float = 1.0) -> DataFrame:
     return contact_pairs(points, 2 * radius * CONTACT_SCALE).select("run_id", "u", "v")
 
 
+def first_edges(edges: DataFrame, most: int = 200_000) -> DataFrame:
+    """The first `most` edges in order of run, u and v."""
+    return edges.orderBy("run_id", "u", "v").limit(most)
+
+
+def pair_checks(points: DataFrame, reach: float, radius: float = 1.0) -> DataFrame:
+    """(run_id, u, v, d2, collides, touches) of all pairs within reach: closer than two radii, and at contact distance."""
+    low, high = geometry.contact_bounds(radius, CONTACT_SCALE)
+    d2 = F.col("d2")
+    near = contact_pairs(points, reach).where(geometry.is_neighbour(d2, reach))
+    return near.select("run_id", "u", "v", "d2", geometry.is_collision(d2, radius).alias("collides"), d2.between(low, high).alias("touches"))
+
+
 def far_from(points: DataFrame, others: DataFrame, least: float) -> DataFrame:
     """The points with none of the others within `least`: an anti-join on neighbouring cells."""
     b = _cells(others, least).select("run_id", F.col("x").alias("xb"), F.col("y").alias("yb"), "cx", "cy", _offsets([(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]).alias("o"))
@@ -78,8 +92,14 @@ def nearest_other(points: DataFrame, side: float | None = None) -> DataFrame:
 
 def box_counts(points: DataFrame, side: int = BOX) -> DataFrame:
     """(run_id, bx, by, n) of the boxes, from 1; negative coordinates are cut towards zero."""
-    box = lambda c: (F.when(F.col(c) >= 0, F.floor(F.col(c) / side)).otherwise(F.ceil(F.col(c) / side)) + 1).cast("long")
-    return points.groupBy("run_id", box("x").alias("bx"), box("y").alias("by")).agg(F.count("*").alias("n"))
+    box = [geometry.box_coordinate(F.col(c), side).alias(f"b{c}") for c in "xy"]
+    return points.groupBy("run_id", *box).agg(F.count("*").alias("n"))
+
+
+def box_members(points: DataFrame, side: int = BOX) -> DataFrame:
+    """(run_id, bx, by, n, ids): the boxes' members in order of id. Discs that do not overlap leave room for few in a box."""
+    box = [geometry.box_coordinate(F.col(c), side).alias(f"b{c}") for c in "xy"]
+    return points.groupBy("run_id", *box).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("ids"))
 
 
 def without_small_boxes(points: DataFrame, edges: DataFrame, least: int, side: int = BOX) -> tuple[DataFrame, DataFrame]:
@@ -137,13 +157,18 @@ def transform(points: DataFrame, shift: str = "min", pad: float = 5.0, scale: st
     return p.select("run_id", "id", *[((F.col(c) - base(c) + pad) * by).alias(c) for c in "xy"])
 
 
-def corner_occupancy(points: DataFrame, share: float = 0.25) -> DataFrame:
-    """Counts in four corner squares and the emptiest corner; in a tie the top right, then top left, bottom right."""
+def corner_occupancy(points: DataFrame, size: float = 0.12, margin: float = 0.05) -> DataFrame:
+    """Counts in four squares set in from the corners and the emptiest; in a tie the top right, then top left, bottom right.
+
+    Squares are 2 `size` wide and `margin` away from the edges, both as parts of the shorter side.
+    """
     b = bounding_box(points)
     p = points.join(b, "run_id")
-    side = F.lit(share) * F.least(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
-    right, top = F.col("x") >= F.col("max_x") - side, F.col("y") >= F.col("max_y") - side
-    left, bottom = F.col("x") <= F.col("min_x") + side, F.col("y") <= F.col("min_y") + side
+    short = F.least(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
+    gap, side = F.lit(margin) * short, F.lit(2 * size) * short
+    low = lambda c: F.col(c).between(F.col(f"min_{c}") + gap, F.col(f"min_{c}") + gap + side)
+    high = lambda c: F.col(c).between(F.col(f"max_{c}") - gap - side, F.col(f"max_{c}") - gap)
+    right, top, left, bottom = high("x"), high("y"), low("x"), low("y")
     n = p.groupBy("run_id").agg(*[F.count_if(a & c).alias(k) for k, a, c in (("tr", right, top), ("tl", left, top), ("br", right, bottom), ("bl", left, bottom))])
     least = F.least("tr", "tl", "br", "bl")
     return n.withColumn("corner", F.when(F.col("tr") == least, "tr").when(F.col("tl") == least, "tl").when(F.col("br") == least, "br").otherwise("bl"))
@@ -159,15 +184,21 @@ def principal_axis(points: DataFrame) -> DataFrame:
 
 
 def scale_ticks(points: DataFrame, nm_per_unit: float = 1.55, ticks: int = 8) -> DataFrame:
-    """Unit, divisor and tick step (1-2-5) for the longer side in nanometres, and the last tick."""
+    """Unit, divisor and tick step (1-2-5; 1 for no span) for the longer side in nanometres, and the last tick."""
     span = bounding_box(points).select("run_id", (F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")) * nm_per_unit).alias("nm"))
     unit = F.when(F.col("nm") >= 1e6, "mm").when(F.col("nm") >= 1e3, "µm").otherwise("nm")
     by = F.when(F.col("nm") >= 1e6, 1e6).when(F.col("nm") >= 1e3, 1e3).otherwise(1.0)
     s = span.withColumn("unit", unit).withColumn("divisor", by).withColumn("raw", F.col("nm") / F.col("divisor") / ticks)
     s = s.withColumn("base", F.pow(F.lit(10.0), F.floor(F.log10("raw")))).withColumn("m", F.col("raw") / F.col("base"))
     step = F.col("base") * F.when(F.col("m") <= 1, 1.0).when(F.col("m") <= 2, 2.0).when(F.col("m") <= 5, 5.0).otherwise(10.0)
-    s = s.withColumn("step", step)
-    return s.select("run_id", "unit", "divisor", F.round("step", 6).alias("step"), F.round(F.ceil(F.col("nm") / F.col("divisor") / F.col("step")) * F.col("step"), 6).alias("last_tick"))
+    s = s.withColumn("step", F.when(F.col("raw") > 0, step).otherwise(1.0))
+    return s.select("run_id", "unit", "divisor", F.round("step", 6).alias("step"), F.round(geometry.ceil_to(F.col("nm") / F.col("divisor"), F.col("step")), 6).alias("last_tick"))
+
+
+def tick_places(points: DataFrame, nm_per_unit: float = 1.55, ticks: int = 8) -> DataFrame:
+    """(run_id, i, tick): all ticks from 0 to the last."""
+    s = scale_ticks(points, nm_per_unit, ticks)
+    return s.select("run_id", F.posexplode(geometry.ticks(F.col("last_tick"), F.col("step"))).alias("i", "tick"))
 
 
 def stride_sample(points: DataFrame, k: int) -> DataFrame:

@@ -110,14 +110,15 @@ def integer_cdf(lengths: DataFrame, value: str = "len", complement: bool = False
     return grid.join(n, ["label", value], "left").select("label", value, (1 - f if complement else f).alias("f"))
 
 
-def kernel_density(values: DataFrame, value: str, bandwidth: float, points: int = 128, by: str = "label") -> DataFrame:
-    """(label, g, x, density): Gaussian kernel sums on a grid over all values' range.
+def kernel_density(values: DataFrame, value: str, bandwidth: float, points: int = 128, by: str = "label", pad: float = 0.0) -> DataFrame:
+    """(label, g, x, density): Gaussian kernel sums on a grid over all values' range, `pad` wider at either end.
 
     Equal values are counted first, so the sum runs over distinct values, in `points` terms each.
     """
     lo, hi = values.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
     if lo is None:
         return values.select(by, F.lit(0).alias("g"), F.lit(0.0).alias("x"), F.lit(0.0).alias("density")).limit(0)
+    lo, hi = lo - pad, hi + pad
     step = (hi - lo) / (points - 1)
     n = values.groupBy(by, value).agg(F.count("*").alias("k")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     x = F.lit(lo) + F.col("g") * F.lit(step)
@@ -126,5 +127,11 @@ def kernel_density(values: DataFrame, value: str, bandwidth: float, points: int
     return sums.select(by, "g", x.alias("x"), (F.col("s") / (F.col("total") * F.lit(bandwidth * math.sqrt(2 * math.pi)))).alias("density"))
 
 
+def length_density(lengths: DataFrame, nm_per_unit: float = 1.55, bandwidth: float = 1.5, points: int = 128) -> DataFrame:
+    """(g, x, density) of lengths in nanometres, on a grid four bandwidths wider than their range, from 0 on."""
+    nm = lengths.select(F.lit(0).alias("label"), (F.col("length") * nm_per_unit).alias("nm"))
+    return kernel_density(nm, "nm", bandwidth, points, pad=4 * bandwidth).where("x >= 0").drop("label")
+
+
 def reject_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("code").agg(F.count("*").alias("n"))
