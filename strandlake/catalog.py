@@ -129,12 +129,12 @@ query("q_w_vs_k", f"with {EDGES}, {BONDS}, {MATRIX}, a as (select r, c, w / max(
 )
 query("q_angle_bins", f"with {POINTS} select run_id, id, angle::int angle, (((angle - rotation + 360) % 360) // 5 + 1)::int bin from points, range(0, 360, 5) t(angle)")(lambda s, d: mx.relative_bins(fx.lattice(s, d)))
 query("q_topk_candidates", f"with {CANDS} select 0::bigint run_id, parent, angle, r, round(p, 6) p, row_number() over (partition by parent order by p desc, angle) rank from cand qualify rank <= 40")(
-    lambda s, d: rounded(mx.top_candidates(mx.candidates(fx.lattice(s, d), mx.row_mass(normal(s, d)))).select("run_id", "parent", "angle", "r", "p", F.col("rank").cast("long").alias("rank")))
+    lambda s, d: rounded(mx.top_candidates(fx.lattice(s, d), mx.row_mass(normal(s, d))).select("run_id", "parent", "angle", "r", "p", F.col("rank").cast("long").alias("rank")))
 )
 query(
     "q_candidate_merge",
     f"with {CANDS}, top as (select * from cand qualify row_number() over (partition by parent order by p desc, angle) <= 40) select 0::bigint run_id, round_even(x / 0.05::double, 0)::bigint kx, round_even(y / 0.05::double, 0)::bigint ky, array_to_string(list_sort(list_distinct(list(r))), ',') as rows, arg_min(parent, seq) parent, round(case when count(*) = 1 then max(p) else greatest(sqrt(sum(p)), 2.220446049250313e-16) end, 6) p, count(*) n from top group by 1, 2, 3",
-)(lambda s, d: rounded(mx.merged_candidates(mx.top_candidates(mx.candidates(fx.lattice(s, d), mx.row_mass(normal(s, d))))).withColumn("rows", F.array_join("rows", ","))))
+)(lambda s, d: rounded(mx.merged_candidates(mx.top_candidates(fx.lattice(s, d), mx.row_mass(normal(s, d)))).withColumn("rows", F.array_join("rows", ","))))
 
 # ---- spatial
 query("q_contact_edges", f"with {EDGES} select 0::bigint run_id, u, v from edges")(lambda s, d: fx.lattice_edges(s, d))

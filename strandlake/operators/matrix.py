@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
@@ -82,17 +82,29 @@ def relative_bins(points: DataFrame, step: int = BIN) -> DataFrame:
     return p.select("run_id", "id", "angle", angle_bin(geometry.relative_angle(F.col("rotation"), F.col("angle"))).alias("bin"))
 
 
-def candidates(points: DataFrame, mass: DataFrame, radius: float = 1.0, step: int = BIN) -> DataFrame:
-    """(run_id, parent, seq, angle, r, p, x, y): directions of positive sharpened mass and where they lead."""
-    c = relative_bins(points, step).join(points.select("run_id", "id", "x", "y"), ["run_id", "id"]).join(F.broadcast(mass.select(F.col("r").alias("bin"), F.round("sharp", 9).alias("p"))), "bin").where("p > 0")
-    rad = F.radians("angle")
-    return c.select("run_id", F.col("id").alias("parent"), (F.col("id") * 1000 + F.col("angle")).alias("seq"), "angle", F.col("bin").alias("r"), "p", (F.col("x") + 2 * radius * F.cos(rad)).alias("x"), (F.col("y") + 2 * radius * F.sin(rad)).alias("y"))
+def candidates(points: DataFrame, mass: DataFrame, radius: float = 1.0, step: int = BIN, top: int | None = None) -> DataFrame:
+    """(run_id, parent, seq, angle, r, p, x, y, rank): directions of positive sharpened mass and where they lead.
+
+    Ranks go by mass, smaller angles first in a tie; `top` keeps the first ones. The masses of the 72 bins are literals
+    and a parent's candidates one array, so nothing is shuffled.
+    """
+    held = {r[0]: r[1] for r in mass.select("r", F.round("sharp", 9)).where("r between 1 and 72").collect()}
+    masses = F.array(*[F.lit(float(held.get(i, 0.0))) for i in range(1, 360 // BIN + 1)])
+
+    def option(angle: Column) -> Column:
+        r = angle_bin(geometry.relative_angle(F.col("rotation"), angle))
+        return F.struct((-F.element_at(masses, r)).alias("minus"), angle.alias("angle"), r.alias("r"))
+
+    options = F.array_sort(F.filter(F.transform(F.sequence(F.lit(0), F.lit(360 - step), F.lit(step)), option), lambda o: o["minus"] < 0))
+    options = F.slice(options, 1, top) if top else options
+    c = points.select("run_id", F.col("id").alias("parent"), "x", "y", F.posexplode(options).alias("at", "o"))
+    rad = F.radians("o.angle")
+    return c.select("run_id", "parent", (F.col("parent") * 1000 + F.col("o.angle")).alias("seq"), "o.angle", "o.r", (-F.col("o.minus")).alias("p"), (F.col("x") + 2 * radius * F.cos(rad)).alias("x"), (F.col("y") + 2 * radius * F.sin(rad)).alias("y"), (F.col("at") + 1).alias("rank"))
 
 
-def top_candidates(c: DataFrame, k: int = 40) -> DataFrame:
+def top_candidates(points: DataFrame, mass: DataFrame, k: int = 40, radius: float = 1.0, step: int = BIN) -> DataFrame:
     """The k heaviest candidates of every parent, smaller angles first in a tie."""
-    w = Window.partitionBy("run_id", "parent").orderBy(F.desc("p"), "angle")
-    return c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return candidates(points, mass, radius, step, k)
 
 
 def merged_candidates(c: DataFrame, tolerance: float = 0.05, rule: str = "root", eps: float = 2.220446049250313e-16) -> DataFrame:

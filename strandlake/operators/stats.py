@@ -14,13 +14,16 @@ def _ranks(df: DataFrame, groups: list[str], value: str, tie: str, extra: str |
     """rank (from 1), n and, for `extra`, its running sum and total, over each group in order of value and tie.
 
     Groups may hold most of the rows: they are cut into SPREAD value ranges by approximate quantiles, ranked within
-    these, and shifted by what the ranges before hold.
+    these, and shifted by what the ranges before hold. A value that fills several ranges is cut by `tie` in the same way.
     """
     if not groups:
         df, groups = df.withColumn("_all", F.lit(0)), ["_all"]
     cuts = df.groupBy(*groups).agg(F.percentile_approx(value, [i / SPREAD for i in range(1, SPREAD)], 2000).alias("_cuts"))
     part = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
-    d = df.join(cuts, groups).withColumn("_part", part).drop("_cuts")
+    d = df.join(cuts, groups).withColumn("_heavy", F.size(F.filter("_cuts", lambda c: c == F.col(value))) > 1).withColumn("_part", part).drop("_cuts")
+    ties = d.where("_heavy").groupBy(*groups, value).agg(F.percentile_approx(tie, [i / SPREAD for i in range(1, SPREAD)], 2000).alias("_ties"))
+    d = d.join(ties, [*groups, value], "left").withColumn("_sub", F.coalesce(F.size(F.filter("_ties", lambda c: c < F.col(tie))), F.lit(0)))
+    d = d.withColumn("_part", F.col("_part") * (2 * SPREAD) + F.greatest("_sub", F.lit(0))).drop("_ties", "_heavy", "_sub")
     sums = [F.count("*").alias("_n")] + ([F.sum(extra).alias("_s")] if extra else [])
     w = Window.partitionBy(*groups)
     before = d.groupBy(*groups, "_part").agg(*sums)
@@ -70,18 +73,23 @@ def cdf_band(ecdf: DataFrame) -> DataFrame:
     return ecdf.groupBy("label", "g").agg(F.avg("f").alias("mean_f"), F.stddev_samp("f").alias("std_f"))
 
 
+def quantiles(df: DataFrame, groups: list[str], value: str, tie: str, **shares: float) -> DataFrame:
+    """Exact quantiles of each group, linear between the two nearest ranks, from the ranks of value ranges."""
+    r = _ranks(df.select(*groups, value, tie).where(F.col(value).isNotNull()), groups, value, tie)
+    apart = lambda p: F.abs(F.col("rank") - 1 - F.lit(p) * (F.col("n") - 1))
+    return r.groupBy(*groups).agg(*[F.sum(F.when(apart(p) < 1, F.col(value) * (1 - apart(p)))).alias(name) for name, p in shares.items()])
+
+
 def box_stats(areas: DataFrame, clip: float = 0.99, scale: float = 1e-6) -> DataFrame:
     """Quartiles and 5 / 95 % whiskers by label after clipping at a global quantile."""
-    scaled = areas.select("label", (F.col("area") * scale).alias("a"))
-    top = scaled.agg(F.percentile("a", clip).alias("top"))
-    c = scaled.crossJoin(F.broadcast(top)).select("label", F.least("a", "top").alias("a"))
-    q = lambda p: F.percentile("a", p)
-    return c.groupBy("label").agg(q(0.05).alias("low"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), q(0.95).alias("high"))
+    scaled = areas.select("label", "id", (F.col("area") * scale).alias("a"))
+    c = scaled.crossJoin(F.broadcast(quantiles(scaled, [], "a", "id", top=clip))).select("label", "id", F.least("a", "top").alias("a"))
+    return quantiles(c, ["label"], "a", "id", low=0.05, q1=0.25, median=0.5, q3=0.75, high=0.95)
 
 
 def box_iqr(areas: DataFrame, reach: float = 1.5) -> DataFrame:
     """Quartiles, whiskers at the last values within reach x IQR, and how many lie beyond, by label."""
-    q = areas.groupBy("label").agg(*[F.percentile("area", p).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    q = quantiles(areas, ["label"], "area", "id", q1=0.25, median=0.5, q3=0.75)
     a = areas.join(q, "label").withColumn("iqr", F.col("q3") - F.col("q1"))
     inside = F.col("area").between(F.col("q1") - reach * F.col("iqr"), F.col("q3") + reach * F.col("iqr"))
     return a.groupBy("label", "q1", "median", "q3").agg(F.min(F.when(inside, F.col("area"))).alias("low"), F.max(F.when(inside, F.col("area"))).alias("high"), F.count_if(~inside).alias("outliers"))

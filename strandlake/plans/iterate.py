@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,14 +13,20 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where unset, a local one (local master) or one in the warehouse."""
+    """The folder named in spark.checkpoint.dir; where unset, a local one (local master) or one in the warehouse, which
+    must not be a local folder then."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     app = spark.sparkContext.applicationId
     if app not in _own:
-        local = spark.sparkContext.master.startswith("local")
-        _own[app] = f"file://{tempfile.mkdtemp(prefix='spark-')}" if local else spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+        if re.match(r"local(\[|$)", spark.sparkContext.master):
+            _own[app] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        else:
+            folder = spark.conf.get("spark.sql.warehouse.dir")
+            if not re.match(r"(?!file:)[a-zA-Z][\w+.-]*:", folder):
+                raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
+            _own[app] = f"{folder}/_shared"
     return _own[app]
 
 
