@@ -126,6 +126,38 @@ def _units(raw: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def whole_blocks(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by key as tables of whole blocks, with the first row of each; a block may span batches."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        change = np.zeros(t.num_rows, bool)
+        for c in key:
+            v = t[c].to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        begins = np.concatenate(([0], np.flatnonzero(change)))
+        last = int(begins[-1])  # this block may go on in the next batch
+        if last:
+            yield t.slice(0, last), begins[:-1]
+        held = t.slice(last)
+    if held is not None and held.num_rows:
+        yield held, np.zeros(1, np.int64)
+
+
+def pairs_of(begins: np.ndarray, n: int, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one block, some `most` at a time (a row's pairs stay together)."""
+    left = np.repeat(np.append(begins[1:], n), np.diff(np.append(begins, n))) - np.arange(n) - 1
+    upto = np.cumsum(left)
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, "right")))
+        count = left[lo:hi]
+        a = np.repeat(np.arange(lo, hi), count)
+        yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
+        lo = hi
+
+
 def near_vectors(embeddings: DataFrame, least: float = 0.93) -> DataFrame:
     """One row per row of embeddings: vec_id, n_links, component_id, kept."""
     e = embeddings.select(embeddings["vec_id"].cast("long").alias("vec_id"), embeddings["label"].cast("string").alias("label"), embeddings["embedding"].cast("array<double>").alias("embedding"))
@@ -165,18 +197,13 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93) -> DataFrame:
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows whose block has another vector that differs in few bits."""
-        for t in common.groups(batches, key):
+        for t, begins in whole_blocks(batches, key):
             s, part = np.stack((t["s0"].to_numpy(), t["s1"].to_numpy()), 1).view(np.uint64), t["part"].to_numpy()
-            cross, keep = t["i"][0].as_py() != t["j"][0].as_py(), np.zeros(len(part), bool)
-            for k in range(0, len(part), 256):
-                near = np.bitwise_count(s[k : k + 256, None] ^ s[None]).sum(2, dtype=np.int16) <= limit
-                if cross:
-                    near &= part[k : k + 256, None] != part[None]
-                else:
-                    near[np.arange(len(near)), k + np.arange(len(near))] = False
-                keep[k : k + 256] = near.any(1)
-            if keep.any():
-                yield from t.filter(pa.array(keep)).select([*key, "id", "part"]).combine_chunks().to_batches()
+            cross, keep = t["i"].to_numpy() != t["j"].to_numpy(), np.zeros(len(part), bool)
+            for a, b in pairs_of(begins, len(part)):
+                near = (np.bitwise_count(s[a] ^ s[b]).sum(1, dtype=np.int16) <= limit) & (~cross[a] | (part[a] != part[b]))
+                keep[a[near]] = keep[b[near]] = True
+            yield from t.filter(pa.array(keep)).select([*key, "id", "part"]).combine_chunks().to_batches()
 
     m = m.repartition(parts, *key).sortWithinPartitions(*key)
     m = common.cut(m.select(*key, "id", "part", "s0", "s1").mapInArrow(alike, "space long, t int, bucket long, i int, j int, id long, part int"), "alike")
@@ -242,21 +269,8 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(space_[some]), pa.array(links[some].astype(np.int64)), pa.array([int(ids[tied[i]]) if i in tied else None for i in some.tolist()], pa.int64())], names=["id", "space", "links", "tied"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t])
-            change = np.zeros(t.num_rows, bool)
-            for c in key:
-                v = t[c].to_numpy()
-                change[1:] |= v[1:] != v[:-1]
-            begins = np.concatenate(([0], np.flatnonzero(change)))
-            last = int(begins[-1])  # this block may go on in the next batch
-            if last:
-                yield from linked(t.slice(0, last), begins[:-1])
-            held = t.slice(last)
-        if held is not None and held.num_rows:
-            yield from linked(held, np.zeros(1, np.int64))
+        for t, begins in whole_blocks(batches, key):
+            yield from linked(t, begins)
 
     found = common.cut(m.select(*key, "id", "part", "raw", "weight").mapInArrow(compare, "id long, space long, links long, tied long"), "near")
     links = found.groupBy("id", "space").agg(F.sum("links").alias("others"))

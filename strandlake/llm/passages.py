@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -319,21 +320,26 @@ def _fetched(chained: DataFrame, documents: DataFrame) -> DataFrame:
     asks = asks.repartition(common.partitions(documents), "doc_id", "salt").groupBy("doc_id", "salt").agg(F.collect_list("ask").alias("asks"))
     asks = common.cut(asks, "asks")
     texts = common.passing(documents, "doc_id", common.id_filter(asks.select("doc_id")))
-    kinds = [("chain", pa.int64()), ("side", pa.int32()), ("doc_id", pa.int64()), ("other", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("solid", pa.int32()), ("words", pa.binary()), ("sizes", pa.list_(pa.int32()))]
+    names = ["chain", "side", "doc_id", "other", "lo", "hi", "solid", "words", "sizes"]
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in words.pieces(batch, "text"):
                 h, first = words.word_hashes(b.column(0), words.LETTER_WORDS)
                 low = np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3])
-                out: list[list] = [[] for _ in kinds]
-                for i, (d, asks_) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                    w = low[first[i] : first[i + 1]]
-                    for a in asks_:
-                        got = [w[max(0, a["lo"] - FLANK) : a["lo"]], w[a["hi"] : a["hi"] + FLANK], *(w[lo:hi] for lo, hi in zip(a["cuts"][::2], a["cuts"][1::2]))]
-                        for col, v in zip(out, (a["chain"], a["side"], d, a["other"], a["lo"], a["hi"], a["solid"], b"".join(g.tobytes() for g in got), [len(g) for g in got])):
-                            col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(out, kinds)], names=[n for n, _ in kinds])
+                counts = pc.list_value_length(b.column(2)).to_numpy()
+                asks_ = b.column(2).flatten()
+                chain, side_, other, lo, hi, solid = (asks_.field(asks_.type.get_field_index(c)) for c in ("chain", "side", "other", "lo", "hi", "solid"))
+                cuts = asks_.field(asks_.type.get_field_index("cuts"))
+                edges, ends = cuts.flatten().to_numpy().reshape(-1, 2), np.cumsum(pc.list_value_length(cuts).to_numpy()) // 2
+                row = np.repeat(np.arange(b.num_rows), counts)
+                begin, size = first[:-1][row], np.diff(first)[row]
+                raw, sizes = [], []
+                for f, n, x, y, a, z in zip(begin.tolist(), size.tolist(), lo.to_pylist(), hi.to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
+                    got = [(max(0, x - FLANK), min(x, n)), (min(y, n), min(y + FLANK, n)), *np.minimum(edges[a:z], n).tolist()]
+                    raw.append(b"".join(low[f + u : f + v].tobytes() for u, v in got))
+                    sizes.append([v - u for u, v in got])
+                yield pa.RecordBatch.from_arrays([chain, side_, b.column(1).take(pa.array(row)), other, lo, hi, solid, pa.array(raw, pa.binary()), pa.array(sizes, pa.list_(pa.int32()))], names=names)
 
     out = texts.join(asks, "doc_id").select("text", "doc_id", "asks")
     return out.mapInArrow(fetch, "chain long, side int, doc_id long, other long, lo int, hi int, solid int, words binary, sizes array<int>")
@@ -389,14 +395,14 @@ def aligned_chains(documents: DataFrame) -> DataFrame:
     sides = _fetched(chained, docs)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        """Both sides of every chain, in lists of some thousand."""
+        """Both sides of every chain, in lists of about a thousand."""
         out, sides_, last = [], ([], []), None
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns)):
                 if r[0] != last:
                     out += [(x, y) for x in sides_[0] for y in sides_[1]]
                     sides_, last = ([], []), r[0]
-                    if len(out) >= 4000:
+                    if len(out) >= 1000:
                         yield out
                         out = []
                 sides_[r[1]].append(r)

@@ -80,7 +80,7 @@ KINDS = {"byte_bpe_50k.json": (cut_with_spaces, words.RAW_VALUES), "word_bpe_49k
 class Encoder:
     """Ids of batches of texts. Remembers up to `remembered` pieces, then begins anew; `offsets` adds token ends."""
 
-    def __init__(self, name: str, offsets: bool = False, remembered: int = 1 << 20):
+    def __init__(self, name: str, offsets: bool = False, remembered: int = 1 << 19):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(public_tokenizers.path(name))
         self.cut, self.values = KINDS.get(name, (None, None))

@@ -63,6 +63,7 @@ def pieces(batch: pa.RecordBatch, column: str, budget: int = 1 << 19) -> Iterato
         hi = max(lo + 1, int(np.searchsorted(ends, base + budget, "right")))
         yield batch.slice(lo, hi - lo)
         lo = hi
+    pa.default_memory_pool().release_unused()  # a worker lives on; what it has freed is of no use to it
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
