@@ -58,3 +58,32 @@ def test_stages(spark, tmp_path):
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
     assert got == sizes
     assert re.match("language", corpus_pipeline.STAGES[0][0])
+
+
+def test_short_texts_of_related_languages_stay(spark, tmp_path):
+    rng = random.Random(22)
+    shared = ["casa", "mano", "luna", "vento", "terra", "sole", "grande", "mare"]
+    rows = [(i, " ".join(rng.choice(shared) for _ in range(rng.randrange(2, 30))), k) for i in range(400) for k in ["it", "es", "pt", "ro", "la"][i % 5 : i % 5 + 1]]
+    rows += [(900, "zzxq qqxz wwqx", None), (901, "12 --", "es"), (902, None, None)]
+    d = spark.createDataFrame([(*r, "s", 1, 2) for r in rows], "doc_id long, text string, lang string, source string, predicted int, match int")
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, d, str(tmp_path)).collect()}
+    assert kept == set(range(400))
+
+
+def test_empty_tables_repeated_ids_and_clashing_columns(spark, tmp_path):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, predicted string, match string, passage_key long, spans string"
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, text, "en"), (1, text, "en"), (None, text + " more", "en"), (2, "", "en"), (3, "other words of the same language here", "en")]
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, some in (("none", []), ("few", rows)):
+        docs = spark.createDataFrame([(*r, "s", None, "p", "m", 5, "x") for r in some], kind)
+        for stage, f in corpus_pipeline.STAGES:
+            out = f(spark, docs, str(tmp_path))
+            out.write.parquet(str(tmp_path / f"{name}-{stage}"))
+            if stage != "packing":
+                assert out.columns == docs.columns
+            docs = spark.read.parquet(str(tmp_path / f"{name}-{stage}"))
+        if name == "none":
+            assert docs.count() == 0
+        else:
+            assert {r["doc_id"] for r in docs.collect()} == {1, None, 3}
