@@ -72,15 +72,23 @@ def centroids(points: DataFrame, named: DataFrame, found: DataFrame) -> DataFram
 def inside(points: DataFrame, named: DataFrame, nodes: DataFrame, cell: float = 8.0) -> DataFrame:
     """(run_id, id, orbit): points strictly inside a loop by even-odd ray casting to the right.
 
-    Edges are dealt to the horizontal bands they cross, so a point meets only the edges of its band.
+    Edges are dealt to the horizontal bands they cross and, from their loop's left end to their own right end, to columns
+    of a width that goes with the loop's (a power of two of at least a quarter), so an edge has a few copies and a point
+    meets only edges of loops that reach around it, in its band.
     """
     p = lambda s: nodes.select("run_id", F.col("id").alias(s), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}"))
-    e = named.join(p("src"), ["run_id", "src"]).join(p("dst"), ["run_id", "dst"]).where("ysrc <> ydst")
+    e = iterate.cut(named.join(p("src"), ["run_id", "src"]).join(p("dst"), ["run_id", "dst"]).select("run_id", "orbit", "xsrc", "ysrc", "xdst", "ydst"), "sides")
+    wide = e.groupBy("run_id", "orbit").agg(F.min("xsrc").alias("left"), F.max("xsrc").alias("right"))
+    wide = wide.select("run_id", "orbit", "left", F.ceil(F.log2(F.greatest((F.col("right") - F.col("left")) / 4, F.lit(cell)))).cast("int").alias("level"))
+    e = e.where("ysrc <> ydst").join(iterate.cut(wide, "loops"), ["run_id", "orbit"])
+    levels = sorted(r[0] for r in wide.select("level").distinct().collect())  # a few dozen at most
+    column = lambda x: F.floor(x / F.pow(F.lit(2.0), F.col("level")))
     e = e.withColumn("band", F.explode(F.sequence(F.floor(F.least("ysrc", "ydst") / cell), F.floor(F.greatest("ysrc", "ydst") / cell))))
-    q = points.select("run_id", "id", "x", "y", F.floor(F.col("y") / cell).alias("band"))
+    e = e.withColumn("column", F.explode(F.sequence(column(F.col("left")), column(F.greatest("xsrc", "xdst")))))
+    q = points.select("run_id", "id", "x", "y", F.floor(F.col("y") / cell).alias("band"), F.explode(F.array(*map(F.lit, levels)) if levels else F.expr("cast(array() as array<int>)")).alias("level")).withColumn("column", column(F.col("x")))
     hit = (F.col("ysrc") > F.col("y")) != (F.col("ydst") > F.col("y"))
     right = F.col("x") < (F.col("xdst") - F.col("xsrc")) * (F.col("y") - F.col("ysrc")) / (F.col("ydst") - F.col("ysrc")) + F.col("xsrc")
-    crossed = q.join(e.select("run_id", "band", "orbit", "xsrc", "ysrc", "xdst", "ydst"), ["run_id", "band"]).where(hit & right)
+    crossed = q.join(e.select("run_id", "band", "level", "column", "orbit", "xsrc", "ysrc", "xdst", "ydst"), ["run_id", "band", "level", "column"]).where(hit & right)
     return crossed.groupBy("run_id", "id", "orbit").agg(F.count("*").alias("n")).where("n % 2 = 1").select("run_id", "id", "orbit")
 
 

@@ -99,16 +99,24 @@ def components(points: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def two_core(edges: DataFrame) -> DataFrame:
-    """Edges of the 2-core: nodes with at most one edge are dropped until none is left."""
+    """Edges of the 2-core: nodes with at most one edge are dropped until none is left.
+
+    A round drops whole chains that end in a leaf: nodes with at most two edges are grouped by components, and those with
+    a node of one edge go. So the rounds follow the branching of trees, not the length of their branches.
+    """
     e = iterate.cut(edges.select("run_id", "u", "v"), "core")
     while True:
-        ends = e.select("run_id", F.explode(F.array("u", "v")).alias("id")).groupBy("run_id", "id").count().where("count >= 2").drop("count")
-        new = iterate.cut(e.join(ends.withColumnRenamed("id", "u"), ["run_id", "u"], "left_semi").join(ends.withColumnRenamed("id", "v"), ["run_id", "v"], "left_semi").select("run_id", "u", "v"), "core")
-        same = new.count() == e.count()
+        deg = iterate.cut(e.select("run_id", F.explode(F.array("u", "v")).alias("id")).groupBy("run_id", "id").agg(F.count("*").alias("n")), "degrees")
+        if not deg.where("n = 1").limit(1).count():
+            return e
+        thin = deg.where("n <= 2").select("run_id", "id")
+        inner = e.join(thin.withColumnRenamed("id", "u"), ["run_id", "u"], "left_semi").join(thin.withColumnRenamed("id", "v"), ["run_id", "v"], "left_semi")
+        chain = components(thin, inner).join(deg, ["run_id", "id"])
+        gone = iterate.cut(chain.join(chain.where("n = 1").select("run_id", "comp").distinct(), ["run_id", "comp"], "left_semi").select("run_id", "id"), "gone")
+        new = e.join(gone.withColumnRenamed("id", "u"), ["run_id", "u"], "left_anti").join(gone.withColumnRenamed("id", "v"), ["run_id", "v"], "left_anti")
+        new = iterate.cut(new.select("run_id", "u", "v"), "core")
         iterate.drop(e)
         e = new
-        if same:
-            return e
 
 
 def segments(edges: DataFrame) -> DataFrame:

@@ -61,23 +61,33 @@ def far_from(points: DataFrame, others: DataFrame, least: float) -> DataFrame:
     return a.join(b, near, "left_anti").drop("cx", "cy")
 
 
+#: points that the densest cell holds where the search for neighbours begins
+DENSE = 64
+
+
 def nearest_other(points: DataFrame, side: float | None = None) -> DataFrame:
     """(run_id, id, distance) to the nearest other point of the run; null where it has none.
 
-    Cells of a side near the mean spacing are searched in rings: points that found one within the searched radius
-    are done, the others go on with cells of twice the side.
+    The first cells are so small that the densest holds few points; points that find one within a cell's side are done,
+    the others go on with cells of twice the side. Dense parts are so settled while cells are small, and only what is
+    left is joined with larger cells. Points at one place are 0 apart and count as one in the search.
     """
     p = points.select("run_id", "id", "x", "y").where("not isnan(x) and not isnan(y)")
-    b = p.agg(F.count("*").alias("n"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    places = iterate.cut(p.groupBy("run_id", "x", "y").agg(F.count("*").alias("n"), F.min("id").alias("id")), "nearest")
+    b = places.agg(F.count("*").alias("n"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     if not b[0]:
         return p.select("run_id", "id", F.lit(None).cast("double").alias("distance"))
     span = max(b[2] - b[1], b[4] - b[3], 1e-9)
-    side = side or span / max(1.0, b[0] ** 0.5)
-    left, done = p, None
+    if side is None:
+        side = span / max(1.0, b[0] ** 0.5)
+        while side > 1e-12 * span and _cells(places, side).groupBy("run_id", "cx", "cy").count().agg(F.max("count")).first()[0] > DENSE:
+            side /= 4
+    left, done = places.where("n = 1").select("run_id", "id", "x", "y"), None
+    others = places.select("run_id", "id", "x", "y")
     while True:
-        a = _cells(left, side).withColumnRenamed("id", "a").withColumnRenamed("x", "xa").withColumnRenamed("y", "ya")
-        o = _cells(p, side).select("run_id", F.col("id").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"), "cx", "cy", _offsets([(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]).alias("o"))
-        o = o.select("run_id", "b", "xb", "yb", (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"))
+        a = _cells(left, side).select("run_id", F.col("id").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), "cx", "cy", _offsets([(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]).alias("o"))
+        a = a.select("run_id", "a", "xa", "ya", (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"))
+        o = _cells(others, side).withColumnsRenamed({"id": "b", "x": "xb", "y": "yb"})
         near = a.join(o, ["run_id", "cx", "cy"]).where("a <> b").groupBy("run_id", F.col("a").alias("id")).agg(F.min(F.hypot(F.col("xa") - F.col("xb"), F.col("ya") - F.col("yb"))).alias("distance"))
         last = side > 2 * span
         if not last:
@@ -86,8 +96,10 @@ def nearest_other(points: DataFrame, side: float | None = None) -> DataFrame:
         done = near if done is None else done.unionByName(near)
         left = iterate.cut(left.join(near, ["run_id", "id"], "left_anti"), "nearest")
         if last or not left.limit(1).count():
-            return done.unionByName(left.select("run_id", "id", F.lit(None).cast("double").alias("distance")))
+            break
         side *= 2
+    same = p.join(places.where("n > 1").select("run_id", "x", "y"), ["run_id", "x", "y"]).select("run_id", "id", F.lit(0.0).alias("distance"))
+    return done.unionByName(same).unionByName(left.select("run_id", "id", F.lit(None).cast("double").alias("distance")))
 
 
 def box_counts(points: DataFrame, side: int = BOX) -> DataFrame:
