@@ -81,7 +81,7 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.withColumns({n: F.round(n, digits) for n, t in df.dtypes if t == "double"})
+    return df.withColumns({n: F.round(n, digits) + 0.0 for n, t in df.dtypes if t == "double"})  # no -0.0
 
 
 def graph(s, d) -> tuple[DataFrame, DataFrame]:
@@ -276,7 +276,7 @@ query("q_turn_aware_length")(lambda s, d: pt.turn_aware_costs(*graph_with_compon
 query("q_longest_paths")(lambda s, d: pt.longest_paths(*graph_with_components(s, d)))
 
 # ---- faces
-query("q_faces", f"with recursive {FACES} select 0::bigint run_id, u, v, size, round(area, 6) area from loops")(lambda s, d: rounded(fc.loops(*graph(s, d))[1].select("run_id", "u", "v", "size", "area")))
+query("q_faces", f"with recursive {FACES} select 0::bigint run_id, u, v, size, round(area, 6) + 0.0::double area from loops")(lambda s, d: rounded(fc.loops(*graph(s, d))[1].select("run_id", "u", "v", "size", "area")))
 ENCLOSED = f"{FACES}, outer_ as (select o from loops order by -round(abs(area), 6), u, v limit 1)"
 query("q_face_areas", f"with recursive {ENCLOSED} select 0::bigint run_id, u, v, round(abs(area), 6) area from loops where o not in (select o from outer_)")(lambda s, d: rounded(fc.enclosed(fc.loops(*graph(s, d))[1]).select("run_id", "u", "v", "area")))
 query("q_areas_over_floor", f"with recursive {ENCLOSED} select 0::bigint run_id, u, v, round(abs(area), 6) area from loops where o not in (select o from outer_) and abs(area) >= 5")(lambda s, d: rounded(fc.face_areas(*graph(s, d))))

@@ -21,7 +21,7 @@ def half_edges(points: DataFrame, edges: DataFrame) -> DataFrame:
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     h = h.withColumn("before", F.coalesce(F.lag("dst").over(w), F.last("dst").over(whole)))
     # here (src, dst) is the reverse of the half-edge whose successor is (src, before)
-    key = lambda a, b: F.xxhash64("run_id", a, b)
+    key = lambda a, b: F.struct("run_id", F.col(a).alias("src"), F.col(b).alias("dst"))
     return h.select("run_id", F.col("dst").alias("src"), F.col("src").alias("dst"), key("dst", "src").alias("h"), key("src", "before").alias("nxt"), (F.col("xdst") * F.col("ysrc") - F.col("xsrc") * F.col("ydst")).alias("cross"))
 
 

@@ -88,14 +88,16 @@ def end_nodes(points: DataFrame, edges: DataFrame) -> DataFrame:
     return d.select("run_id", "id", F.when(F.col("degree") == 1, "endpoint").otherwise("junction").alias("kind"))
 
 
+def _node(c: str) -> Column:
+    """A node of all runs: no hash, so no two are ever taken for one."""
+    return F.struct("run_id", F.col(c).alias("id"))
+
+
 def components(points: DataFrame, edges: DataFrame) -> DataFrame:
     """(run_id, id, comp): the smallest id that a node reaches; isolated nodes are their own."""
-    key = lambda c: F.xxhash64("run_id", c)
-    found = iterate.cut(iterate.components(edges.select(key("u").alias("a"), key("v").alias("b"))), "components")
-    p = points.select("run_id", "id", key("id").alias("key"))
-    named = p.join(found.withColumnRenamed("id", "key"), "key", "left").withColumn("c", F.coalesce("component", "key"))
-    low = named.groupBy("run_id", "c").agg(F.min("id").alias("comp"))
-    return named.join(low, ["run_id", "c"]).select("run_id", "id", "comp")
+    found = iterate.cut(iterate.components(edges.select(_node("u").alias("a"), _node("v").alias("b"))), "components")
+    found = found.select("id.run_id", "id.id", F.col("component.id").alias("comp"))
+    return points.select("run_id", "id").join(found, ["run_id", "id"], "left").select("run_id", "id", F.coalesce("comp", "id").alias("comp"))
 
 
 def two_core(edges: DataFrame) -> DataFrame:
@@ -231,7 +233,7 @@ def refined_segments(seg: DataFrame, flags: DataFrame) -> DataFrame:
 def spanning_forest(edges: DataFrame, weight: str = "w", largest: bool = False) -> DataFrame:
     """Edges (run_id, u, v, w) of the minimum (or maximum) spanning forest by Boruvka rounds; ties by (u, v)."""
     sign = -1 if largest else 1
-    e = iterate.cut(edges.select("run_id", "u", "v", (F.col(weight) * sign).alias("w"), F.xxhash64("run_id", "u").alias("a"), F.xxhash64("run_id", "v").alias("b")), "forest")
+    e = iterate.cut(edges.select("run_id", "u", "v", (F.col(weight) * sign).alias("w"), _node("u").alias("a"), _node("v").alias("b")), "forest")
     taken = None
     while e.limit(1).count():
         ends = e.select(F.col("a").alias("c"), "w", "u", "v", "run_id", "a", "b").unionByName(e.select(F.col("b").alias("c"), "w", "u", "v", "run_id", "a", "b"))
