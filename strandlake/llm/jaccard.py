@@ -38,7 +38,7 @@ from . import common, words
 
 CELLS_LOG2 = 21
 CHUNK = 256
-BLOCK_CHUNK = 1536
+BLOCK_CHUNK = 1024
 
 
 def needed(na, nb, percent: int):
@@ -314,7 +314,7 @@ def _within(members: DataFrame, points: DataFrame, percent: int) -> DataFrame:
                 ok = (np.minimum(sizes[x], sizes[y]) == g) & (n[x] + n[y] - far >= 2 * needed(n[x] + n[y], 0, percent))
                 found += zip(np.minimum(ids[x[ok]], ids[y[ok]]).tolist(), np.maximum(ids[x[ok]], ids[y[ok]]).tolist())
             new = [p for p in set(found) if p not in seen and p[0] != p[1]]
-            if len(seen) < 1 << 20:
+            if len(seen) < 1 << 16:
                 seen.update(new)
             if new:
                 yield pa.RecordBatch.from_pydict({"b": pa.array([p[0] for p in new], pa.int64()), "a": pa.array([p[1] for p in new], pa.int64())})

@@ -415,6 +415,7 @@ def aligned_chains(documents: DataFrame) -> DataFrame:
             right = grow_many([p[1] for p in p0], [p[1] for p in p1])
             get = lambda i: np.array([p[0][i] for p in both], np.int64)
             inner = np.array([sum(matches(x, y) for x, y in zip(u[2:], v[2:])) for u, v in zip(p0, p1)], np.int64)
+            words.give_back()
             cols = get(2), get(3), get(4) - left[:, 0], get(5) + right[:, 0], get(6) + left[:, 2] + right[:, 2] + inner
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc_id", "owner", "begin", "end", "matched"])
 

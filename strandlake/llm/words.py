@@ -7,6 +7,7 @@ for texts that were not made against it, two different words or shingles share a
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,19 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # other C libraries give memory back themselves
+    _trim = None
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on through stages with other needs."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str, budget: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts have about `budget` bytes (a longer text is a slice of its own)."""
     i = batch.schema.get_field_index(column)
@@ -63,7 +77,7 @@ def pieces(batch: pa.RecordBatch, column: str, budget: int = 1 << 19) -> Iterato
         hi = max(lo + 1, int(np.searchsorted(ends, base + budget, "right")))
         yield batch.slice(lo, hi - lo)
         lo = hi
-    pa.default_memory_pool().release_unused()  # a worker lives on; what it has freed is of no use to it
+    give_back()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
