@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import iterate
-from ..plans.kernels import per_group
-from .spatial import bounding_box, contact_pairs
+from ..plans.kernels import groups, per_group
+from .spatial import _cells, _offsets, bounding_box
 
 
 def clip(polygon: np.ndarray, nx: float, ny: float, d: float) -> np.ndarray:
@@ -27,40 +30,69 @@ def clip(polygon: np.ndarray, nx: float, ny: float, d: float) -> np.ndarray:
     return np.array(out).reshape(-1, 2)
 
 
+def hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Indices of the points on the boundary of the convex hull, those between its corners included."""
+    order = np.lexsort((y, x))
+    out: set[int] = set()
+    for way in (order, order[::-1]):
+        chain: list[int] = []
+        for i in way.tolist():
+            while len(chain) > 1 and (x[chain[-1]] - x[chain[-2]]) * (y[i] - y[chain[-2]]) - (y[chain[-1]] - y[chain[-2]]) * (x[i] - x[chain[-2]]) < 0:
+                chain.pop()
+            chain.append(i)
+        out |= set(chain)
+    return np.array(sorted(out), np.int64)
+
+
+def on_hull(points: DataFrame) -> DataFrame:
+    """(run_id, id) of the points on their run's convex hull: hulls of parts first, then the hull of what these leave."""
+    schema = "run_id long, id long, x double, y double"
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, ["run_id"]):
+            yield from t.take(pa.array(hull(t["x"].to_numpy(), t["y"].to_numpy()))).combine_chunks().to_batches()
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # a batch is a part
+            yield from kept(iter([b.take(pc.sort_indices(b, [("run_id", "ascending")]))]))
+
+    some = points.select("run_id", "id", "x", "y").mapInArrow(parts, schema)
+    return some.repartition("run_id").sortWithinPartitions("run_id").mapInArrow(kept, schema).select("run_id", "id")
+
+
 def voronoi_areas(points: DataFrame) -> DataFrame:
     """(run_id, id, area) of bounded cells.
 
-    A cell clipped by all neighbours within `reach` is final if its corners lie within reach / 2; others are clipped again
-    at twice the reach. A cell that still meets the frame when the reach covers all points is unbounded.
+    Points on the convex hull have unbounded cells and are set aside first. A cell clipped by all neighbours within
+    `reach` is final if its corners lie within reach / 2; only the points of the others are joined again with what lies
+    within twice the reach.
     """
     p = points.select("run_id", "id", "x", "y").dropDuplicates(["run_id", "x", "y"])
     b = bounding_box(p).agg(F.max(F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")))).first()[0] or 1.0
     n = max(1, p.count())
-    reach, left, done = 3 * b / n**0.5, p, None
+    reach, left, done = 3 * b / n**0.5, iterate.cut(p.join(on_hull(p), ["run_id", "id"], "left_anti"), "voronoi"), None
     while True:
-        last = reach > 4 * b
-        pairs = contact_pairs(p, reach)
-        both = pairs.select("run_id", F.col("u").alias("id"), F.col("v").alias("other")).unionByName(pairs.select("run_id", F.col("v").alias("id"), F.col("u").alias("other")))
-        both = both.join(left.select("run_id", "id", "x", "y"), ["run_id", "id"]).join(p.select("run_id", F.col("id").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy")), ["run_id", "other"])
+        last = reach > 2 * b
+        near = _cells(left, reach).select("run_id", "id", "x", "y", "cx", "cy", _offsets([(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]).alias("o"))
+        near = near.select("run_id", "id", "x", "y", (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"))
+        both = near.join(_cells(p, reach).withColumnsRenamed({"id": "other", "x": "ox", "y": "oy"}), ["run_id", "cx", "cy"]).where("id <> other").where((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2 <= reach * reach)
 
         def kernel(t: pa.Table, reach: float = reach, last: bool = last) -> list[dict]:
             x, y = t["x"][0].as_py(), t["y"][0].as_py()
             dx, dy = t["ox"].to_numpy() - x, t["oy"].to_numpy() - y
-            size = reach * (64 if last else 2)
+            size = reach * (1e6 if last else 2)
             poly = np.array([(-size, -size), (size, -size), (size, size), (-size, size)])
             for i in np.argsort(dx * dx + dy * dy, kind="stable"):
                 poly = clip(poly, dx[i], dy[i], (dx[i] ** 2 + dy[i] ** 2) / 2)
-            far = np.hypot(poly[:, 0], poly[:, 1]).max()
-            key = {"run_id": t["run_id"][0].as_py(), "id": t["id"][0].as_py()}
-            if far <= reach / 2 or last:
-                q = np.roll(poly, -1, 0)
-                area = 0.5 * abs((poly[:, 0] * q[:, 1] - q[:, 0] * poly[:, 1]).sum())
-                return [key | {"area": float(area) if np.abs(poly).max() < 0.999 * size else None}]
-            return []
-
-        found = iterate.cut(per_group(both, ["run_id", "id"], ["other"], kernel, "run_id long, id long, area double"), "voronoi")
+            if not last and np.hypot(poly[:, 0], poly[:, 1]).max() > reach / 2:
+                return []
+            q = np.roll(poly, -1, 0)
+            area = 0.5 * abs((poly[:, 0] * q[:, 1] - q[:, 0] * poly[:, 1]).sum())
+            return [{"run_id": t["run_id"][0].as_py(), "id": t["id"][0].as_py(), "area": float(area)}]
+
+        found = iterate.cut(per_group(both.select("run_id", "id", "x", "y", "other", "ox", "oy"), ["run_id", "id"], ["other"], kernel, "run_id long, id long, area double"), "voronoi")
         done = found if done is None else done.unionByName(found)
         left = iterate.cut(left.join(found, ["run_id", "id"], "left_anti"), "voronoi")
         if last or not left.limit(1).count():
-            return done.where("area is not null")
+            return done
         reach *= 2
