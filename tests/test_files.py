@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import random
+import struct
+import zlib
+from datetime import datetime
+
+import numpy as np
 import pytest
 
 from strandlake.sources import files
@@ -38,8 +44,61 @@ def test_areas_and_placements_round_trip(spark, tmp_path):
 
 
 def test_states_skip_corrupt_files(spark, tmp_path):
-    files.write_state({"monomers": spark.createDataFrame([(7, 1)], "run_id long, id long")}, str(tmp_path / "s"))
-    assert files.read_states(spark, str(tmp_path / "s/monomers")).select("id").first()["id"] == 1
+    at = files.write_checkpoint({"monomers": spark.createDataFrame([(7, 1)], "run_id long, id long")}, str(tmp_path), "hc15", 1, "final", datetime(2024, 1, 2, 3, 4, 5))
+    assert at == f"{tmp_path}/hc15_20240102_030405_1_final"
+    (tmp_path / "hc15_20240102_030405_1_final/monomers/run_id=7/broken_C9_.parquet").write_bytes(b"no table")
+    with pytest.warns(UserWarning, match="broken_C9_"):
+        got = files.read_states(spark, f"{at}/monomers").collect()
+    assert [r["id"] for r in got] == [1] and got[0]["file"].startswith("part-")
+    with pytest.raises(ValueError, match="tag"):
+        files.write_checkpoint({}, str(tmp_path), "x", 1, "other", datetime(2024, 1, 2))
+
+
+def test_numbers_of_many_splits(spark, tmp_path):
+    rng = random.Random(1)
+    text, n = [], 0
+    while n < 3000:
+        k = rng.randrange(4)
+        text.append(" ".join(str(n + i) for i in range(k)))
+        n += k
+    (tmp_path / "many.txt").write_text("\n".join(text))
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    before = [spark.conf.get(k) for k in names]
+    for k in names:
+        spark.conf.set(k, "1500")
+    try:
+        assert spark.read.text(str(tmp_path / "many.txt")).rdd.getNumPartitions() > 3
+        got = files._numbers(spark, str(tmp_path / "many.txt")).collect()
+        assert sorted((r["i"], r["v"]) for r in got) == [(i, float(i)) for i in range(n)]
+    finally:
+        for k, v in zip(names, before):
+            spark.conf.set(k, v)
+
+
+def _png(a, filters):
+    """A PNG of (rows, columns, channels) with the given filter of each row."""
+    h, w, c = a.shape
+    x, rows = np.zeros((h + 1, w + 1, c), int), []
+    x[1:, 1:] = a
+    for i in range(h):
+        cur, left, up, corner = x[i + 1, 1:], x[i + 1, :-1], x[i, 1:], x[i, :-1]
+        guess = left + up - corner
+        d = np.stack((abs(guess - left), abs(guess - up), abs(guess - corner)))
+        paeth = np.where((d[0] <= d[1]) & (d[0] <= d[2]), left, np.where(d[1] <= d[2], up, corner))
+        rows.append(bytes([filters[i]]) + ((cur - (0, left, up, (left + up) // 2, paeth)[filters[i]]) % 256).astype(np.uint8).tobytes())
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2, 2: 4, 4: 6}[c], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(rows))) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("channels", [1, 2, 3, 4])
+def test_png(spark, tmp_path, channels):
+    a = np.random.default_rng(channels).integers(0, 256, (6, 5, channels))
+    raw = _png(a, [0, 1, 2, 3, 4, 4])
+    want = a[:, :, 0] if channels < 3 else np.round(a[:, :, :3] @ np.array([0.299, 0.587, 0.114]))
+    assert (files.decode_png(raw) == want).all()
+    (tmp_path / "i.png").write_bytes(raw)
+    got = {(r["row"], r["col"]): r["gray"] for r in files.read_rasters(spark, str(tmp_path)).collect()}
+    assert got == {(i, j): want[i, j] for i in range(6) for j in range(5)}
 
 
 def test_raster(spark, tmp_path):
