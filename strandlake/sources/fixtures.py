@@ -1,4 +1,9 @@
-"""Assemblies and measurements derived from the relational tables, as normalized tables."""
+"""Assemblies and measurements derived from the relational tables, as normalized tables.
+
+Every table is read whole. The lattice (and the raster of its occupancy) places one disc for each order whose residue
+says that its place is occupied, about 40 of 100: that is the definition of the fixture in FIXTURES.md, which the SQL of
+all lattice queries states too, not a sample of a larger input.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monomers (run_id, id, x, y, rotation): discs of radius 1 on a triangular lattice, about 40 % occupied."""
+    """Monomers (run_id, id, x, y, rotation): discs of radius 1 on a triangular lattice, of whose places (one for each
+    order) the fixture's rule leaves about 40 % occupied."""
     k = F.col("o_orderkey")
     row = F.expr(f"o_orderkey div {WIDTH}")
     chosen = table(spark, sf_dir, "orders").where("(o_custkey * 7919 + o_orderkey * 104729) % 100 < 40")
