@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from strandlake.llm import decontaminate, html_text, jaccard, licenses, near_vectors, packing, passages, token_counts, tokens, wavelet, words
+from strandlake.llm import decontaminate, html_text, jaccard, langid, licenses, near_vectors, packing, passages, token_counts, tokens, wavelet, words
 
 ODD = ["", " ", "  a", "a  b\n\nc \n d\t", "don't 'tis it's", "A1 22 b3!! ..x", "éÈ Ñandú × ÷", "日本 <|endoftext|> x", "x\x0by", "İstanbul", "a \n", "\n\n", " . , x.y z", "Ab  \t cd", "ŉ ǅ ɏ ɐ"]
 
@@ -455,3 +455,25 @@ def test_word_hashes_of_structured_words():
     assert len(set(h.tolist())) == len(some) == first[-1]
     raw = words.hashes(*words.bytes_of(pa.array(["Ab"]))[:1], np.array([0]), np.array([2]), words.RAW_VALUES)
     assert raw[0] != words.word_hashes(pa.array(["ab"]), words.SPACE_WORDS)[0][0]
+
+
+def test_language_filters_are_the_exact_sets():
+    rng = np.random.default_rng(41)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = lambda k, n: " ".join("".join(rng.choice(list(letters[3 * k : 3 * k + 9]), 5)) for _ in range(n))
+    names = [f"l{k:02}" for k in range(6)]
+    own = {n: np.unique(langid.grams(pa.array([text(k % 4, 4000)]))[0]) for k, n in enumerate(names)}
+    f = langid.LanguageFilters(names, own)
+    texts = [text(k % 4, n) for k, n in enumerate((1, 3, 50, 400, 20_000, 7))] + ["", "Q", "abc def"]
+    g, starts = langid.grams(pa.array(texts))
+    got = f.rates(g, starts)
+    for i in range(len(texts)):
+        mine = g[starts[i] : starts[i + 1]]
+        for j, n in enumerate(names):
+            exact = np.isin(mine, own[n]).mean() if len(mine) else 0.0
+            # false positives are corrected on average: five deviations of their number
+            p = f.false[j]
+            assert abs(got[i, j] - exact) <= 5 * np.sqrt(p * (1 - p) / max(1, len(mine))) + (1 / max(1, len(mine)) if p else 0) + 1e-9
+    # a tie goes to the first name
+    same = langid.LanguageFilters(["b", "c"], {"b": own["l00"], "c": own["l00"]})
+    assert same.rates(g, starts)[2].argmax() == 0

@@ -300,6 +300,12 @@ def test_language(spark):
     held = [(i, k) for i, _, k in rows[:120] if zlib.crc32(str(i).encode()) % 5 == 0]
     assert held and all(got[i][0] == k and 0.5 < got[i][1] <= 1 for i, k in held)
     assert got[500] == got[501] == got[502] == got[504] == ("und", 0.0) and got[None][0] == "bb" and got[503][0] in words
+    # long texts, columns of the operator's own names and extra ones, and repeated rows
+    long = " ".join(rng.choice(words["aa"]) for _ in range(60_000))
+    e = spark.createDataFrame([(1, long, "x", 1, "y"), (1, long, "x", 1, "y"), (2, "kaksi " * 5, "x", 2, "z")], "doc_id long, text string, lang string, score int, rate string")
+    assert sorted((r["doc_id"], r["predicted"]["lang"], r["lang"], r["score"], r["rate"]) for r in langid.predict(e, filters).collect()) == [(1, "aa", "x", 1, "y")] * 2 + [(2, "bb", "x", 2, "z")]
+    with pytest.raises(ValueError, match="predicted"):
+        langid.predict(e.withColumnRenamed("score", "predicted"), filters)
     nothing = langid.fit(langid.training_rows(d.limit(0)))
     assert {r["predicted"]["lang"] for r in langid.predict(d, nothing).collect()} == {"und"}
     assert langid.predict(d.limit(0), filters).count() == 0
