@@ -477,3 +477,31 @@ def test_language_filters_are_the_exact_sets():
     # a tie goes to the first name
     same = langid.LanguageFilters(["b", "c"], {"b": own["l00"], "c": own["l00"]})
     assert same.rates(g, starts)[2].argmax() == 0
+
+
+def test_labeller_on_pages_labelled_by_hand():
+    """Pages of layouts and names that no training page has, labelled by hand: at least 85 of 100 blocks are told right."""
+    rng = random.Random(1)
+    some = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    t = lambda n: f"{' '.join(rng.choice(some) for _ in range(n)).capitalize()}."
+    links = lambda n: "".join(f"<li><a href=/{i}>{t(2)[:-1]}</a>" for i in range(n))
+    prose = lambda k: "".join(f"<p>{t(rng.randrange(20, 80))}</p>" for _ in range(k))
+    layouts = [
+        lambda: f"<nav><ul>{links(6)}</ul></nav><article><h1>{t(6)}</h1>{prose(3)}</article><footer>{t(6)}</footer>",
+        lambda: f"<div class=menu>{links(5)}</div><div class=content><h2>{t(5)}</h2>{prose(4)}</div><div class='sidebar'>{links(4)}<p>{t(8)}</p></div><div id=comments><p>{t(15)}</p></div>",
+        lambda: f"<header><h1>{t(3)}</h1></header><main>{prose(2)}<blockquote>{t(20)}</blockquote></main><aside class=related>{links(4)}</aside><form class=newsletter><p>{t(7)}</p><button>{t(1)}</button></form>",
+        lambda: f"<div class='ad banner'>{t(9)}</div><ul>{links(5)}</ul><div><p>{t(50)}</p>{prose(3)}</div><div><a href=x>{t(3)}</a></div><p>{t(4)}",
+    ]
+    net = html_text.Labeller()
+    net.train([html_text.blocks(layouts[i % 4]()) for i in range(240)])
+    hand = [
+        (lambda: f"<table><tr><td><a href=1>Home</a><td><a href=2>News</a><td><a href=3>About us</a></table><div id=x17><h1>{t(6)}</h1>{prose(3)}</div><div><small>{t(4)}</small></div>", "00011110"),
+        (lambda: f"<div class=q9><a href=/>Start</a> | <a href=/b>Blog</a></div><section><h2>{t(7)}</h2><p>{t(60)}<p>{t(45)} <a href=z>{t(2)}</a> {t(30)}</section><div class=q8>{links(4)}</div>", "01110000"),
+        (lambda: f"<center><p>{t(70)}</p><pre>{t(30)}</pre></center><p>{t(3)}</p><dl><dt><a href=a>{t(2)}</a><dd><a href=b>{t(3)}</a></dl>", "11000"),
+    ]
+    right = []
+    for _ in range(10):
+        for page, want in hand:
+            b = html_text.blocks(page())
+            right += ((net.scores(html_text.Features([b])) > 0) == np.array([x == "1" for x in want])).tolist()
+    assert np.mean(right) >= 0.85
