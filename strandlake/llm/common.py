@@ -29,8 +29,8 @@ def partitions(df: DataFrame, least: int = 12) -> int:
 
 
 #: rows and bytes of an Arrow batch; whole texts are long, and every task holds a batch on either side
-BATCH_ROWS = 1000
-BATCH_BYTES = 8 << 20
+BATCH_ROWS = 500
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -105,7 +105,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, least_rate: float = LEAST_RAT
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in words.pieces(batch, "text", 1 << 23):
+            for b in words.pieces(batch, "text", 1 << 20):
                 lang = np.array(b.column(0).to_pylist(), object)
                 g, starts = grams(b.column(1))
                 for name in set(lang.tolist()):

@@ -206,11 +206,6 @@ class Encoder:
         return np.concatenate(ids), np.concatenate(([0], np.cumsum([len(x) for x in ids]))), np.concatenate(cuts) if self.offsets else None
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(name: str, offsets: bool = False) -> Encoder:
-    """The worker's encoder of that name; it lives as long as the worker."""
-    if (name, offsets) not in _encoders:
-        _encoders[name, offsets] = Encoder(name, offsets)
-    return _encoders[name, offsets]
+    """The worker's encoder of that name, as long as it works for one stage."""
+    return words.kept(("encoder", name, offsets), lambda: Encoder(name, offsets))

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 
 RAW_VALUES = np.arange(256, dtype=np.uint8)
 BYTE_VALUES = RAW_VALUES.copy()
@@ -66,8 +67,32 @@ def give_back() -> None:
         _trim(0)
 
 
+_held: dict = {}
+_stage: list[int | None] = [None]
+
+
+def _let_go() -> None:
+    """Drops what kept() holds for another stage."""
+    task = TaskContext.get()
+    stage = task.stageId() if task else None
+    if stage != _stage[0]:
+        _stage[0] = stage
+        if _held:
+            _held.clear()
+            give_back()
+
+
+def kept(key, make):
+    """What make() gives, held as long as the worker works for the same stage."""
+    _let_go()
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
 def pieces(batch: pa.RecordBatch, column: str, budget: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts have about `budget` bytes (a longer text is a slice of its own)."""
+    _let_go()
     i = batch.schema.get_field_index(column)
     lengths = pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lengths)
