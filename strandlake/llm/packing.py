@@ -190,6 +190,7 @@ def _placed(pieces: DataFrame, length: int) -> tuple[DataFrame, int]:
     ranked = ranked.join(base, ["bin", "deal"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "doc_hash", "bin", (F.col("base") + F.col("row") - 1).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.let_go()
         for b in batches:
             bins, rank = b.column(6).to_numpy(), b.column(7).to_numpy()
             seq, nth = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
@@ -251,6 +252,7 @@ def _filled(placed: DataFrame, docs: DataFrame, sequences: int, tokenizer: str,
     both = gaps.unionByName(go).repartition(common.partitions(docs), "cell").sortWithinPartitions("cell", "role", "at")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words.let_go()
         for t in common.groups(batches, ["cell"]):
             at, size, role = (t[c].to_numpy() for c in ("at", "size", "role"))
             low = int(t["cell"][0].as_py()) * CELL

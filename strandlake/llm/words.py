@@ -71,7 +71,7 @@ _held: dict = {}
 _stage: list[int | None] = [None]
 
 
-def _let_go() -> None:
+def let_go() -> None:
     """Drops what kept() holds for another stage."""
     task = TaskContext.get()
     stage = task.stageId() if task else None
@@ -84,15 +84,16 @@ def _let_go() -> None:
 
 def kept(key, make):
     """What make() gives, held as long as the worker works for the same stage."""
-    _let_go()
+    let_go()
     if key not in _held:
         _held[key] = make()
+        give_back()  # what making it took
     return _held[key]
 
 
 def pieces(batch: pa.RecordBatch, column: str, budget: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts have about `budget` bytes (a longer text is a slice of its own)."""
-    _let_go()
+    let_go()
     i = batch.schema.get_field_index(column)
     lengths = pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lengths)
