@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP1_SQL, op1_decontaminate
+from .exact_copies import OP13_SQL, op13_exact_copies
 from .html_text import op2_html_text
 from .jaccard import OP10_SQL, op10_jaccard_join
 from .langid import op8_language_id
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_near_vectors": op9_near_vectors,
     "op10_jaccard_join": op10_jaccard_join,
+    "op13_exact_copies": op13_exact_copies,
 }
 
-SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op9_near_vectors": OP9_SQL, "op10_jaccard_join": OP10_SQL}
+SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op9_near_vectors": OP9_SQL, "op10_jaccard_join": OP10_SQL, "op13_exact_copies": OP13_SQL}
