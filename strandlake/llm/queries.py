@@ -11,6 +11,7 @@ from .licenses import op4_license_scan
 from .near_vectors import OP9_SQL, op9_near_vectors
 from .packing import op6_pack_sequences
 from .passages import op5_repeated_passages
+from .spelling import op11_spelling_variants
 from .token_counts import op7_token_counts
 from .wavelet import op3_wavelet_ids
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_near_vectors": op9_near_vectors,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_exact_copies": op13_exact_copies,
 }
 
