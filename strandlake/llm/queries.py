@@ -14,6 +14,7 @@ from .passages import op5_repeated_passages
 from .spelling import op11_spelling_variants
 from .token_counts import op7_token_counts
 from .wavelet import op3_wavelet_ids
+from .whitening import op12_whitened_vectors
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_near_vectors": op9_near_vectors,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_whitened_vectors": op12_whitened_vectors,
     "op13_exact_copies": op13_exact_copies,
 }
 
