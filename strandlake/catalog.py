@@ -270,7 +270,7 @@ query(
     "q_max_tree",
     f"with recursive {EDGES}, ranked as (select u, v, ((u * 31 + v * 17) % 101)::double w, row_number() over (order by (u * 31 + v * 17) % 101 desc, u, v) k from edges), ways as (select u a, v b, k from ranked union all select v, u, k from ranked), heavier(k0, x) as (select k, u from ranked union select k0, b from heavier join ways on a = x and k < k0) select 0::bigint run_id, u, v, w from ranked where not exists (select 1 from heavier where k0 = k and x = ranked.v)",
 )(lambda s, d: gr.spanning_forest(fx.lattice_edges(s, d).withColumn("w", ((F.col("u") * 31 + F.col("v") * 17) % 101).cast("double")), largest=True))
-query("q_backbone")(lambda s, d: pt.backbones(*graph_with_components(s, d)))
+query("q_backbone")(lambda s, d: pt.backbone_nodes(*graph_with_components(s, d)))
 query("q_turn_aware")(lambda s, d: pt.turn_aware_costs(*graph_with_components(s, d)))
 query("q_turn_aware_length")(lambda s, d: pt.turn_aware_costs(*graph_with_components(s, d), by_length=True))
 query("q_longest_paths")(lambda s, d: pt.longest_paths(*graph_with_components(s, d)))

@@ -1,265 +1,324 @@
-"""Path operators per connected component: breadth-first sweeps, backbones and turn-aware paths.
+"""Path operators over components of any size: breadth-first sweeps, weighted and turn-aware shortest paths, far pairs, backbones.
 
-The searches are sequential, so each component is one group of a streamed kernel; a task holds one component at a time.
-Neighbours are visited in order of id, and ties go to the smaller id.
+Searches run on tiles (plans/tiled.py), so a component is spread over as many tasks as it needs; all components are searched at once.
+The farthest node of a sweep is that of the largest cost (to nine digits), then of the smallest id. On a path a node's predecessor is the one
+with the smallest id among those on shortest paths; paths are rows, found by pointer doubling. Steps without length count as 1e-9 long.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
+from dataclasses import dataclass, field
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.kernels import per_group
-
-
-class Component:
-    """Adjacency of one component by local indices in order of id."""
-
-    def __init__(self, t: pa.Table):
-        u, v = t["u"].to_numpy(), t["v"].to_numpy()
-        self.ids = np.unique(np.concatenate((u, v)))
-        a, b = np.searchsorted(self.ids, u), np.searchsorted(self.ids, v)
-        n = len(self.ids)
-        self.xy = np.zeros((n, 2))
-        if "xu" in t.column_names:
-            for i, x, y in ((a, "xu", "yu"), (b, "xv", "yv")):
-                self.xy[i, 0], self.xy[i, 1] = t[x].to_numpy(), t[y].to_numpy()
-        self.near: list[list[int]] = [[] for _ in range(n)]
-        loops = a != b
-        for i, j in sorted(set(zip(np.concatenate((a[loops], b[loops])).tolist(), np.concatenate((b[loops], a[loops])).tolist()))):
-            self.near[i].append(j)
-
-    def length(self, i: int, j: int) -> float:
-        return float(math.hypot(*(self.xy[i] - self.xy[j])))
-
-    def bfs(self, start: int, allowed: set[int] | None = None) -> tuple[list[int], list[int]]:
-        dist, parent = [-1] * len(self.ids), [-1] * len(self.ids)
-        dist[start], queue = 0, [start]
-        for i in queue:
-            for j in self.near[i]:
-                if dist[j] < 0 and (allowed is None or j in allowed):
-                    dist[j], parent[j] = dist[i] + 1, i
-                    queue.append(j)
-        return dist, parent
-
-    @staticmethod
-    def trace(parent: list[int], end: int) -> list[int]:
-        out = [end]
-        while parent[out[-1]] >= 0:
-            out.append(parent[out[-1]])
-        return out[::-1]
-
-    def sweep(self, allowed: set[int] | None = None) -> list[int]:
-        """Double sweep: the path from the node farthest from the smallest one to the node farthest from that."""
-        first = 0 if allowed is None else min(allowed)
-        a = int(np.argmax(self.bfs(first, allowed)[0]))
-        dist, parent = self.bfs(a, allowed)
-        return self.trace(parent, int(np.argmax(dist)))
-
-    def core(self) -> set[int]:
-        """Nodes that stay when nodes with at most one neighbour left are dropped again and again."""
-        deg = [len(x) for x in self.near]
-        out = [i for i, d in enumerate(deg) if d <= 1]
-        gone = set(out)
-        for i in out:
-            for j in self.near[i]:
-                if j not in gone:
-                    deg[j] -= 1
-                    if deg[j] <= 1:
-                        gone.add(j)
-                        out.append(j)
-        return set(range(len(self.ids))) - gone
-
-    def dijkstra(self, start: int) -> tuple[list[float], list[int]]:
-        dist, parent, heap = [math.inf] * len(self.ids), [-1] * len(self.ids), [(0.0, start)]
-        dist[start] = 0.0
-        while heap:
-            d, i = heapq.heappop(heap)
-            if d > dist[i]:
-                continue
-            for j in self.near[i]:
-                new = d + self.length(i, j)
-                if new < dist[j] - 1e-12:
-                    dist[j], parent[j] = new, i
-                    heapq.heappush(heap, (new, j))
-        return dist, parent
-
-    def farthest(self, start: int = 0) -> tuple[int, int, float]:
-        """Ends and length of a longest shortest path found by two sweeps (lengths compared to 9 digits)."""
-        a = int(np.argmax(np.round(self.dijkstra(start)[0], 9)))
-        dist = np.round(self.dijkstra(a)[0], 9)
-        b = int(np.argmax(dist))
-        return a, b, float(dist[b])
-
-    def far_pairs(self, k: int) -> list[tuple[int, int]]:
-        """Pairs among seeds spread by the max-min rule, farthest first."""
-        a, b, _ = self.farthest()
-        seeds, least = [a, b], np.minimum(self.dijkstra(a)[0], self.dijkstra(b)[0])
-        while len(seeds) < min(k + 1, len(self.ids)):
-            s = int(np.argmax(np.round(least, 9)))
-            seeds.append(s)
-            least = np.minimum(least, self.dijkstra(s)[0])
-        dist = {s: self.dijkstra(s)[0] for s in seeds}
-        pairs = sorted({(-round(dist[s][t], 9), min(s, t), max(s, t)) for s in seeds for t in seeds if s != t})
-        return [(s, t) for _, s, t in pairs[:k]]
-
-    def turn_aware(self, start: int, end: int, lam: float, by_length: bool = False) -> tuple[list[int], float]:
-        """Shortest path over directed edges: steps (or lengths) plus lam' (1 - cos turn), lam' = lam pi^2 / 2; the first
-        step has no turn. Turning back is allowed."""
-        if start == end:
-            return [start], 0.0
-        weight = 0.5 * math.pi**2 * lam
-        cost: dict[tuple[int, int], float] = {}
-        back: dict[tuple[int, int], tuple[int, int] | None] = {}
-        heap = []
-        step = (lambda i, j: self.length(i, j)) if by_length else (lambda i, j: 1.0)
-        for j in self.near[start]:
-            cost[start, j], back[start, j] = step(start, j), None
-            heapq.heappush(heap, (cost[start, j], start, j))
-        while heap:
-            c, i, j = heapq.heappop(heap)
-            if c > cost[i, j] + 1e-12:
-                continue
-            if j == end:
-                path, at = [j], (i, j)
-                while at is not None:
-                    path.append(at[0])
-                    at = back[at]
-                return path[::-1], c
-            d = self.xy[j] - self.xy[i]
-            for k in self.near[j]:
-                e = self.xy[k] - self.xy[j]
-                size = math.hypot(*d) * math.hypot(*e)
-                cos = max(-1.0, min(1.0, float(d @ e) / size)) if size > 0 else 1.0
-                new = c + step(j, k) + weight * (1 - cos)
-                if new < cost.get((j, k), math.inf) - 1e-12:
-                    cost[j, k], back[j, k] = new, (i, j)
-                    heapq.heappush(heap, (new, j, k))
-        return [], math.inf
-
-    def backbone(self, mode: str = "both", lam: float = 0.5, peel: bool = True) -> list[int]:
-        """The component's backbone: a double-sweep path, or a turn-aware one between its ends (re-picked in the 2-core
-        where both lie in it); `both` takes the turn-aware one only if it has more steps."""
-        if mode not in ("geodesic", "turnaware", "both"):
-            raise ValueError(f"mode: {mode}")
-        plain = self.sweep()
-        if mode == "geodesic":
-            return plain
-        a, b = plain[0], plain[-1]
-        if peel:
-            core = self.core()
-            if len(core) > 1 and a in core and b in core:
-                inner = self.sweep(core)
-                a, b = inner[0], inner[-1]
-        path, _ = self.turn_aware(a, b, lam)
-        return path if mode == "turnaware" or len(path) > len(plain) else plain
-
-    def spanning_tree(self, largest: bool = True) -> Component:
-        """The component's maximum (or minimum) spanning tree by length."""
-        root = list(range(len(self.ids)))
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        edges = sorted((round(-self.length(i, j) if largest else self.length(i, j), 9), i, j) for i in range(len(self.ids)) for j in self.near[i] if i < j)
-        tree = object.__new__(Component)
-        tree.ids, tree.xy, tree.near = self.ids, self.xy, [[] for _ in self.ids]
-        for _, i, j in edges:
-            p, q = top(i), top(j)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                tree.near[i].append(j)
-                tree.near[j].append(i)
-        for x in tree.near:
-            x.sort()
-        return tree
-
-    def pc1_ends(self) -> tuple[int, int]:
-        """Nodes at the ends of the first principal axis."""
-        d = self.xy - self.xy.mean(0)
-        sxx, syy, sxy = (d[:, 0] ** 2).sum(), (d[:, 1] ** 2).sum(), (d[:, 0] * d[:, 1]).sum()
-        t = 0.5 * math.atan2(2 * sxy, sxx - syy)
-        along = np.round(d @ np.array([math.cos(t), math.sin(t)]), 9)
-        return int(np.argmin(along)), int(np.argmax(along))
-
-    def geometric_backbone(self, lam: float = 0.5, k: int = 4) -> tuple[list[int], float]:
-        """Longest turn-aware path by length between the ends of the principal axis or far pairs, in the 2-core's view:
-        where the core is small, the farthest pair without turn costs."""
-        core = self.core()
-        if len(core) < 3:
-            a, b, d = self.farthest()
-            return self.trace(self.dijkstra(a)[1], b), d
-        best: tuple[float, list[int]] = (-1.0, [])
-        for a, b in [self.pc1_ends(), *self.far_pairs(k)]:
-            if a != b:
-                path, _ = self.turn_aware(a, b, lam, by_length=True)
-                size = round(sum(self.length(i, j) for i, j in zip(path[:-1], path[1:])), 9)
-                if size > best[0]:
-                    best = (size, path)
-        return best[1], best[0]
-
-
-def _located(points: DataFrame, edges: DataFrame, comps: DataFrame) -> DataFrame:
-    p = lambda s: points.select("run_id", F.col("id").alias(s), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}"))
-    c = comps.select("run_id", F.col("id").alias("u"), "comp")
-    return edges.select("run_id", "u", "v").join(c, ["run_id", "u"]).join(p("u"), ["run_id", "u"]).join(p("v"), ["run_id", "v"])
-
-
-def _per_component(points: DataFrame, edges: DataFrame, comps: DataFrame, kernel, schema: str) -> DataFrame:
-    def run(t: pa.Table) -> list[dict]:
-        key = {"run_id": t["run_id"][0].as_py(), "comp": t["comp"][0].as_py()}
-        return [key | r for r in kernel(Component(t))]
-
-    return per_group(_located(points, edges, comps), ["run_id", "comp"], ["u", "v"], run, f"run_id long, comp long, {schema}")
+from ..plans import iterate
+from ..plans.tiled import Tiled, along_curve, numbered
+from . import graph
 
+KEY = ["run_id", "comp"]
+#: pairs of far nodes that are looked for: one less than this
+SEEDS = 8
+SHORTEST = 1e-9
 
-def distances(points: DataFrame, edges: DataFrame, comps: DataFrame) -> DataFrame:
-    """(run_id, comp, id, dist): steps from the component's smallest node; isolated nodes have 0."""
-    d = _per_component(points, edges, comps, lambda c: [{"id": int(i), "dist": d} for i, d in zip(c.ids, c.bfs(0)[0])], "id long, dist long")
-    alone = comps.join(d.select("run_id", "id"), ["run_id", "id"], "left_anti").select("run_id", "comp", "id", F.lit(0).cast("long").alias("dist"))
-    return d.unionByName(alone)
 
+@dataclass
+class Network:
+    """nodes: run_id, comp, id, x, y, sid. halves: u, v (sids), dx, dy, size of every edge in both directions."""
 
-def backbones(points: DataFrame, edges: DataFrame, comps: DataFrame, mode: str = "both", lam: float = 0.5, peel: bool = True) -> DataFrame:
-    """(run_id, comp, path, hops) of every component; isolated nodes are paths of one node."""
+    nodes: DataFrame
+    halves: DataFrame
+    _graphs: dict = field(default_factory=dict)
 
-    def kernel(c: Component) -> list[dict]:
-        path = [int(c.ids[i]) for i in c.backbone(mode, lam, peel)]
-        return [{"path": path, "hops": len(path) - 1}]
+    def graph(self, by_length: bool = False) -> Tiled:
+        """Nodes are states; a step costs 1 or its length."""
+        if by_length not in self._graphs:
+            cost = F.col("size") if by_length else F.lit(1.0)
+            self._graphs[by_length] = Tiled(self.halves.select(F.col("u").alias("a"), F.col("v").alias("b"), cost.alias("cost"), F.col("size").alias("length")))
+        return self._graphs[by_length]
 
-    b = _per_component(points, edges, comps, kernel, "path array<long>, hops long")
-    alone = comps.join(b.select("run_id", "comp"), ["run_id", "comp"], "left_anti").select("run_id", "comp", F.array("id").alias("path"), F.lit(0).cast("long").alias("hops"))
-    return b.unionByName(alone)
+    def turns(self, lam: float, by_length: bool) -> tuple[Tiled, DataFrame]:
+        """Half-edges are states (u, v, sid, step, size); the next step costs 1 or its length, and lam' (1 - cos turn), lam' = lam pi^2 / 2."""
+        key = (lam, by_length)
+        if key not in self._graphs:
+            states = self._graphs.get("states")
+            if states is None:  # numbered by the node that they lead to
+                states = self._graphs["states"] = numbered(self.halves, ["v", "u"], "states")
+            step = F.col("size") if by_length else F.lit(1.0)
+            h = states.withColumn("step", step)
+            self._graphs[key] = Tiled(_turn_arcs(h, lam), "turns"), h
+        return self._graphs[key]
 
 
-def turn_aware_costs(points: DataFrame, edges: DataFrame, comps: DataFrame, lam: float = 0.5, by_length: bool = False) -> DataFrame:
-    """(run_id, comp, a, b, cost, hops) of the turn-aware path between the double sweep's ends."""
+def _turn_arcs(h: DataFrame, lam: float) -> DataFrame:
+    """Arcs (a, b, cost, length) from every half-edge to those that go on from its end."""
+    before = h.select(F.col("v").alias("u"), F.col("sid").alias("a"), F.col("dx").alias("ax"), F.col("dy").alias("ay"))
+    flat = F.hypot("ax", "ay") * F.hypot("dx", "dy")
+    cosine = F.when(flat > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("ax") * F.col("dx") + F.col("ay") * F.col("dy")) / flat))).otherwise(1.0)
+    return before.join(h, "u").select("a", F.col("sid").alias("b"), (F.col("step") + F.lit(0.5 * math.pi**2 * lam) * (1 - cosine)).alias("cost"), F.col("size").alias("length"))
+
+
+def network(points: DataFrame, edges: DataFrame, comps: DataFrame) -> Network:
+    """The graph with its nodes numbered along a space-filling curve. Self-loops and repeated edges do not matter."""
+    p = comps.select("run_id", "id", "comp").join(points.select("run_id", "id", "x", "y"), ["run_id", "id"])
+    nodes = numbered(along_curve(p), ["run_id", "z", "id"], "nodes").drop("z")
+    return Network(nodes, _halves(nodes, edges))
+
+
+def _halves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    end = lambda s: nodes.select("run_id", F.col("id").alias(s), F.col("sid").alias(f"s{s}"), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}"))
+    e = graph.dedup_edges(edges).join(end("u"), ["run_id", "u"]).join(end("v"), ["run_id", "v"])
+    dx, dy = F.col("xv") - F.col("xu"), F.col("yv") - F.col("yu")
+    size = F.greatest(F.hypot(dx, dy), F.lit(SHORTEST))
+    one = e.select(F.col("su").alias("u"), F.col("sv").alias("v"), dx.alias("dx"), dy.alias("dy"), size.alias("size"))
+    return iterate.cut(one.unionByName(e.select(F.col("sv").alias("u"), F.col("su").alias("v"), (-dx).alias("dx"), (-dy).alias("dy"), size.alias("size"))), "halves")
+
+
+def _from(starts: DataFrame) -> DataFrame:
+    """Starts (slot, sid) with nothing on their way yet."""
+    return starts.select("slot", "sid", F.lit(0.0).alias("cost"), F.lit(0.0).alias("steps"), F.lit(0.0).alias("length"))
+
+
+def _best(rows: DataFrame, cost: str = "cost") -> DataFrame:
+    """(run_id, comp, slot, sid, id, cost, steps) of the farthest node."""
+    top = F.min(F.struct((-F.round(cost, 9)).alias("less"), "id", "sid", F.col(cost).alias("cost"), "steps"))
+    return rows.groupBy(*KEY, "slot").agg(top.alias("t")).select(*KEY, "slot", "t.sid", "t.id", "t.cost", "t.steps")
 
-    def kernel(c: Component) -> list[dict]:
-        s = c.sweep()
-        path, cost = c.turn_aware(s[0], s[-1], lam, by_length)
-        return [{"a": int(c.ids[s[0]]), "b": int(c.ids[s[-1]]), "cost": round(cost, 6), "hops": len(path) - 1}]
 
-    return _per_component(points, edges, comps, kernel, "a long, b long, cost double, hops long")
+def reached(g: Tiled, nodes: DataFrame, starts: DataFrame) -> DataFrame:
+    """(run_id, comp, slot, sid, id, cost, steps, length) of every node that the starts (slot, sid) reach."""
+    return g.search(_from(starts)).join(nodes.select(*KEY, "id", "sid"), "sid")
 
 
-def longest_paths(points: DataFrame, edges: DataFrame, comps: DataFrame, lam: float = 0.5, k: int = 4) -> DataFrame:
-    """Lengths by component: farthest pair, best of k far pairs, spanning-tree diameter on the graph, and the geometric backbone."""
+def farthest(g: Tiled, nodes: DataFrame, starts: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """The farthest node from each start, of the nodes of `among` where given."""
+    return iterate.cut(_best(reached(g, nodes if among is None else among, starts)), "farthest")
 
-    def kernel(c: Component) -> list[dict]:
-        a, b, far = c.farthest()
-        pairs = c.far_pairs(k)
-        best = max((round(c.dijkstra(s)[0][t], 9) for s, t in pairs), default=0.0)
-        s, t, _ = c.spanning_tree().farthest()
-        path, size = c.geometric_backbone(lam, k)
-        return [{"a": int(c.ids[a]), "b": int(c.ids[b]), "far_length": round(far, 6), "best_length": round(best, 6), "tree_length": round(c.dijkstra(s)[0][t], 6), "backbone_length": round(size, 6), "backbone_nodes": len(path)}]
 
-    return _per_component(points, edges, comps, kernel, "a long, b long, far_length double, best_length double, tree_length double, backbone_length double, backbone_nodes long")
+def _smallest(nodes: DataFrame) -> DataFrame:
+    first = nodes.groupBy(*KEY).agg(F.min(F.struct("id", "sid")).alias("m"))
+    return first.select(*KEY, F.lit(0).alias("slot"), "m.sid", "m.id")
+
+
+def two_sweeps(g: Tiled, nodes: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(run_id, comp, a, b, a_id, b_id, cost, steps): a is farthest from the smallest node, b from a."""
+    among = nodes if among is None else among
+    a = farthest(g, nodes, _smallest(among), among)
+    b = farthest(g, nodes, a, among)
+    return iterate.cut(a.select(*KEY, F.col("sid").alias("a"), F.col("id").alias("a_id")).join(b.select(*KEY, F.col("sid").alias("b"), F.col("id").alias("b_id"), "cost", "steps"), KEY), "sweeps")
+
+
+def distances(points: DataFrame, edges: DataFrame, comps: DataFrame) -> DataFrame:
+    """(run_id, comp, id, dist): steps from the component's smallest node; isolated nodes have 0."""
+    net = network(points, edges, comps)
+    return reached(net.graph(), net.nodes, _smallest(net.nodes)).select(*KEY, "id", F.col("cost").cast("long").alias("dist"))
+
+
+def lengths(points: DataFrame, edges: DataFrame, comps: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """(run_id, comp, id, start, length): shortest lengths from the nodes (run_id, id) of starts, or the smallest of each component.
+    Several starts of one component are searched in several slots."""
+    net = network(points, edges, comps)
+    first = _smallest(net.nodes)
+    if starts is not None:
+        s = starts.select("run_id", "id").distinct().join(net.nodes, ["run_id", "id"])
+        slot = F.row_number().over(Window.partitionBy(*KEY).orderBy("id")) - 1
+        first = iterate.cut(s.select(*KEY, slot.alias("slot"), "sid", "id"), "starts")
+    found = reached(net.graph(True), net.nodes, first)
+    return found.join(first.select(*KEY, "slot", F.col("id").alias("start")), [*KEY, "slot"]).select(*KEY, "id", "start", F.col("cost").alias("length"))
+
+
+def turn_aware(net: Network, pairs: DataFrame, lam: float, by_length: bool = False) -> DataFrame:
+    """pairs (run_id, comp, slot, a, b) with cost, steps and length of the cheapest way from a to b over directed edges. The first step has no
+    turn; turning back is allowed."""
+    g, h = net.turns(lam, by_length)
+    p = pairs.select(*KEY, "slot", "a", "b")
+    out = p.where("a <> b").join(h.withColumnRenamed("u", "a"), "a").select("slot", "sid", F.col("step").alias("cost"), F.lit(1.0).alias("steps"), F.col("size").alias("length"))
+    ends = p.where("a <> b").join(h.select(F.col("v").alias("b"), "sid"), "b")
+    got = g.search(out).join(ends, ["slot", "sid"]).groupBy(*KEY, "slot").agg(F.min(F.struct(F.round("cost", 9).alias("r"), "steps", "length", "cost")).alias("m"))
+    same = p.where("a = b").select(*KEY, "slot", F.lit(0.0).alias("cost"), F.lit(0.0).alias("steps"), F.lit(0.0).alias("length"))
+    return iterate.cut(got.select(*KEY, "slot", "m.cost", "m.steps", "m.length").unionByName(same), "turn_aware")
+
+
+def turn_aware_costs(points: DataFrame, edges: DataFrame, comps: DataFrame, lam: float = 0.5, by_length: bool = False) -> DataFrame:
+    """(run_id, comp, a, b, cost, hops) of the turn-aware path between the double sweep's ends, for components with edges."""
+    net = network(points, edges, comps)
+    ends = two_sweeps(net.graph(), net.nodes).where("steps > 0").withColumn("slot", F.lit(0))
+    t = turn_aware(net, ends, lam, by_length)
+    return ends.select(*KEY, "a_id", "b_id").join(t, KEY).select(*KEY, F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round("cost", 6).alias("cost"), F.col("steps").cast("long").alias("hops"))
+
+
+def core_nodes(net: Network, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and half-edges of the 2-core."""
+    core = graph.two_core(graph.dedup_edges(edges))
+    inside = core.select("run_id", F.explode(F.array("u", "v")).alias("id")).distinct()
+    nodes = iterate.cut(net.nodes.join(inside, ["run_id", "id"], "left_semi").select(net.nodes.columns), "core_nodes")
+    return nodes, _halves(nodes, core)
+
+
+def _ends(net: Network, edges: DataFrame, mode: str, lam: float, peel: bool) -> DataFrame:
+    """(run_id, comp, a, b, steps, turned): ends and steps of each component's backbone, and whether it is a turn-aware path."""
+    if mode not in ("geodesic", "turnaware", "both"):
+        raise ValueError(f"mode: {mode}")
+    plain = two_sweeps(net.graph(), net.nodes).select(*KEY, "a", "b", "steps")
+    if mode == "geodesic":
+        return plain.withColumn("turned", F.lit(False))
+    ends = plain.where("steps > 0").select(*KEY, "a", "b")
+    if peel:
+        nodes, halves = core_nodes(net, edges)
+        c = two_sweeps(Network(nodes, halves).graph(), nodes).select(*KEY, F.col("a").alias("ca"), F.col("b").alias("cb"))
+        inside = lambda e: nodes.select(F.col("sid").alias(e), F.lit(True).alias(f"{e}_in"))
+        e = ends.join(inside("a"), "a", "left").join(inside("b"), "b", "left").join(c, KEY, "left")
+        both = F.col("a_in") & F.col("b_in")  # the core has both, so it has several nodes
+        ends = e.select(*KEY, F.when(both, F.col("ca")).otherwise(F.col("a")).alias("a"), F.when(both, F.col("cb")).otherwise(F.col("b")).alias("b"))
+    ends = iterate.cut(ends.withColumn("slot", F.lit(0)), "ends")
+    t = turn_aware(net, ends, lam).join(ends.select(*KEY, F.col("a").alias("ta"), F.col("b").alias("tb")), KEY)
+    j = plain.join(t.select(*KEY, F.col("steps").alias("tsteps"), "ta", "tb"), KEY, "left")
+    turned = F.col("tsteps").isNotNull() if mode == "turnaware" else F.coalesce(F.col("tsteps") > F.col("steps"), F.lit(False))
+    j = j.withColumn("turned", turned)
+    pick = lambda n, t, p: F.when(F.col("turned"), F.col(t)).otherwise(F.col(p)).alias(n)
+    return j.select(*KEY, pick("a", "ta", "a"), pick("b", "tb", "b"), pick("steps", "tsteps", "steps"), "turned")
+
+
+def backbones(points: DataFrame, edges: DataFrame, comps: DataFrame, mode: str = "both", lam: float = 0.5, peel: bool = True) -> DataFrame:
+    """(run_id, comp, a, b, hops, turned) of every component's backbone: a double-sweep path, or a turn-aware one between its ends (re-picked in
+    the 2-core where both lie in it); `both` takes the turn-aware one only if it has more steps. Isolated nodes have 0."""
+    net = network(points, edges, comps)
+    e = _ends(net, edges, mode, lam, peel)
+    name = lambda s: net.nodes.select(F.col("sid").alias(s), F.col("id").alias(f"{s}_id"))
+    return e.join(name("a"), "a").join(name("b"), "b").select(*KEY, F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("steps").cast("long").alias("hops"), "turned")
+
+
+def backbone_nodes(points: DataFrame, edges: DataFrame, comps: DataFrame, mode: str = "both", lam: float = 0.5, peel: bool = True) -> DataFrame:
+    """(run_id, comp, pos, id): the nodes of every component's backbone in order."""
+    net = network(points, edges, comps)
+    e = iterate.cut(_ends(net, edges, mode, lam, peel).withColumn("slot", F.lit(0)), "ends")
+    plain = path_nodes(net, e.where("not turned"))
+    if mode == "geodesic":
+        return plain
+    return plain.unionByName(turn_aware_nodes(net, e.where("turned"), lam))
+
+
+def path_nodes(net: Network, pairs: DataFrame, by_length: bool = False) -> DataFrame:
+    """(run_id, comp, pos, id): a shortest path for each of the pairs (run_id, comp, slot, a, b)."""
+    found = net.graph(by_length).search(_from(pairs.select("slot", F.col("a").alias("sid"))))
+    arcs = net.halves.select(F.col("u").alias("a"), F.col("v").alias("b"), (F.col("size") if by_length else F.lit(1.0)).alias("cost"))
+    ids = net.nodes.select("sid", "id")
+    walked = _traced(arcs, found, ids.select("sid", F.col("id").alias("tie")), pairs.select(*KEY, "slot", F.col("b").alias("sid")))
+    return walked.join(ids, "sid").select(*KEY, "pos", "id")
+
+
+def turn_aware_nodes(net: Network, pairs: DataFrame, lam: float, by_length: bool = False) -> DataFrame:
+    """(run_id, comp, pos, id): the cheapest turn-aware path for each of the pairs (run_id, comp, slot, a, b)."""
+    g, h = net.turns(lam, by_length)
+    ids = net.nodes.select("sid", "id")
+    p = pairs.select(*KEY, "slot", "a", "b")
+    started = p.where("a <> b").join(h.withColumnRenamed("u", "a"), "a").select("slot", "sid", F.col("step").alias("cost"), F.lit(1.0).alias("steps"), F.col("size").alias("length"))
+    found = g.search(started)
+    last = p.where("a <> b").join(h.select(F.col("v").alias("b"), F.col("u").alias("tail"), "sid"), "b").join(found, ["slot", "sid"]).join(ids.select(F.col("sid").alias("tail"), F.col("id").alias("tail_id")), "tail")
+    last = last.groupBy(*KEY, "slot").agg(F.min(F.struct(F.round("cost", 9).alias("r"), "tail_id", "sid")).alias("m")).select(*KEY, "slot", "m.sid")
+    ties = h.join(ids.withColumnRenamed("sid", "u"), "u").select("sid", F.col("id").alias("tie"))
+    walked = _traced(_turn_arcs(h, lam).drop("length"), found, ties, iterate.cut(last, "last"))
+    heads = walked.join(h.select("sid", "v"), "sid").join(ids.withColumnRenamed("sid", "v"), "v").select(*KEY, (F.col("pos") + 1).alias("pos"), "id")
+    return heads.unionByName(p.join(ids.withColumnRenamed("sid", "a"), "a").select(*KEY, F.lit(0).cast("long").alias("pos"), "id"))
+
+
+def _traced(arcs: DataFrame, found: DataFrame, ties: DataFrame, ends: DataFrame) -> DataFrame:
+    """(run_id, comp, sid, pos): states on the way from the starts of the labels `found` to the ends (run_id, comp, slot, sid); pos counts from the start.
+
+    A state's predecessor is that of the smallest tie among those whose cost and arc make up its own cost. Pointers over 2^i predecessors are tables;
+    the path is all that is found from the end by any sum of them.
+    """
+    at = found.select("slot", "sid", "cost")
+    a = at.join(ties, "sid").select("slot", F.col("sid").alias("a"), F.col("cost").alias("ca"), "tie")
+    b = at.select("slot", F.col("sid").alias("b"), F.col("cost").alias("cb"))
+    fits = arcs.join(a, "a").join(b, ["slot", "b"]).where((F.col("ca") < F.col("cb")) & (F.abs(F.col("ca") + F.col("cost") - F.col("cb")) <= 1e-9 * (1 + F.col("cb") * 1e-3)))
+    up = iterate.cut(fits.groupBy("slot", "b").agg(F.min(F.struct("tie", "a")).alias("m")).select("slot", F.col("b").alias("sid"), F.col("m.a").alias("to")), "up")
+    jumps = [up]
+    while True:
+        last = jumps[-1]
+        nxt = iterate.cut(last.join(last.select("slot", F.col("sid").alias("to"), F.col("to").alias("further")), ["slot", "to"]).select("slot", "sid", F.col("further").alias("to")), "up")
+        if not nxt.limit(1).count():
+            break
+        jumps.append(nxt)
+    path = ends.select(*KEY, "slot", "sid", F.lit(0).cast("long").alias("back"))
+    for i in range(len(jumps) - 1, -1, -1):
+        more = path.join(jumps[i], ["slot", "sid"]).select(*KEY, "slot", F.col("to").alias("sid"), (F.col("back") + (1 << i)).alias("back"))
+        path = iterate.cut(path.unionByName(more), "path")
+    size = path.groupBy(*KEY, "slot").agg(F.max("back").alias("last"))
+    return path.join(size, [*KEY, "slot"]).select(*KEY, "sid", (F.col("last") - F.col("back")).alias("pos"))
+
+
+def far_pairs(net: Network, among: DataFrame, seeds: int = SEEDS) -> DataFrame:
+    """(run_id, comp, slot, a, b, cost): pairs of far nodes by length, among the given nodes of each component.
+
+    The first seed is the node of least degree; each next one is farthest from all seeds before. A seed's pair is the
+    node farthest from it, and the node farthest from that. Slots number the seeds; equal pairs of several seeds stay.
+    """
+    g = net.graph(True)
+    degree = net.halves.groupBy(F.col("u").alias("sid")).agg(F.count("*").alias("degree"))
+    first = among.join(degree, "sid", "left").groupBy(*KEY).agg(F.min(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "id", "sid")).alias("m"))
+    seed = first.select(*KEY, F.lit(0).alias("slot"), "m.sid")
+    least, tops = None, None
+    for k in range(max(1, seeds - 1)):
+        d = reached(g, among, seed).select(*KEY, "slot", "sid", "id", "cost", "steps")
+        if k:
+            # the first start of a slot is a seed; distances to the nearest seed go on
+            d = iterate.cut(d.join(least.select("sid", F.col("least").alias("before")), "sid").withColumn("least", F.least("cost", "before")).drop("before"), "seeds")
+        else:
+            d = iterate.cut(d.withColumn("least", F.col("cost")), "seeds")
+        a = _best(d).select(*KEY, F.lit(k).alias("slot"), "sid")
+        tops = a if tops is None else tops.unionByName(a)
+        seed = iterate.cut(_best(d, "least").select(*KEY, F.lit(0).alias("slot"), "sid"), "seed")
+        least = d
+    tops = iterate.cut(tops, "tops")
+    b = farthest(g, net.nodes, tops, among)
+    return iterate.cut(tops.select(*KEY, "slot", F.col("sid").alias("a")).join(b.select(*KEY, "slot", F.col("sid").alias("b"), "cost"), [*KEY, "slot"]), "far_pairs")
+
+
+def tree_diameters(net: Network, points: DataFrame, edges: DataFrame) -> DataFrame:
+    """(run_id, comp, a, b, length): ends of the longest path in each component's maximum spanning tree, and their shortest length on the graph."""
+    e = graph.edge_gaps(points, graph.dedup_edges(edges)).select("run_id", "u", "v", F.round("d", 9).alias("w"))
+    tree = graph.spanning_forest(e, largest=True)
+    t = two_sweeps(Network(net.nodes, _halves(net.nodes, tree)).graph(True), net.nodes)
+    on = reached(net.graph(True), net.nodes, t.select(F.lit(0).alias("slot"), F.col("a").alias("sid")))
+    return t.join(on.select(F.col("sid").alias("b"), F.col("cost").alias("length")), "b").select(*KEY, "a", "b", "length")
+
+
+def _axis_ends(nodes: DataFrame) -> DataFrame:
+    """(run_id, comp, a, b): the nodes at the ends of the first principal axis of each component's nodes."""
+    m = nodes.groupBy(*KEY).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    d = nodes.join(m, KEY).withColumns({"cx": F.col("x") - F.col("mx"), "cy": F.col("y") - F.col("my")})
+    s = d.groupBy(*KEY).agg(F.sum(F.col("cx") * F.col("cx")).alias("xx"), F.sum(F.col("cy") * F.col("cy")).alias("yy"), F.sum(F.col("cx") * F.col("cy")).alias("xy"))
+    t = 0.5 * F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy"))
+    p = d.join(s.select(*KEY, t.alias("t")), KEY).withColumn("along", F.round(F.col("cx") * F.cos("t") + F.col("cy") * F.sin("t"), 9))
+    ends = p.groupBy(*KEY).agg(F.min(F.struct("along", "id", "sid")).alias("lo"), F.min(F.struct((-F.col("along")).alias("less"), "id", "sid")).alias("hi"))
+    return ends.select(*KEY, F.col("lo.sid").alias("a"), F.col("hi.sid").alias("b"))
+
+
+def geometric_backbones(net: Network, edges: DataFrame, lam: float = 0.5, seeds: int = SEEDS) -> DataFrame:
+    """(run_id, comp, length, steps) of the longest turn-aware path by length between the ends of the principal axis, far pairs and the farthest pair of
+    the 2-core's nodes. Where the core has at most one node: the shortest path between the component's farthest pair."""
+    nodes, _ = core_nodes(net, edges)
+    slim = net.nodes.join(nodes.select(*KEY).distinct(), KEY, "left_anti")
+    g = net.graph(True)
+    far = two_sweeps(g, net.nodes, slim).select(*KEY, F.col("cost").alias("length"), "steps")
+    axis = _axis_ends(nodes).select(*KEY, F.lit(0).alias("slot"), "a", "b")
+    pairs = far_pairs(net, nodes, seeds).select(*KEY, (F.col("slot") + 1).alias("slot"), "a", "b")
+    ends = two_sweeps(g, net.nodes, nodes).select(*KEY, F.lit(seeds + 1).alias("slot"), "a", "b")
+    asked = iterate.cut(axis.unionByName(pairs).unionByName(ends), "asked")
+    # equal pairs are searched once
+    asked = asked.groupBy(*KEY, "a", "b").agg(F.min("slot").alias("slot"))
+    t = turn_aware(net, asked, lam, by_length=True)
+    best = t.groupBy(*KEY).agg(F.min(F.struct((-F.round("length", 9)).alias("less"), "slot", "length", "steps")).alias("m")).select(*KEY, "m.length", "m.steps")
+    return best.unionByName(far)
+
+
+def longest_paths(points: DataFrame, edges: DataFrame, comps: DataFrame, lam: float = 0.5, seeds: int = SEEDS) -> DataFrame:
+    """Lengths by component with edges: farthest pair, best of the far pairs, spanning-tree diameter on the graph, and the geometric backbone."""
+    net = network(points, edges, comps)
+    far = two_sweeps(net.graph(True), net.nodes).where("steps > 0").select(*KEY, F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round("cost", 6).alias("far_length"))
+    best = far_pairs(net, net.nodes, seeds).groupBy(*KEY).agg(F.round(F.max("cost"), 6).alias("best_length"))
+    tree = tree_diameters(net, points, edges).select(*KEY, F.round("length", 6).alias("tree_length"))
+    bone = geometric_backbones(net, edges, lam, seeds).select(*KEY, F.round("length", 6).alias("backbone_length"), (F.col("steps") + 1).cast("long").alias("backbone_nodes"))
+    return far.join(best, KEY).join(tree, KEY).join(bone, KEY)

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -30,14 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, seen: dict[str, Column] | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: real statistics, and lost executors cost no recomputation
-    beyond it."""
+    beyond it. Aggregates named in seen are taken while the rows are written, and stand in the table's attribute seen."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    watch = Observation()
+    rows = df.observe(watch, *[c.alias(n) for n, c in seen.items()]) if seen else df
+    rows.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    if seen:
+        out.seen = watch.get
     return out
 
 

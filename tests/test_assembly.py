@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from strandlake.operators import faces, graph, growth, labels, matrix, paths, raster, spatial, stats, voronoi
+from strandlake.operators import faces, graph, growth, labels, matrix, raster, spatial, stats, voronoi
 
 SQUARE = [(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 1.0, 1.0), (4, 0.0, 1.0)]
 RING = [(1, 2), (2, 3), (3, 4), (1, 4)]
@@ -124,94 +124,6 @@ def test_spanning_forest_weight(spark, largest):
     assert sum(r["w"] for r in graph.spanning_forest(df, largest=largest).collect()) == _kruskal(e, -1 if largest else 1)
 
 
-def _random_graph(seed, n=14, m=22):
-    rng = random.Random(seed)
-    xy = [(rng.uniform(0, 9), rng.uniform(0, 9)) for _ in range(n)]
-    e = {(i - 1, i) for i in range(1, n)} | {tuple(sorted(rng.sample(range(n), 2))) for _ in range(m - n)}
-    return xy, sorted(e)
-
-
-def _hops(n, e, start):
-    near = {i: sorted({b if a == i else a for a, b in e if i in (a, b)}) for i in range(n)}
-    dist, queue = {start: 0}, [start]
-    for i in queue:
-        for j in near[i]:
-            if j not in dist:
-                dist[j] = dist[i] + 1
-                queue.append(j)
-    return dist
-
-
-@pytest.mark.parametrize("by_length", [False, True])
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_turn_aware_costs_are_brute_force(spark, seed, by_length):
-    xy, e = _random_graph(seed)
-    p, ef = points(spark, [(i, *q) for i, q in enumerate(xy)]), edges(spark, e)
-    r = paths.turn_aware_costs(p, ef, graph.components(p, ef), lam=0.5, by_length=by_length).first()
-    far = _hops(len(xy), e, 0)
-    a = min(far, key=lambda i: (-far[i], i))
-    back = _hops(len(xy), e, a)
-    assert (r["a"], r["b"]) == (a, min(back, key=lambda i: (-back[i], i)))
-    # relaxation over directed edges until nothing changes
-    d = lambda i, j: math.dist(xy[i], xy[j]) if by_length else 1.0
-    both = e + [(v, u) for u, v in e]
-    cost = {(u, v): d(u, v) if u == r["a"] else math.inf for u, v in both}
-
-    def cosine(i, j, k):
-        x, y = np.subtract(xy[j], xy[i]), np.subtract(xy[k], xy[j])
-        return max(-1.0, min(1.0, float(x @ y / np.linalg.norm(x) / np.linalg.norm(y))))
-
-    for _ in both:
-        for i, j in both:
-            for k, w in both:
-                if k == j:
-                    cost[j, w] = min(cost[j, w], cost[i, j] + d(j, w) + 0.25 * math.pi**2 * (1 - cosine(i, j, w)))
-    assert r["cost"] == pytest.approx(min(c for (_, v), c in cost.items() if v == r["b"]), abs=1e-5)
-
-
-@pytest.mark.parametrize("seed", [4, 5, 6])
-def test_longest_paths_are_brute_force(spark, seed):
-    xy, e = _random_graph(seed)
-    n = len(xy)
-    p, ef = points(spark, [(i, *q) for i, q in enumerate(xy)]), edges(spark, e)
-    c = graph.components(p, ef)
-    r = paths.longest_paths(p, ef, c).first()
-    d = np.full((n, n), np.inf)
-    d[range(n), range(n)] = 0
-    for u, v in e:
-        d[u, v] = d[v, u] = math.dist(xy[u], xy[v])
-    for k in range(n):
-        d = np.minimum(d, d[:, k, None] + d[None, k])
-    a = int(np.argmax(np.round(d[0], 9)))
-    b = int(np.argmax(np.round(d[a], 9)))
-    assert (r["a"], r["b"], r["far_length"]) == (a, b, pytest.approx(d[a, b], abs=1e-5))
-    seeds = [a, b]
-    while len(seeds) < 5:
-        seeds.append(int(np.argmax(np.round(d[seeds].min(0), 9))))
-    assert r["best_length"] == pytest.approx(max(d[s, t] for s in seeds for t in seeds), abs=1e-5)
-    # diameter of the tree that takes the longest edges first
-    root, t = list(range(n)), np.full((n, n), np.inf)
-    t[range(n), range(n)] = 0
-    for w, u, v in sorted((round(-math.dist(xy[u], xy[v]), 9), u, v) for u, v in e):
-        if root[u] != root[v]:
-            root = [root[u] if x == root[v] else x for x in root]
-            t[u, v] = t[v, u] = math.dist(xy[u], xy[v])
-    for k in range(n):
-        t = np.minimum(t, t[:, k, None] + t[None, k])
-    s = int(np.argmax(np.round(t[0], 9)))
-    assert r["tree_length"] == pytest.approx(d[s, int(np.argmax(np.round(t[s], 9)))], abs=1e-5)
-    # backbones: geodesic ones are double sweeps, all are paths of the graph
-    for mode in ("geodesic", "turnaware", "both"):
-        path = paths.backbones(p, ef, c, mode=mode).first()["path"]
-        assert all(tuple(sorted(x)) in set(e) for x in zip(path[:-1], path[1:]))
-    far = _hops(n, e, 0)
-    back = _hops(n, e, min(far, key=lambda i: (-far[i], i)))
-    assert paths.backbones(p, ef, c, mode="geodesic").first()["hops"] == max(back.values())
-    assert paths.backbones(p, ef, c).first()["hops"] >= max(back.values())
-    with pytest.raises(Exception, match="mode"):
-        paths.backbones(p, ef, c, mode="other").collect()
-
-
 def test_box_removal_renumbers(spark):
     rows = [(i, float(i % 5), float(i // 5)) for i in range(1, 11)] + [(50, 100.0, 100.0)]
     p, e = spatial.without_small_boxes(points(spark, rows), edges(spark, [(1, 2), (2, 50)]), least=3)
