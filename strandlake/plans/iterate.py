@@ -57,25 +57,23 @@ def drop(df: DataFrame) -> None:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component): for every id in edges (a, b) the smallest id that its links reach.
 
-    Alternating large-star and small-star rounds; their number grows with the logarithm of a component's size.
+    Rounds of a large star and a small star, one job each; their number grows with the logarithm of a component's size. It
+    ends when a round leaves the links as they were: their count and the sum of their hashes, taken while they are written.
     """
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
-    while True:
-        # done when all links are stars: nobody has two centres, and no centre has one
-        twice = e.groupBy("u").count().where("count > 1").select("u")
-        chained = e.select("u").join(e.select(F.col("v").alias("u")), "u", "left_semi")
-        if not twice.union(chained).limit(1).count():
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    seen = {"n": F.count("*"), "hashes": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name, seen)
+    while e.seen["n"]:
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e1 = cut(large.distinct(), name)
-        low = e1.groupBy("u").agg(F.min("v").alias("m"))
-        small = e1.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        e2 = cut(small, name)
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        new = cut(small, name, seen)
         drop(e)
-        drop(e1)
-        e = e2
+        same, e = new.seen == e.seen, new
+        if same:
+            break
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
 
 
 def orbits(steps: DataFrame, name: str = "orbits") -> DataFrame:
