@@ -343,7 +343,7 @@ query("q_dilate", f"with {PIXELS}, s as (select max(row) r, max(col) c from pixe
 )
 query(
     "q_image_islands",
-    f"with recursive {PIXELS}, n as (select row * 1000 + col id, row, col from dark), adj as (select a.id a, b.id b from (select id, row + i as row, col + j as col from n, (values (-1), (0), (1)) x(i), (values (-1), (0), (1)) y(j)) a join n b using (row, col) where a.id <> b.id), reach(v, c) as (select id, id from n union select adj.b, reach.c from reach join adj on adj.a = reach.v), isl as (select c, count(*) k from (select v, min(c) c from reach group by v) group by c) select 0::bigint img, round((select count(*) from dark) / (select count(*) from pixels)::double, 6) density, count(*) islands, max(k) max_area, round(avg(k), 6) mean_area from isl",
+    f"with recursive {PIXELS}, size as (select max(row) r, max(col) c, count(*) k from pixels), n as (select distinct (row + a) * 1000 + col + b id, row + a as row, col + b as col from dark, size, (values (-1), (0), (1)) x(a), (values (-1), (0), (1)) y(b) where row + a between 0 and r and col + b between 0 and c), adj as (select a.id a, b.id b from (select id, row + i as row, col + j as col from n, (values (-1), (0), (1)) x(i), (values (-1), (0), (1)) y(j)) a join n b using (row, col) where a.id <> b.id), reach(v, c) using key (v) as (select id, id from n union (select adj.a, min(reach.c) from reach join adj on adj.b = reach.v join recurring.reach old on old.v = adj.a where reach.c < old.c group by adj.a)), isl as (select c, count(*) k from reach group by c) select 0::bigint img, round(sum(k) / (select k from size)::double, 6) density, count(*) islands, max(k) max_area, round(avg(k), 6) mean_area from isl",
 )(lambda s, d: rs.island_stats(fx.pixels(s, d)))
 
 

@@ -211,5 +211,29 @@ def test_ranks_count_ties_and_empty_tables(spark):
 
 def test_islands_touch_at_corners(spark):
     p = spark.createDataFrame([(0, r, c, 10 if (r, c) in {(0, 0), (1, 1), (3, 3)} else 200) for r in range(4) for c in range(4)], "img long, row long, col long, gray int")
-    r = raster.island_stats(p).first()
-    assert (r["islands"], r["max_area"]) == (2, 2)
+    assert raster.islands(raster.dark(p)).select("island").distinct().count() == 2
+    r = raster.island_stats(p).first()  # grown by one pixel all are one
+    assert (r["islands"], r["max_area"], r["density"]) == (1, 12, 0.75)
+
+
+def test_islands_over_tiles_are_flood_fills(spark):
+    """Names of images as text, several tiles and large numbers of rows."""
+    rng = np.random.default_rng(2)
+    pictures = {"a/b.png": (rng.random((150, 140)) < 0.42, 0), "c": (rng.random((70, 200)) < 0.5, 1 << 40), "empty": (np.zeros((3, 3), bool), 0), "full": (np.ones((130, 66), bool), 0)}
+    rows = [(n, int(r) + base, int(c)) for n, (m, base) in pictures.items() for r, c in zip(*np.nonzero(m))]
+    got = {(r.img, r.row, r.col): (r.island.row, r.island.col) for r in raster.islands(spark.createDataFrame(rows, "img string, row long, col int")).collect()}
+    want = {}
+    for n, (m, base) in pictures.items():
+        seen = np.zeros_like(m)
+        for r, c in zip(*np.nonzero(m)):
+            if seen[r, c]:
+                continue
+            seen[r, c], queue = True, [(r, c)]
+            for i, j in queue:
+                want[n, int(i) + base, int(j)] = (int(r) + base, int(c))
+                for k in range(max(0, i - 1), min(m.shape[0], i + 2)):
+                    for q in range(max(0, j - 1), min(m.shape[1], j + 2)):
+                        if m[k, q] and not seen[k, q]:
+                            seen[k, q] = True
+                            queue.append((k, q))
+    assert got == want

@@ -10,6 +10,7 @@ from datetime import datetime
 import numpy as np
 import pytest
 
+from strandlake.operators import raster
 from strandlake.sources import files
 
 
@@ -104,3 +105,15 @@ def test_png(spark, tmp_path, channels):
 def test_raster(spark, tmp_path):
     (tmp_path / "i.pgm").write_bytes(b"P5\n# made here\n2 1\n255\n" + bytes([7, 200]))
     assert [(r["row"], r["col"], r["gray"]) for r in files.read_rasters(spark, str(tmp_path)).orderBy("col").collect()] == [(0, 0, 7), (0, 1, 200)]
+
+
+def test_images_to_islands(spark, tmp_path):
+    """From files to measures by hand: dots grow to 3 x 3; those two apart touch, those three apart do not."""
+    a = np.full((7, 12), 200, np.uint8)
+    a[3, [1, 3, 7]] = 0  # a bar of 3 x 5, and a square from column 6 on
+    a[0, 11] = 49  # a corner of 2 x 2
+    a[6, 11] = 50  # not dark
+    (tmp_path / "i.pgm").write_bytes(b"P5\n12 7\n255\n" + a.tobytes())
+    (tmp_path / "blank.pgm").write_bytes(b"P5\n2 2\n255\n" + bytes([99] * 4))
+    got = {r["img"].rsplit("/", 1)[1]: (r["density"], r["islands"], r["max_area"], r["mean_area"]) for r in raster.island_stats(files.read_rasters(spark, str(tmp_path))).collect()}
+    assert got == {"i.pgm": (round(28 / 84, 6), 3, 15, pytest.approx(28 / 3, abs=1e-6)), "blank.pgm": (0.0, 0, None, None)}
