@@ -185,17 +185,32 @@ def _cycle_ranks(loop: DataFrame, halfedges: DataFrame) -> DataFrame:
     return s.select("run_id", a, b, (F.col("rank") + 1).alias("pos"), F.col("dst").alias("id")).unionByName(s.where("rank = 0").select("run_id", a, b, F.lit(0).cast("long").alias("pos"), F.col("src").alias("id")))
 
 
+#: positions of a segment that are worked on together
+BLOCK = 4096
+
+
+def _blocks(seg: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
+    """Rows of seg by blocks of positions, with copies of the last rows before each block and the first ones after it (own is false). So
+    neighbours are found in groups of bounded size, however long a segment is. Positions must count up by one."""
+    b, at = F.floor(F.col("pos") / BLOCK), F.pmod(F.col("pos"), F.lit(BLOCK))
+    copies = [b, *([F.when(at < after, b - 1)] if after else []), *([F.when(at >= BLOCK - before, b + 1)] if before else [])]
+    return seg.withColumn("block", F.explode(F.array_compact(F.array(*copies)))).withColumn("own", F.col("block") == b)
+
+
+_IN_BLOCK = ("run_id", "seg", "block")
+
+
 def _along(points: DataFrame, seg: DataFrame) -> DataFrame:
-    w = Window.partitionBy("run_id", "seg").orderBy("pos")
-    s = seg.join(points.select("run_id", "id", "x", "y"), ["run_id", "id"])
-    return s.select("*", *[F.lead(c, n).over(w).alias(f"{c}{n}") for c in ("id", "x", "y") for n in (1, 2)])
+    w = Window.partitionBy(*_IN_BLOCK).orderBy("pos")
+    s = _blocks(seg.join(points.select("run_id", "id", "x", "y"), ["run_id", "id"]), after=2)
+    return s.select("*", *[F.lead(c, n).over(w).alias(f"{c}{n}") for c in ("id", "x", "y") for n in (1, 2)]).where("own")
 
 
 def segment_lengths(points: DataFrame, seg: DataFrame, least: float = 1e-9) -> DataFrame:
     """(run_id, seg, nodes, length) of segments with a finite length over `least`; repeated nodes in a row count once."""
-    w = Window.partitionBy("run_id", "seg").orderBy("pos")
-    once = seg.withColumn("before", F.lag("id").over(w)).where("before is null or before <> id").drop("before")
-    s = _along(points, once).groupBy("run_id", "seg").agg(F.count("*").alias("nodes"), F.sum(F.hypot(F.col("x1") - F.col("x"), F.col("y1") - F.col("y"))).alias("length"))
+    step = F.hypot(F.col("x1") - F.col("x"), F.col("y1") - F.col("y"))
+    new = F.col("id1").isNull() | (F.col("id1") != F.col("id"))
+    s = _along(points, seg).groupBy("run_id", "seg").agg(F.count_if(new).alias("nodes"), F.sum(step).alias("length"))
     return s.where((F.col("length") > least) & (F.col("length") < float("inf")))
 
 
@@ -210,23 +225,42 @@ def segment_curvature(points: DataFrame, seg: DataFrame) -> DataFrame:
 
 
 def segment_turnings(points: DataFrame, seg: DataFrame, least: float = 60.0, gap: int = 2) -> DataFrame:
-    """(run_id, seg, pos, id) of turning nodes along segments, each at least `gap` steps after the last accepted."""
-    w = Window.partitionBy("run_id", "seg").orderBy("pos")
-    s = seg.join(points.select("run_id", "id", "x", "y"), ["run_id", "id"])
+    """(run_id, seg, pos, id) of turning nodes along segments, each at least `gap` steps after the last accepted.
+
+    Every flagged node points to the first one at least a gap later; the accepted ones are those that pointers lead to from the first.
+    """
+    w = Window.partitionBy(*_IN_BLOCK).orderBy("pos")
+    s = _blocks(seg.join(points.select("run_id", "id", "x", "y"), ["run_id", "id"]), before=1, after=1)
     s = s.select("*", *[f(c).over(w).alias(n) for f, p in ((F.lag, "a"), (F.lead, "b")) for c, n in (("x", f"{p}x"), ("y", f"{p}y"))])
-    t = s.where("ax is not null and bx is not null").withColumn("dev", F.degrees(turn(F.col("x") - F.col("ax"), F.col("y") - F.col("ay"), F.col("bx") - F.col("x"), F.col("by") - F.col("y"))))
-    flagged = t.where(F.round("dev", 6) >= least).groupBy("run_id", "seg").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("at"))
-    empty = F.expr("cast(array() as array<struct<pos:bigint,id:bigint>>)")
-    kept = F.aggregate("at", empty, lambda acc, p: F.when((F.size(acc) == 0) | (p["pos"] - F.element_at(acc, F.greatest(F.size(acc), F.lit(1)) * 0 - 1)["pos"] >= gap), F.concat(acc, F.array(p))).otherwise(acc))
-    return flagged.select("run_id", "seg", F.explode(kept).alias("p")).select("run_id", "seg", "p.pos", "p.id")
+    t = s.where("own and ax is not null and bx is not null").withColumn("dev", F.degrees(turn(F.col("x") - F.col("ax"), F.col("y") - F.col("ay"), F.col("bx") - F.col("x"), F.col("by") - F.col("y"))))
+    flagged = iterate.cut(t.where(F.round("dev", 6) >= least).select("run_id", "seg", "pos", "id"), "flagged")
+    first = flagged.groupBy("run_id", "seg").agg(F.min("pos").alias("pos"))
+    kept = iterate.along_pointers(_next_flagged(flagged, gap), first, ["run_id", "seg"], "pos", "to", "turnings")
+    return kept.join(flagged, ["run_id", "seg", "pos"]).select("run_id", "seg", "pos", "id")
+
+
+def _next_flagged(flagged: DataFrame, gap: int) -> DataFrame:
+    """(run_id, seg, pos, to): the first flagged position at least gap after each: in the block where that begins, or the first of a later block."""
+    asks = flagged.select("run_id", "seg", (F.col("pos") + gap).alias("at"), "pos", F.lit(None).cast("long").alias("flag"))
+    rows = asks.unionByName(flagged.select("run_id", "seg", F.col("pos").alias("at"), F.lit(None).cast("long").alias("pos"), F.col("pos").alias("flag")))
+    rows = rows.withColumn("block", F.floor(F.col("at") / BLOCK))
+    here = Window.partitionBy(*_IN_BLOCK).orderBy("at").rangeBetween(0, Window.unboundedFollowing)
+    later = Window.partitionBy("run_id", "seg").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    firsts = rows.groupBy(*_IN_BLOCK).agg(F.min("flag").alias("flag")).select(*_IN_BLOCK, F.min("flag").over(later).alias("later"))
+    found = rows.withColumn("to", F.min("flag").over(here)).where("pos is not null").join(firsts, list(_IN_BLOCK))
+    return found.select("run_id", "seg", "pos", F.coalesce("to", "later").alias("to")).where("to is not null")
 
 
 def refined_segments(seg: DataFrame, flags: DataFrame) -> DataFrame:
-    """(run_id, seg, piece, pos, id): segments cut at flagged inner nodes, which belong to both pieces."""
-    w = Window.partitionBy("run_id", "seg").orderBy("pos")
-    f = seg.join(flags.select("run_id", "seg", "pos", F.lit(1).alias("flag")), ["run_id", "seg", "pos"], "left")
-    f = f.withColumn("flag", F.when(F.lag("pos").over(w).isNull() | F.lead("pos").over(w).isNull(), 0).otherwise(F.coalesce("flag", F.lit(0))))
-    f = f.withColumn("piece", F.sum("flag").over(w))
+    """(run_id, seg, piece, pos, id): segments cut at flagged inner nodes, which belong to both pieces. Pieces are counted within blocks of
+    positions, then over blocks."""
+    ends = seg.groupBy("run_id", "seg").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    f = seg.join(flags.select("run_id", "seg", "pos", F.lit(1).alias("flag")).distinct(), ["run_id", "seg", "pos"], "left").join(ends, ["run_id", "seg"])
+    f = _blocks(f.withColumn("flag", F.when(F.col("pos").isin(F.col("first"), F.col("last")), 0).otherwise(F.coalesce("flag", F.lit(0))))).drop("first", "last", "own")
+    before = Window.partitionBy("run_id", "seg").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = f.groupBy(*_IN_BLOCK).agg(F.sum("flag").alias("n")).select(*_IN_BLOCK, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    f = f.withColumn("within", F.sum("flag").over(Window.partitionBy(*_IN_BLOCK).orderBy("pos"))).join(sums, list(_IN_BLOCK))
+    f = f.withColumn("piece", F.col("before") + F.col("within"))
     return f.select("run_id", "seg", F.explode(F.when(F.col("flag") == 1, F.array(F.col("piece") - 1, F.col("piece"))).otherwise(F.array("piece"))).alias("piece"), "pos", "id")
 
 

@@ -233,20 +233,10 @@ def _traced(arcs: DataFrame, found: DataFrame, ties: DataFrame, ends: DataFrame)
     a = at.join(ties, "sid").select("slot", F.col("sid").alias("a"), F.col("cost").alias("ca"), "tie")
     b = at.select("slot", F.col("sid").alias("b"), F.col("cost").alias("cb"))
     fits = arcs.join(a, "a").join(b, ["slot", "b"]).where((F.col("ca") < F.col("cb")) & (F.abs(F.col("ca") + F.col("cost") - F.col("cb")) <= 1e-9 * (1 + F.col("cb") * 1e-3)))
-    up = iterate.cut(fits.groupBy("slot", "b").agg(F.min(F.struct("tie", "a")).alias("m")).select("slot", F.col("b").alias("sid"), F.col("m.a").alias("to")), "up")
-    jumps = [up]
-    while True:
-        last = jumps[-1]
-        nxt = iterate.cut(last.join(last.select("slot", F.col("sid").alias("to"), F.col("to").alias("further")), ["slot", "to"]).select("slot", "sid", F.col("further").alias("to")), "up")
-        if not nxt.limit(1).count():
-            break
-        jumps.append(nxt)
-    path = ends.select(*KEY, "slot", "sid", F.lit(0).cast("long").alias("back"))
-    for i in range(len(jumps) - 1, -1, -1):
-        more = path.join(jumps[i], ["slot", "sid"]).select(*KEY, "slot", F.col("to").alias("sid"), (F.col("back") + (1 << i)).alias("back"))
-        path = iterate.cut(path.unionByName(more), "path")
-    size = path.groupBy(*KEY, "slot").agg(F.max("back").alias("last"))
-    return path.join(size, [*KEY, "slot"]).select(*KEY, "sid", (F.col("last") - F.col("back")).alias("pos"))
+    up = fits.groupBy("slot", "b").agg(F.min(F.struct("tie", "a")).alias("m")).select("slot", F.col("b").alias("sid"), F.col("m.a").alias("to"))
+    path = iterate.along_pointers(up, ends.select(*KEY, "slot", "sid"), ["slot"], "sid", "to", "path")
+    size = path.groupBy(*KEY, "slot").agg(F.max("steps").alias("last"))
+    return path.join(size, [*KEY, "slot"]).select(*KEY, "sid", (F.col("last") - F.col("steps")).alias("pos"))
 
 
 def far_pairs(net: Network, among: DataFrame, seeds: int = SEEDS) -> DataFrame:

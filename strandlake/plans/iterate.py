@@ -87,3 +87,24 @@ def orbits(steps: DataFrame, name: str = "orbits") -> DataFrame:
         state = new
         if not moved:
             return state.select("h", "orbit")
+
+
+def along_pointers(pointers: DataFrame, starts: DataFrame, key: list[str], at: str, to: str, name: str = "pointers") -> DataFrame:
+    """starts (key, at, others), and all that chains of pointers (key, at, to) lead to from there, with steps from the start.
+
+    Pointers over 2^i steps are tables, found by doubling; a chain's members are found from its start by the sums of them.
+    """
+    jumps = [cut(pointers.select(*key, at, to), name, {"n": F.count("*")})]
+    while jumps[-1].seen["n"]:
+        last = jumps[-1]
+        ahead = last.select(*key, F.col(at).alias(to), F.col(to).alias("_further"))
+        jumps.append(cut(last.join(ahead, [*key, to]).select(*key, at, F.col("_further").alias(to)), name, {"n": F.count("*")}))
+    found = starts.withColumn("steps", F.lit(0).cast("long"))
+    for i in range(len(jumps) - 2, -1, -1):
+        more = found.join(jumps[i], [*key, at]).withColumn("steps", F.col("steps") + (1 << i)).drop(at).withColumnRenamed(to, at)
+        new = cut(found.unionByName(more), name)
+        drop(found)
+        found = new
+    for t in jumps:
+        drop(t)
+    return found

@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandlake.operators import faces, graph, growth, labels, matrix, raster, spatial, stats, voronoi
 
@@ -237,3 +238,35 @@ def test_islands_over_tiles_are_flood_fills(spark):
                             seen[k, q] = True
                             queue.append((k, q))
     assert got == want
+
+
+def test_long_segments_by_blocks(spark):
+    """A chain of many blocks: turnings by the greedy rule, pieces, lengths and curvature as of plain loops."""
+    rng = random.Random(9)
+    n = 3 * graph.BLOCK + 700
+    xy, a = [(0.0, 0.0)], 0.0
+    for k in range(n - 1):
+        a += rng.choice([0, 0, 90, -90]) if k % 5000 < 300 or 4090 < k % graph.BLOCK else 0  # long straight parts, and turns at borders of blocks
+        xy.append((xy[-1][0] + math.cos(math.radians(a)), xy[-1][1] + math.sin(math.radians(a))))
+    p = points(spark, [(i, *q) for i, q in enumerate(xy)])
+    seg = spark.createDataFrame([(0, "s", i, i) for i in range(n)] + [(0, "t", i, i) for i in range(4)], "run_id long, seg string, pos long, id long")
+    turns = [0.0] * n
+    for k in range(1, n - 1):
+        u, v = np.subtract(xy[k], xy[k - 1]), np.subtract(xy[k + 1], xy[k])
+        turns[k] = math.acos(max(-1.0, min(1.0, float(u @ v / np.linalg.norm(u) / np.linalg.norm(v)))))
+    for gap in (2, 7, graph.BLOCK + 3):
+        want = []
+        for k in range(1, n - 1):
+            if round(math.degrees(turns[k]), 6) >= 60 and (not want or k - want[-1] >= gap):
+                want.append(k)
+        got = graph.segment_turnings(p, seg, gap=gap).where("seg = 's'").collect()
+        assert sorted((r.pos, r.id) for r in got) == [(k, k) for k in want] and len(want) > 2
+    length = {r.seg: (r.nodes, r.length) for r in graph.segment_lengths(p, seg).collect()}
+    assert length["s"] == (n, pytest.approx(n - 1)) and length["t"][0] == 4
+    bend = {r.seg: r.total for r in graph.segment_curvature(p, seg).collect()}
+    assert bend["s"] == pytest.approx(sum(turns))
+    flags = [0, 1, graph.BLOCK - 1, graph.BLOCK, 2 * graph.BLOCK + 5, n - 1]
+    pieces = graph.refined_segments(seg.where("seg = 's'"), spark.createDataFrame([(0, "s", k) for k in flags], "run_id long, seg string, pos long"))
+    got = {r.piece: (r.lo, r.hi, r.n) for r in pieces.groupBy("piece").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count("*").alias("n")).collect()}
+    cuts = [0, *flags[1:-1], n - 1]
+    assert got == {i: (lo, hi, hi - lo + 1) for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:]))}
