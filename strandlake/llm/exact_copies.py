@@ -339,6 +339,7 @@ def copies(index: Index) -> DataFrame:
     """One row per live document: doc_id, keep_id, group_size, kept, text_sha256."""
     best = F.max(F.struct("n_chars", F.col("doc_id").isNotNull().alias("named"), F.bitwise_not("doc_id").alias("first"), F.bitwise_not("row").alias("row"), "doc_id"))
     groups = index.content.join(index.repeated, "key", "left_semi").groupBy("digest").agg(F.count("*").alias("size"), best.alias("best")).where("size > 1")
+    groups = common.cut(groups, "groups")  # so that a join of its own can split a large group's rows
     d = index.content.join(groups, "digest", "left")
     single = F.col("size").isNull()
     return d.select(
