@@ -93,11 +93,19 @@ def _node(c: str) -> Column:
     return F.struct("run_id", F.col(c).alias("id"))
 
 
-def components(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """(run_id, id, comp): the smallest id that a node reaches; isolated nodes are their own."""
+def components(points: DataFrame, edges: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """(run_id, id, comp): the smallest id that a node reaches; isolated nodes are their own.
+
+    With targets (run_id, n_target), ids from 1 to a run's target that were not placed are nodes, too, each on its own.
+    """
     found = iterate.cut(iterate.components(edges.select(_node("u").alias("a"), _node("v").alias("b"))), "components")
     found = found.select("id.run_id", "id.id", F.col("component.id").alias("comp"))
-    return points.select("run_id", "id").join(found, ["run_id", "id"], "left").select("run_id", "id", F.coalesce("comp", "id").alias("comp"))
+    nodes = points.select("run_id", "id")
+    if targets is not None:
+        step = 1 << 16  # ids of a target in pieces
+        t = targets.select("run_id", F.col("n_target").cast("long").alias("n")).where("n > 0").withColumn("k", F.explode(F.expr(f"sequence(0L, (n - 1) div {step})")))
+        nodes = nodes.union(t.select("run_id", F.explode(F.expr(f"sequence(k * {step} + 1, least(n, (k + 1) * {step}))")))).distinct()
+    return nodes.join(found, ["run_id", "id"], "left").select("run_id", "id", F.coalesce("comp", "id").alias("comp"))
 
 
 def two_core(edges: DataFrame) -> DataFrame:

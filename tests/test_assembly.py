@@ -270,3 +270,11 @@ def test_long_segments_by_blocks(spark):
     got = {r.piece: (r.lo, r.hi, r.n) for r in pieces.groupBy("piece").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count("*").alias("n")).collect()}
     cuts = [0, *flags[1:-1], n - 1]
     assert got == {i: (lo, hi, hi - lo + 1) for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:]))}
+
+
+def test_components_up_to_a_target(spark):
+    p = points(spark, [(i, 0.0, 0.0) for i in (1, 2, 4, 9)])
+    e, t = edges(spark, [(2, 4), (4, 9)]), spark.createDataFrame([(0, 6), (1, 70_000), (2, 0)], "run_id long, n_target int")
+    got = {(r["run_id"], r["id"]): r["comp"] for r in graph.components(p, e, t).collect()}
+    assert {k: v for k, v in got.items() if k[0] == 0} == {(0, i): {4: 2, 9: 2}.get(i, i) for i in (1, 2, 3, 4, 5, 6, 9)}
+    assert {k: v for k, v in got.items() if k[0]} == {(1, i): i for i in range(1, 70_001)}
