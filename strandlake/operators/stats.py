@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPREAD = 64
@@ -118,21 +118,59 @@ def integer_cdf(lengths: DataFrame, value: str = "len", complement: bool = False
     return grid.join(n, ["label", value], "left").select("label", value, (1 - f if complement else f).alias("f"))
 
 
+#: cells per bandwidth, moments kept of each, and bandwidths beyond which a kernel is taken as 0
+CELLS, MOMENTS, REACH = 8, 10, 8.0
+
+
 def kernel_density(values: DataFrame, value: str, bandwidth: float, points: int = 128, by: str = "label", pad: float = 0.0) -> DataFrame:
     """(label, g, x, density): Gaussian kernel sums on a grid over all values' range, `pad` wider at either end.
 
-    Equal values are counted first, so the sum runs over distinct values, in `points` terms each.
+    Values are binned into cells of an eighth of a bandwidth, which keep sums of powers of the distances u from their
+    middles. A cell's kernels at a distance t from its middle are exp(-t^2 / 2) times the sum of He_k(t) u^k / k!, and are
+    taken as 0 beyond REACH bandwidths, so a cell meets only the grid points near it. With |u| <= 1/16 and ten powers a
+    kernel is within 1e-13 of its value (its peak is 1). Null and NaN values count nowhere.
     """
+    values = values.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     lo, hi = values.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
     if lo is None:
         return values.select(by, F.lit(0).alias("g"), F.lit(0.0).alias("x"), F.lit(0.0).alias("density")).limit(0)
-    lo, hi = lo - pad, hi + pad
-    step = (hi - lo) / (points - 1)
-    n = values.groupBy(by, value).agg(F.count("*").alias("k")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    x = F.lit(lo) + F.col("g") * F.lit(step)
-    z = (x - F.col(value)) / F.lit(bandwidth)
-    sums = n.groupBy(by, "g").agg(F.sum(F.col("k") * F.exp(-0.5 * z * z)).alias("s"), F.sum("k").alias("total"))
-    return sums.select(by, "g", x.alias("x"), (F.col("s") / (F.col("total") * F.lit(bandwidth * math.sqrt(2 * math.pi)))).alias("density"))
+    first, last = lo - pad, hi + pad
+    step = (last - first) / (points - 1)
+    scaled = values.select(by, ((F.col(value) - F.lit(lo)) / F.lit(bandwidth)).alias("v")).withColumn("cell", F.floor(F.col("v") * CELLS))
+    u = F.col("v") - (F.col("cell") + 0.5) / CELLS
+    power = [F.lit(1.0)]
+    for k in range(1, MOMENTS):
+        power.append(power[-1] * u / k)
+    cells = scaled.groupBy(by, "cell").agg(F.count("*").alias("n"), *[F.sum(m).alias(f"m{k}") for k, m in enumerate(power)])
+    middle = F.lit(lo) + (F.col("cell") + 0.5) / CELLS * F.lit(bandwidth)
+    if step:
+        at = lambda d: ((middle - F.lit(first) + F.lit(d * REACH * bandwidth)) / F.lit(step))
+        begin, end = F.greatest(F.ceil(at(-1)), F.lit(0)).cast("int"), F.least(F.floor(at(1)), F.lit(points - 1)).cast("int")
+    else:
+        begin, end = F.lit(0), F.lit(points - 1)
+    near = cells.withColumn("t", middle).where(begin <= end).withColumn("g", F.explode(F.sequence(begin, end)))
+    near = near.withColumn("t", (F.lit(first) + F.col("g") * F.lit(step) - F.col("t")) / F.lit(bandwidth))
+    terms = sum((F.col(f"m{k}") * _polynomial(_hermite(k), F.col("t")) for k in range(1, MOMENTS)), F.col("m0"))
+    sums = near.groupBy(by, "g").agg(F.sum(F.exp(-0.5 * F.col("t") * F.col("t")) * terms).alias("s"))
+    grid = cells.groupBy(by).agg(F.sum("n").alias("total")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    density = F.coalesce("s", F.lit(0.0)) / (F.col("total") * F.lit(bandwidth * math.sqrt(2 * math.pi)))
+    both = grid.withColumnRenamed(by, "_by").join(sums, F.col("_by").eqNullSafe(F.col(by)) & (grid["g"] == sums["g"]), "left")
+    return both.select(F.col("_by").alias(by), grid["g"], (F.lit(first) + grid["g"] * F.lit(step)).alias("x"), density.alias("density"))
+
+
+def _hermite(k: int) -> list[int]:
+    """Coefficients, from the constant on, of the k-th polynomial He with exp(tu - u^2 / 2) = sum of He_k(t) u^k / k!."""
+    a, b = [1], [0, 1]
+    for i in range(1, k + 1):
+        a, b = b, [x - i * y for x, y in zip([0, *b], [*a, 0, 0])]
+    return a
+
+
+def _polynomial(coefficients: list[int], t: Column) -> Column:
+    out = F.lit(float(coefficients[-1]))
+    for c in coefficients[-2::-1]:
+        out = out * t + F.lit(float(c)) if c else out * t
+    return out
 
 
 def length_density(lengths: DataFrame, nm_per_unit: float = 1.55, bandwidth: float = 1.5, points: int = 128) -> DataFrame:

@@ -210,6 +210,20 @@ def test_ranks_count_ties_and_empty_tables(spark):
     assert stats.kernel_density(a.limit(0), "area", 1.0).count() == 0
 
 
+def test_kernel_density_is_the_plain_sum(spark):
+    rng = np.random.default_rng(1)
+    of = {"a": np.concatenate([rng.normal(0, 5, 800), [400.0], rng.normal(100, 0.01, 300)]), None: np.array([3.0, 3.0])}
+    rows = [(k, float(x)) for k, v in of.items() for x in v]
+    d = spark.createDataFrame([*rows, ("a", None), ("a", float("nan"))], "label string, z double")
+    got = {(r["label"], r["g"]): r for r in stats.kernel_density(d, "z", 1.3, 150, pad=2.0).collect()}
+    assert len(got) == 300
+    for (label, _), r in got.items():
+        v = of[label]
+        assert r["density"] == pytest.approx(np.exp(-0.5 * ((r["x"] - v) / 1.3) ** 2).sum() / (len(v) * 1.3 * math.sqrt(2 * math.pi)), abs=1e-12)
+    one = stats.kernel_density(d.where("label is null"), "z", 2.0, 3).collect()
+    assert [r["density"] for r in one] == pytest.approx([1 / (2 * math.sqrt(2 * math.pi))] * 3)
+
+
 def test_islands_touch_at_corners(spark):
     p = spark.createDataFrame([(0, r, c, 10 if (r, c) in {(0, 0), (1, 1), (3, 3)} else 200) for r in range(4) for c in range(4)], "img long, row long, col long, gray int")
     assert raster.islands(raster.dark(p)).select("island").distinct().count() == 2
