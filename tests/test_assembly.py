@@ -139,7 +139,9 @@ def test_voronoi_of_a_grid(spark):
     assert list(got.values()) == pytest.approx([1.0] * 9)
 
 
-def test_voronoi_is_brute_force(spark):
+@pytest.mark.parametrize("few", [2000, 0])
+def test_voronoi_is_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(voronoi, "FEW", few)
     rng = np.random.default_rng(7)
     xy = np.concatenate((rng.uniform(0, 10, (50, 2)), rng.normal(60, 0.05, (20, 2)), [[30.0, 5.0]]))
     got = {r["id"]: r["area"] for r in voronoi.voronoi_areas(points(spark, [(i, *p) for i, p in enumerate(xy)])).collect()}
@@ -155,6 +157,15 @@ def test_voronoi_is_brute_force(spark):
     assert set(got) == set(want) and all(got[i] == pytest.approx(want[i], rel=1e-6) for i in want)
 
 
+def test_voronoi_of_repeated_and_missing_places(spark):
+    rows = [(5 * i + j + 10, float(i), float(j)) for i in range(5) for j in range(5)]
+    p = points(spark, [*rows, (22 + 100, 2.0, 2.0), (1, 2.0, 2.0), (500, float("nan"), 1.0)]).unionByName(spark.createDataFrame([(0, 600, None, 1.0)], "run_id long, id long, x double, y double"))
+    got = {r["id"]: r["area"] for r in voronoi.voronoi_areas(p).collect()}
+    assert 1 in got and not {22, 122, 500, 600} & set(got) and list(got.values()) == pytest.approx([1.0] * 9)
+    line = points(spark, [(i, float(i), 0.0) for i in range(6)])
+    assert voronoi.voronoi_areas(line).count() == voronoi.voronoi_areas(line.limit(0)).count() == 0
+
+
 def test_growth_keeps_its_invariants(spark):
     w = np.ones((72, 72))
     runs = spark.createDataFrame([(1, 101, 60), (2, 202, 60)], "run_id long, seed long, n_target long")
