@@ -10,8 +10,10 @@ bidirectional LSTM reads a page's blocks in order, so each is judged with the wh
 text are joined by one space. Paths are kept as a tree and their sums are taken from the root down, so time and memory
 grow with the page, not with its depth.
 
-The labeller is trained on SAMPLE pages (a documented bound, chosen by a hash of page_id; at most TRAIN_BLOCKS blocks
-of each) with labels from rules on tags and class names. Prediction covers every whole page with the network alone.
+The labeller is trained on some SAMPLE pages of at most SAMPLE_CHARS characters (documented bounds; longer ones only if
+there are no others), chosen by a hash of page_id, url and html, with labels from rules on tags and class names. In every
+epoch it reads all blocks of a page, or TRAIN_BLOCKS in a row of a longer one, from another place each time, so ends of
+long pages are learned too. Prediction covers every whole page with the network alone.
 
 Null or empty html, or no block labelled: empty text. Null and repeated page_ids or urls are rows like others; other
 columns are not looked at.
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from . import common, words
 
 SAMPLE = 600
+SAMPLE_CHARS = 1 << 18
 TRAIN_BLOCKS = 256
 EPOCHS = 16
 PATHS, WORDS, WIDTH, HIDDEN = 1024, 1024, 12, 12
@@ -105,11 +108,13 @@ class Page:
     def __init__(self) -> None:
         self.blocks: list[tuple[str, int, float, int]] = []
         self.parents, self.depths, self.features = [0], [0], [()]
+        self.before = self.after = 0  # blocks of the page that are left out
 
-    def first(self, n: int) -> Page:
-        """The page with its first n blocks only."""
+    def part(self, begin: int, n: int) -> Page:
+        """The page with n of its blocks only; these keep their places."""
         out = Page()
-        out.blocks, out.parents, out.depths, out.features = self.blocks[:n], self.parents, self.depths, self.features
+        out.blocks, out.parents, out.depths, out.features = self.blocks[begin : begin + n], self.parents, self.depths, self.features
+        out.before, out.after = begin, len(self.blocks) - begin - len(out.blocks)
         return out
 
 
@@ -252,7 +257,7 @@ class Features:
         self.levels = np.split(order, np.flatnonzero(np.diff(depths[order])) + 1)[1:] if len(order) else []
         lengths = self.path_sizes.astype(np.float32)[:, None]
         self.path_lengths = np.maximum(1, self.down(lengths)[self.nodes])
-        where = np.concatenate([np.linspace(0, 1, n) for n in self.pages]) if len(flat) else np.zeros(0)
+        where = np.concatenate([np.linspace(0, 1, p.before + len(p.blocks) + p.after)[p.before : p.before + len(p.blocks)] for p in pages]) if len(flat) else np.zeros(0)
         self.dense = np.stack([np.log1p(self.word_sizes) / 4, [b[2] for b in flat], where, np.ones(len(flat))], 1).astype(np.float32) if flat else np.zeros((0, 4), np.float32)
 
     def down(self, x: np.ndarray) -> np.ndarray:
@@ -365,30 +370,51 @@ class Labeller:
         return grads
 
     def train(self, pages: list[Page], epochs: int = EPOCHS, batch: int = 16, rate: float = 0.02, seed: int = 6) -> None:
-        pages = [p.first(TRAIN_BLOCKS) for p in pages if p.blocks]
-        rng = np.random.Generator(np.random.PCG64(seed))
+        pages = [p for p in pages if p.blocks]
+        signs = [labels(p) for p in pages]
+        rng, places = (np.random.Generator(np.random.PCG64(s)) for s in (seed, seed + 1))
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         n = 0
         for epoch in range(epochs):
             pace = rate * (1 - epoch / epochs)
             order = rng.permutation(len(pages))
             for k in range(0, len(order), batch):
-                some = [pages[i] for i in order[k : k + batch]]
+                some, y = [], []
+                for i in order[k : k + batch]:
+                    over = len(pages[i].blocks) - TRAIN_BLOCKS
+                    begin = int(places.integers(over + 1)) if over > 0 else 0
+                    some.append(pages[i].part(begin, TRAIN_BLOCKS))
+                    y.append(signs[i][begin : begin + TRAIN_BLOCKS])
                 n += 1
-                for name, g in self.step(Features(some), np.concatenate([labels(p) for p in some])).items():
+                for name, g in self.step(Features(some), np.concatenate(y)).items():
                     m[name] = 0.9 * m[name] + 0.1 * g
                     v[name] = 0.99 * v[name] + 0.01 * g * g
                     self.p[name] -= pace * (m[name] / (1 - 0.9**n)) / (np.sqrt(v[name] / (1 - 0.99**n)) + 1e-6)
 
 
-def fit(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
-    """A labeller trained on about `sample` pages; the driver gets no more than twice as many."""
-    rows = pages.where("html is not null and html <> ''").select(F.col("html").cast("string").alias("html"), F.xxhash64(F.col("page_id").cast("string"), F.lit("train")).alias("h"))
+def training_pages(pages: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[str]:
+    """Html of about `sample` rows, at most twice as many, of at most `chars` characters each.
+
+    Rows are chosen by a hash of all that tells them apart. Where too few fall under its bound, as among many equal rows,
+    those of the least hashes are taken, so there are min(sample, n) / 2 of n rows at least. Where every page is longer,
+    a few of the shortest pages are taken whole.
+    """
+    text = pages.select(*[pages[c].cast("string").alias(c) for c in ("page_id", "url", "html")]).where("html is not null and html <> ''")
+    rows = text.select("html", F.xxhash64("page_id", "url", "html", F.lit("train")).alias("h")).where(F.length("html") <= chars)
     n = rows.count()
-    least = F.pmod("h", F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, sample / max(1, n))))
-    chosen = rows.where(least).orderBy("h", "html").limit(2 * sample).select("html").collect()
+    if not n:
+        return [r[0] for r in text.select("html").orderBy(F.length("html"), "html").limit(4).collect()]
+    under = F.pmod("h", F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, sample / n)))
+    chosen = rows.where(under).orderBy("h", "html").limit(2 * sample).select("html").collect()
+    if 2 * len(chosen) < min(sample, n):
+        chosen = rows.orderBy("h", "html").limit(sample).select("html").collect()
+    return [r[0] for r in chosen]
+
+
+def fit(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
+    """A labeller trained on the rows of training_pages()."""
     out = Labeller()
-    out.train([blocks(r[0]) for r in chosen])
+    out.train([blocks(p) for p in training_pages(pages, sample)])
     return out
 
 

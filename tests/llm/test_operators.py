@@ -362,3 +362,24 @@ def test_components(spark):
         root[max(a, b)] = min(a, b)
     got = {r["id"]: r["component"] for r in common.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert all(got.get(x, x) == top(x) for x in root)
+
+
+@pytest.mark.parametrize("page_id", [3, 4, None])
+def test_html_learns_from_rows_that_share_an_id(spark, page_id):
+    words_ = [f"word{i}" for i in range(40)]
+    story = lambda i: " ".join(words_[(i * 7 + j) % 40] for j in range(30))
+    rows = [(page_id, None if i % 2 else f"u{i % 5}", f"<nav><a href=q>Home</a> <a href=r>News</a></nav><article><p>{story(i)}</p></article><footer>All rights reserved</footer>") for i in range(1300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert 300 <= len(html_text.training_pages(pages)) <= 1200
+    same = spark.createDataFrame(rows[:1] * 1300, pages.schema)
+    assert 300 <= len(html_text.training_pages(same)) <= 1200
+    assert len(html_text.training_pages(pages, chars=10)) == 4
+    got = html_text.main_text(pages, html_text.fit(pages)).collect()
+    assert sorted(r["text"] for r in got) == sorted(story(i) for i in range(1300))
+
+
+def test_html_learns_the_ends_of_long_pages(spark):
+    rows = [(i, "u", "<article>" + "".join(f"<p>sentence {j} of story {i}</p>" for j in range(400 + i)) + "</article><div class=comments>" + "<p>nice story indeed</p>" * 200 + "</div>") for i in range(24)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(pages, html_text.fit(pages)).collect()}
+    assert all("nice story" not in t and t.count("sentence") == 400 + i for i, t in got.items())
