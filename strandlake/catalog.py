@@ -266,6 +266,10 @@ def _forest(s, d):
 
 
 query("q_msf_weight", f"with recursive {COMPS} select 0::bigint run_id, comp, 2.0::double * (count(*) - 1) weight, count(*) - 1 edges from comps group by comp having count(*) > 1")(_forest)
+query(
+    "q_min_forest",
+    f"with recursive {EDGES}, ranked as (select u, v, ((u * 37 + v * 13) % 997 + 1)::double w, row_number() over (order by (u * 37 + v * 13) % 997, u, v) k from edges), ways as (select u a, v b, k from ranked union all select v, u, k from ranked), lighter(k0, x) as (select k, u from ranked union select k0, b from lighter join ways on a = x and k < k0) select 0::bigint run_id, u, v, w from ranked where not exists (select 1 from lighter where k0 = k and x = ranked.v)",
+)(lambda s, d: gr.spanning_forest(fx.lattice_edges(s, d).withColumn("w", ((F.col("u") * 37 + F.col("v") * 13) % 997 + 1).cast("double"))))
 query(
     "q_max_tree",
     f"with recursive {EDGES}, ranked as (select u, v, ((u * 31 + v * 17) % 101)::double w, row_number() over (order by (u * 31 + v * 17) % 101 desc, u, v) k from edges), ways as (select u a, v b, k from ranked union all select v, u, k from ranked), heavier(k0, x) as (select k, u from ranked union select k0, b from heavier join ways on a = x and k < k0) select 0::bigint run_id, u, v, w from ranked where not exists (select 1 from heavier where k0 = k and x = ranked.v)",

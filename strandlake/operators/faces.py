@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import warnings
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..plans import iterate
 from .graph import both_ways, dedup_edges
 
 
-def half_edges(points: DataFrame, edges: DataFrame) -> DataFrame:
+def half_edges(points: DataFrame, edges: DataFrame, unknown: Observation | None = None) -> DataFrame:
     """(run_id, src, dst, h, nxt, cross) with the next half-edge of the face to the left.
 
-    Edges to unknown nodes are dropped. The next of (u, v) is the half-edge out of v that comes before (v, u)
+    Edges to nodes that are not among the points are dropped; `unknown` counts them (n) while the result is made. The next of (u, v) is the half-edge out of v that comes before (v, u)
     counterclockwise, so inner faces are run through counterclockwise.
     """
     p = lambda s: points.select("run_id", F.col("id").alias(s), F.col("x").alias(f"x{s}"), F.col("y").alias(f"y{s}"))
-    h = both_ways(dedup_edges(edges)).join(p("src"), ["run_id", "src"]).join(p("dst"), ["run_id", "dst"])
+    h = both_ways(dedup_edges(edges))
+    if unknown is None:
+        h = h.join(p("src"), ["run_id", "src"]).join(p("dst"), ["run_id", "dst"])
+    else:
+        has = lambda s: p(s).withColumn(f"has{s}", F.lit(True))
+        h = h.join(has("src"), ["run_id", "src"], "left").join(has("dst"), ["run_id", "dst"], "left")
+        known = F.col("hassrc").isNotNull() & F.col("hasdst").isNotNull()
+        h = h.observe(unknown, F.count_if(~known & (F.col("src") < F.col("dst"))).alias("n")).where(known).drop("hassrc", "hasdst")
     w = Window.partitionBy("run_id", "src").orderBy(F.atan2(F.col("ydst") - F.col("ysrc"), F.col("xdst") - F.col("xsrc")), "dst")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     h = h.withColumn("before", F.coalesce(F.lag("dst").over(w), F.last("dst").over(whole)))
@@ -26,8 +35,14 @@ def half_edges(points: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def loops(points: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Half-edges with their orbit, and (run_id, orbit, area, size, u, v) of every boundary loop; (u, v) is its smallest step."""
-    h = iterate.cut(half_edges(points, edges), "faces")
+    """Half-edges with their orbit, and (run_id, orbit, area, size, u, v) of every boundary loop; (u, v) is its smallest step.
+
+    Edges to unknown nodes are dropped, with a warning that tells their number.
+    """
+    unknown = Observation()
+    h = iterate.cut(half_edges(points, edges, unknown), "faces")
+    if unknown.get["n"]:
+        warnings.warn(f"{unknown.get['n']} edges to unknown nodes dropped", stacklevel=2)
     o = iterate.orbits(h.select("h", "nxt"), "faces")
     named = h.join(o, "h")
     return named, named.groupBy("run_id", "orbit").agg((0.5 * F.sum("cross")).alias("area"), F.count("*").alias("size"), F.min(F.struct("src", "dst")).alias("s")).select("run_id", "orbit", "area", "size", F.col("s.src").alias("u"), F.col("s.dst").alias("v"))
@@ -107,14 +122,19 @@ def nesting(points: DataFrame, named: DataFrame, found: DataFrame, comps: DataFr
 
 
 def net_areas(nested: DataFrame) -> DataFrame:
-    """(run_id, u, v, net): areas of outermost loops less holes plus islands and so on, by alternating depth."""
-    n = iterate.cut(nested, "nesting")
-    level = n.where("parent_u is null").select("run_id", "u", "v", F.col("u").alias("top_u"), F.col("v").alias("top_v"), F.col("area").alias("signed"))
-    out, sign = level, 1
-    while True:
-        sign = -sign
-        level = iterate.cut(n.join(level.select("run_id", F.col("u").alias("parent_u"), F.col("v").alias("parent_v"), "top_u", "top_v"), ["run_id", "parent_u", "parent_v"]).select("run_id", "u", "v", "top_u", "top_v", (F.col("area") * sign).alias("signed")), "nesting")
-        if not level.limit(1).count():
-            break
-        out = out.unionByName(level)
-    return out.groupBy("run_id", F.col("top_u").alias("u"), F.col("top_v").alias("v")).agg(F.sum("signed").alias("net"))
+    """(run_id, u, v, net): areas of outermost loops less holes plus islands and so on, by alternating depth.
+
+    Every loop points to its parent, an outermost one to itself; pointers are doubled until all point to outermost loops,
+    so the jobs grow with the logarithm of the depth.
+    """
+    top = F.col("parent_u").isNull()
+    seen = {"moved": F.count_if("moved")}
+    state = nested.select("run_id", "u", "v", "area", F.coalesce("parent_u", "u").alias("au"), F.coalesce("parent_v", "v").alias("av"), F.when(top, 0).otherwise(1).cast("long").alias("depth"), (~top).alias("moved"))
+    state = iterate.cut(state, "nesting", seen)
+    while state.seen["moved"]:
+        above = state.select("run_id", F.col("u").alias("au"), F.col("v").alias("av"), F.col("au").alias("bu"), F.col("av").alias("bv"), F.col("depth").alias("more"))
+        new = state.join(above, ["run_id", "au", "av"]).select("run_id", "u", "v", "area", F.col("bu").alias("au"), F.col("bv").alias("av"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved"))
+        new = iterate.cut(new, "nesting", seen)
+        iterate.drop(state)
+        state = new
+    return state.groupBy("run_id", F.col("au").alias("u"), F.col("av").alias("v")).agg(F.sum(F.when(F.col("depth") % 2 == 0, F.col("area")).otherwise(-F.col("area"))).alias("net"))

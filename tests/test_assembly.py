@@ -31,6 +31,20 @@ def test_unit_square(spark):
     assert areas_of(spark, SQUARE, RING) == pytest.approx([1.0], abs=1e-12)
 
 
+def test_edges_to_unknown_nodes_are_dropped_with_a_warning(spark):
+    with pytest.warns(UserWarning, match="2 edges to unknown nodes dropped"):
+        got = areas_of(spark, SQUARE, [*RING, (4, 99), (98, 99)])
+    assert got == pytest.approx([1.0], abs=1e-12)
+
+
+def test_net_areas_of_deep_nesting(spark):
+    rows = [(0, i, i + 1, 100.0 - i, i - 1 if i else None, i if i else None) for i in range(40)] + [(0, 500, 501, 7.0, None, None), (1, 0, 1, 3.0, None, None)]
+    n = spark.createDataFrame(rows, "run_id long, u long, v long, area double, parent_u long, parent_v long")
+    got = {(r["run_id"], r["u"]): r["net"] for r in faces.net_areas(n).collect()}
+    assert got == {(0, 0): pytest.approx(20.0), (0, 500): 7.0, (1, 0): 3.0}
+    assert faces.net_areas(n.limit(0)).count() == 0
+
+
 def test_square_with_diagonal(spark):
     assert areas_of(spark, SQUARE, [*RING, (2, 4)]) == pytest.approx([0.5, 0.5], abs=1e-12)
 
