@@ -7,10 +7,10 @@
    n-th place there, or else the first. So n copies give n - 1 anchors a seed, and a passage meets the latest document
    that holds it, also where parts of it stand in other documents. Seeds that a sample shows to be frequent are dealt
    over SPREAD ranges of doc_id, and the ranges are joined at their ends, so no task holds all places of a hot seed.
-3. Chains: anchors of a document and one before it in increasing order of both places, with a cost for every word
-   between them; a Fenwick tree over the places holds the best chain that ends before each place. Anchors in order on
-   both sides are a chain as they are. A lone seed of K words is no chain: a passage of LEAST words that is alike in
-   five of six words has 12 seeds and more.
+3. Chains: anchors of a document and one before it that touch on one diagonal are a run, which is an exact match. Runs in
+   increasing order of both places, up to REACH words apart, are chained by one rule for all, with a cost for every word
+   between them; Fenwick trees over the places hold the best chains that end in the words before each place. A lone seed
+   of K words is no chain: a passage of LEAST words that is alike in five of six words has 12 seeds and more.
 4. Alignment: words in the gaps between a chain's anchors and up to FLANK words beyond its ends are fetched for both
    documents (as 24 bits of their hashes) and aligned in a band; the chain grows as long as the alignment gains, and its
    identity is counted.
@@ -24,7 +24,7 @@ read whole; other columns are not looked at.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +43,10 @@ JOIN = 4
 FLANK = 48
 BAND = 6
 MAX_GAP = 40
-GAP_COST = 0.1
+#: places from one anchor of a chain to the next at most
+REACH = MAX_GAP + K
+#: even the widest gap that a chain may have costs less than one seed's words
+GAP_COST = 0.05
 CHUNK = 256
 WRAP = 40
 #: places of a seed beyond which its documents are dealt over SPREAD ranges of ids
@@ -96,47 +99,70 @@ def seeds(documents: DataFrame, hot: np.ndarray | None = None, cuts: list[int] |
     return documents.where("doc_id is not null").mapInArrow(find, "seed long, doc_id long, place int, nth int, part int")
 
 
-def chains(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-    """Collinear chains of anchors (sorted by x, then y) with the highest scores first, each anchor in at most one."""
-    n = len(x)
-    if n == 1 or (np.diff(y) > 0).all() and (np.diff(x) > 0).all():
-        best = np.arange(-1, n - 1)  # in order already: every anchor follows the one before
-        rank = range(n - 1, -1, -1)
-    else:
-        ys = sorted(set(y.tolist()))
-        m = len(ys)
-        tree: list[tuple[float, int]] = [(-1.0, -1)] * (m + 1)
-        best, score = np.full(n, -1), [0.0] * n
-        waiting: list[int] = []
-        for i, (a, b) in enumerate(zip(x.tolist(), y.tolist())):
-            if waiting and x[waiting[0]] != a:  # anchors at one x cannot follow each other
-                for j in waiting:
-                    v, at = (score[j] + GAP_COST * float(x[j] + y[j]), j), bisect_left(ys, y[j]) + 1
-                    while at <= m:
-                        if v > tree[at]:
-                            tree[at] = v
-                        at += at & -at
-                waiting = []
-            at, top = bisect_left(ys, b), (-1.0, -1)
-            while at:
-                top = max(top, tree[at])
+def exact_runs(x: np.ndarray, y: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of groups (each begins where `new`) in an order by runs, and where in it runs begin.
+
+    A run is an exact match: anchors of one diagonal of which each lies K words after the one before at most.
+    """
+    group, diagonal = np.cumsum(new), y - x
+    order = np.lexsort((x, diagonal, group))
+    first = np.ones(len(x), bool)
+    first[1:] = (np.diff(group[order]) != 0) | (np.diff(diagonal[order]) != 0) | (np.diff(x[order]) > K)
+    return order, first
+
+
+def run_chains(hx: list[int], hy: list[int], tx: list[int], ty: list[int]) -> list[list[int]]:
+    """Chains of runs, given by the places of their first (hx, hy) and last (tx, ty) anchors, those of the highest score
+    first, each run in at most one.
+
+    A run may follow one whose last anchor lies before its first in both texts, by REACH words at most. A chain's score is
+    its runs' words less GAP_COST for every word from a run's last anchor to the next one's first, in both texts. Places y
+    are cut into strips of REACH; each has a Fenwick tree from its begin and one from its end, so two lookups cover just
+    the REACH words before a place. A tree's node is a queue of falling scores, which forgets what lies too far before in x.
+    """
+    n = len(hx)
+    best, score = [-1] * n, [0.0] * n
+    order, ends = sorted(range(n), key=lambda i: (hx[i], hy[i])), sorted(range(n), key=lambda i: (tx[i], ty[i]))
+    strips: dict[int, tuple[list, list]] = {}
+    done = 0
+    for i in order:
+        while tx[ends[done]] < hx[i]:  # runs that end before this one begins; they have their scores
+            j = ends[done]
+            done += 1
+            strip, off = divmod(ty[j], REACH)
+            value = score[j] + GAP_COST * (tx[j] + ty[j])
+            for tree, at in zip(strips.setdefault(strip, ([None] * (REACH + 1), [None] * (REACH + 1))), (off + 1, REACH - off)):
+                while at <= REACH:
+                    queue = tree[at]
+                    if queue is None:
+                        queue = tree[at] = deque()
+                    while queue and queue[-1][1] <= value:
+                        queue.pop()
+                    queue.append((tx[j], value, j))
+                    at += at & -at
+        strip, off = divmod(hy[i], REACH)
+        top, before = 0.0, -1
+        for number, side, at in ((strip, 0, off), (strip - 1, 1, REACH - off)):
+            trees = strips.get(number)
+            while trees and at:
+                queue = trees[side][at]
+                while queue and queue[0][0] < hx[i] - REACH:
+                    queue.popleft()
+                if queue and queue[0][1] > top:
+                    _, top, before = queue[0]
                 at -= at & -at
-            gain = top[0] - GAP_COST * float(a + b)
-            score[i] = K + max(0.0, gain)
-            best[i] = top[1] if gain > 0 else -1
-            waiting.append(i)
-        rank = sorted(range(n), key=lambda i: -score[i])
-    used, out = np.zeros(n, bool), []
-    for i in rank:
+        gain = top - GAP_COST * (hx[i] + hy[i])
+        score[i] = tx[i] - hx[i] + K + max(0.0, gain)
+        best[i] = before if gain > 0 else -1
+    used, out = [False] * n, []
+    for i in sorted(range(n), key=lambda i: -score[i]):
         chain = []
         while i >= 0 and not used[i]:
             used[i] = True
             chain.append(i)
-            i = int(best[i])
+            i = best[i]
         if chain:
-            chain = np.array(chain[::-1])
-            far = np.flatnonzero(np.maximum(np.diff(x[chain]), np.diff(y[chain])) > MAX_GAP + K) + 1
-            out += np.split(chain, far)
+            out.append(chain[::-1])
     return out
 
 
@@ -251,23 +277,24 @@ _NAMES = ["doc_id", "owner", "begin", "end", "owner_begin", "owner_end", "solid"
 def linked(d: np.ndarray, o: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     """Chains of two anchors and more of whole groups (document, owner) that lie one after the other, sorted by places."""
     new = np.ones(len(d), bool)
-    new[1:] = (np.diff(d) != 0) | (np.diff(o) != 0) | (np.diff(x) > MAX_GAP + K)  # anchors further apart never share a chain
-    begin = np.flatnonzero(new)
-    up = np.ones(len(d), bool)
-    up[1:] = new[1:] | (np.diff(x) > 0) & (np.diff(y) > 0)
-    plain = np.logical_and.reduceat(up, begin) if len(begin) else np.zeros(0, bool)
-    size = np.diff(np.append(begin, len(d)))
-    # in order already: every anchor follows the one before
-    rows = np.flatnonzero(np.repeat(plain, size))
-    first = new[rows]
-    first[1:] |= np.diff(y[rows]) > MAX_GAP + K
-    order, start = [rows], [first]
-    for i in np.flatnonzero(~plain).tolist():
-        part = np.arange(begin[i], begin[i] + size[i])
-        for c in chains(x[part], y[part]):
-            order.append(part[c])
-            start.append(np.arange(len(c)) == 0)
-    rows, first = np.concatenate(order), np.concatenate(start)
+    new[1:] = (np.diff(d) != 0) | (np.diff(o) != 0) | (np.diff(x) > REACH)  # anchors further apart never share a chain
+    order, first = exact_runs(x, y, new)
+    begin = np.flatnonzero(first)
+    size = np.diff(np.append(begin, len(order)))
+    head, tail = order[begin], order[begin + size - 1]
+    group = np.flatnonzero(np.append(True, np.diff(np.cumsum(new)[head]) != 0)) if len(head) else begin
+    runs = np.diff(np.append(group, len(begin)))
+    numbers, starts = [group[runs == 1]], [np.ones(int((runs == 1).sum()), bool)]  # a single run is its own chain
+    for g, n in zip(group[runs > 1].tolist(), runs[runs > 1].tolist()):
+        at = slice(g, g + n)
+        for c in run_chains(x[head[at]].tolist(), y[head[at]].tolist(), x[tail[at]].tolist(), y[tail[at]].tolist()):
+            numbers.append(np.array(c) + g)
+            starts.append(np.arange(len(c)) == 0)
+    number, start = np.concatenate(numbers), np.concatenate(starts)
+    before = np.cumsum(size[number]) - size[number]
+    rows = order[np.repeat(begin[number] - before, size[number]) + np.arange(len(order))]
+    first = np.zeros(len(rows), bool)
+    first[before[start]] = True
     begin = np.flatnonzero(first)
     size = np.diff(np.append(begin, len(rows)))
     keep = np.repeat(size > 1, size)
@@ -425,9 +452,10 @@ def aligned_chains(documents: DataFrame) -> DataFrame:
 
 
 def passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, begin_word, end_word, first_doc_id, n_words, matched_words): repeated passages, one row each.
+    """(doc_id, begin_word, end_word, earlier_doc_id, n_words, matched_words): repeated passages, one row each.
 
-    first_doc_id is the owner of the longest part (the smaller id in a tie).
+    earlier_doc_id holds the longest part: of all documents with a part's seeds it is the last one before doc_id, not the
+    first of all. Of parts of one length the smaller id counts.
     """
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,11 +474,11 @@ def passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
             out = [p for p in out if p[1] - p[0] >= least]
             if out:
                 col = lambda i: pa.array([p[i] for p in out], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([t["doc_id"][0].as_py()] * len(out), pa.int64()), col(0), col(1), col(2), pa.array([p[1] - p[0] for p in out], pa.int64()), col(4)], names=["doc_id", "begin_word", "end_word", "first_doc_id", "n_words", "matched_words"])
+                yield pa.RecordBatch.from_arrays([pa.array([t["doc_id"][0].as_py()] * len(out), pa.int64()), col(0), col(1), col(2), pa.array([p[1] - p[0] for p in out], pa.int64()), col(4)], names=["doc_id", "begin_word", "end_word", "earlier_doc_id", "n_words", "matched_words"])
 
     parts = aligned_chains(documents)
     parts = parts.repartition(common.partitions(documents), "doc_id").sortWithinPartitions("doc_id", "begin", "end", "owner", "matched")
-    return parts.mapInArrow(join, "doc_id long, begin_word long, end_word long, first_doc_id long, n_words long, matched_words long")
+    return parts.mapInArrow(join, "doc_id long, begin_word long, end_word long, earlier_doc_id long, n_words long, matched_words long")
 
 
 def without_passages(documents: DataFrame, least: int = LEAST) -> DataFrame:

@@ -87,29 +87,49 @@ def test_wavelet_matrix(bits):
         wavelet.unpack(b"nope")
 
 
-def _chain_score(x, y, chain):
-    s = passages.K
-    for i, j in zip(chain[:-1], chain[1:]):
-        s += passages.K - passages.GAP_COST * (x[j] - x[i] + y[j] - y[i])
-    return s
+def _plain_chains(hx, hy, tx, ty):
+    """Best score of a chain that ends in each run, by trying every run before it."""
+    order, score = sorted(range(len(hx)), key=lambda i: hx[i]), {}
+    for i in order:
+        before = [score[j] - passages.GAP_COST * (hx[i] - tx[j] + hy[i] - ty[j]) for j in order if j in score and 0 < hx[i] - tx[j] <= passages.REACH and 0 < hy[i] - ty[j] <= passages.REACH]
+        score[i] = tx[i] - hx[i] + passages.K + max([0, *before])
+    return score
 
 
 def test_fenwick_chain_is_the_best_chain():
     rng = random.Random(2)
-    for _ in range(40):
-        n = rng.randrange(2, 14)
-        a = sorted({(rng.randrange(25), rng.randrange(25)) for _ in range(n)})
-        x, y = np.array([p for p, _ in a]), np.array([q for _, q in a])
-        best = [passages.K] * len(a)
-        for i in range(len(a)):
-            for j in range(i):
-                if x[j] < x[i] and y[j] < y[i]:
-                    best[i] = max(best[i], best[j] + passages.K - passages.GAP_COST * (x[i] - x[j] + y[i] - y[j]))
-        out = passages.chains(x, y)
-        assert sorted(i for c in out for i in c) == list(range(len(a)))
-        assert all((np.diff(x[c]) > 0).all() and (np.diff(y[c]) > 0).all() for c in out)
-        if not (np.diff(y) > 0).all() or not (np.diff(x) > 0).all():
-            assert max(_chain_score(x, y, c) for c in out) == pytest.approx(max(best))
+    several = 0
+    for _ in range(300):
+        width, n = rng.choice([20, 90, 400]), rng.randrange(1, 30)
+        heads = [(rng.randrange(width), rng.randrange(width), rng.choice([0, 0, 1, 6])) for _ in range(n)]
+        hx, hy, tx, ty = ([h[0] for h in heads], [h[1] for h in heads], [h[0] + h[2] for h in heads], [h[1] + h[2] for h in heads])
+        want = _plain_chains(hx, hy, tx, ty)
+        out = passages.run_chains(hx, hy, tx, ty)
+        assert sorted(i for c in out for i in c) == list(range(n))
+        for c in out:
+            assert all(0 < hx[j] - tx[i] <= passages.REACH and 0 < hy[j] - ty[i] <= passages.REACH for i, j in zip(c, c[1:]))
+        score = sum(tx[i] - hx[i] + passages.K for i in out[0]) - passages.GAP_COST * sum(hx[j] - tx[i] + hy[j] - ty[i] for i, j in zip(out[0], out[0][1:]))
+        assert score == pytest.approx(max(want.values()))
+        several += len(out[0]) > 2
+    assert several > 100
+
+
+def test_unrelated_anchors_leave_chains():
+    """Seeds of a passage with gaps as wide as allowed, and one seed anywhere off their diagonal."""
+    k, reach = passages.K, passages.REACH
+    for places in ([100, 100 + reach], [100, 103, 140, 150, 150 + reach, 200, 203]):
+        for off in (-90, -46, -20, 7, 30, 60):
+            for at in range(40, 300):
+                rows = sorted([(p, p + 500) for p in places] + [(at, at + 500 + off)])
+                if at in places:
+                    continue
+                x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+                b = passages.linked(np.full(len(x), 2), np.full(len(x), 1), x, y)
+                begin, end = min(b.column(2).to_pylist(), default=None), max(b.column(3).to_pylist(), default=None)
+                if len(places) == 2:  # two lone seeds: the chain may take the third seed in, but never loses its words to it
+                    assert begin is not None and begin <= places[0] + k + reach and end >= places[-1] - reach
+                else:
+                    assert begin <= places[0] and end >= places[-1] + k
 
 
 def test_winnowing_guarantee():
@@ -135,14 +155,18 @@ def test_chains_of_many_groups_are_those_of_each():
                 rows.append((d, o, x, y))
     rows = sorted(set(rows))
     d, o, x, y = (np.array(c, np.int64) for c in zip(*rows))
-    far = passages.MAX_GAP + passages.K
     want = []
     for k in sorted({r[:2] for r in rows}):
-        at = [i for i, r in enumerate(rows) if r[:2] == k]
-        for part in np.split(np.array(at), np.flatnonzero(np.diff(x[at]) > far) + 1):
-            for c in passages.chains(x[part], y[part]):
-                if len(c) > 1:
-                    want.append((*k, int(x[part[c[0]]]), int(x[part[c[-1]]]) + passages.K, int(y[part[c[0]]]), int(y[part[c[-1]]]) + passages.K, [(int(min(x[part[i]] + passages.K, x[part[j]])), int(x[part[j]])) for i, j in zip(c[:-1], c[1:]) if x[part[j]] - x[part[i]] != y[part[j]] - y[part[i]] or x[part[j]] - x[part[i]] > passages.K]))
+        at = sorted((r[3] - r[2], r[2]) for r in rows if r[:2] == k)
+        runs = [[at[0]]]
+        for last, r in zip(at, at[1:]):
+            runs[-1].append(r) if r[0] == last[0] and r[1] - last[1] <= passages.K else runs.append([r])
+        head, tail = ([(r[i][1], r[i][0] + r[i][1]) for r in runs] for i in (0, -1))
+        # gaps in x separate groups of their own, which changes nothing but the order of chains
+        for c in passages.run_chains(*zip(*head), *zip(*tail)):
+            anchors = [(p, p + q) for i in c for q, p in runs[i]]
+            if len(anchors) > 1:
+                want.append((*k, anchors[0][0], anchors[-1][0] + passages.K, anchors[0][1], anchors[-1][1] + passages.K, [(min(i[0] + passages.K, j[0]), j[0]) for i, j in zip(anchors, anchors[1:]) if j[0] - i[0] != j[1] - i[1] or j[0] - i[0] > passages.K]))
     b = passages.linked(d, o, x, y)
     cuts = [list(zip(v[::2], v[1::2])) for v in b.column(7).to_pylist()]
     assert sorted(zip(*(c.to_pylist() for c in b.columns[:6]), cuts)) == sorted(want) and len(want) > 40

@@ -82,7 +82,7 @@ def test_passages_are_found_after_their_first_document(spark, rows):
     spans = defaultdict(set)
     for r in found:
         spans[r["doc_id"]] |= set(range(r["begin_word"], r["end_word"]))
-        assert r["first_doc_id"] < r["doc_id"] and r["matched_words"] <= r["n_words"] and r["n_words"] >= passages.LEAST
+        assert r["earlier_doc_id"] < r["doc_id"] and r["matched_words"] <= r["n_words"] and r["n_words"] >= passages.LEAST
     seen: dict[tuple, int] = {}
     by_id = sorted((d, words_of(t)) for d, t in rows if d is not None)
     for d, w in by_id:
@@ -117,7 +117,7 @@ def test_passages_with_changed_words(spark):
         want[2 * k + 1] = {i for i, w in enumerate(q, 60) if w in p}
     got = defaultdict(set)
     for r in passages.passages(docs(spark, rows)).collect():
-        assert r["first_doc_id"] == r["doc_id"] - 1
+        assert r["earlier_doc_id"] == r["doc_id"] - 1
         got[r["doc_id"]] |= set(range(r["begin_word"], r["end_word"]))
     # brute force knows the words of every copy that stand in the passage
     assert [d for d in want if not want[d] <= got[d]] == []
