@@ -48,28 +48,40 @@ def size_tops(length: int) -> np.ndarray:
 
 
 def best_column(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack by dynamic programming: the most valuable pattern of items with these sizes."""
+    """Unbounded knapsack by dynamic programming: the most valuable pattern of items with these sizes.
+
+    Items come by falling price a place; one that others already fill its size with for as much is passed over. An item's
+    best number at every capacity is a running maximum along capacities that lie its size apart.
+    """
     value, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for c in range(1, capacity + 1):
-        fits = np.searchsorted(sizes, c, "right")
-        value[c] = value[c - 1]
-        if fits:
-            x = prices[:fits] + value[c - sizes[:fits]]
-            j = int(x.argmax())
-            if x[j] > value[c] + 1e-12:
-                value[c], took[c] = x[j], j
+    for j in np.argsort(-prices / sizes, kind="stable").tolist():
+        p, s = float(prices[j]), int(sizes[j])
+        if s > capacity or p <= value[s] + 1e-12:
+            continue
+        rows = capacity // s + 1
+        apart = np.full(rows * s, -np.inf)
+        apart[: capacity + 1] = value
+        paid = p * np.arange(rows)[:, None]
+        new = (np.maximum.accumulate(apart.reshape(rows, s) - paid, axis=0) + paid).ravel()[: capacity + 1]
+        up = new > value + 1e-12
+        value[up] = new[up]
+        took[up] = j
     column, c = np.zeros(len(sizes), np.int64), capacity
     while c > 0:
-        if took[c] < 0:
+        j = took[c]
+        if j < 0:
             c -= 1
         else:
-            column[took[c]] += 1
-            c -= sizes[took[c]]
-    return float(value[capacity]), column
+            column[j] += 1
+            c -= sizes[j]
+    return float(column @ prices), column
+
 
+def patterns(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Patterns {size: number} and how often to use each, so that exactly `counts` pieces of each size are placed.
 
-def patterns(counts: dict[int, int], capacity: int, rounds: int = 150) -> list[tuple[dict[int, int], int]]:
-    """Patterns {size: number} and how often to use each, so that exactly `counts` pieces of each size are placed."""
+    Columns are added until their number is proven to be within GAP of the linear program's optimum, however many that takes.
+    """
     sizes = np.array(sorted(s for s, c in counts.items() if c), np.int64)
     if not len(sizes):
         return []
@@ -94,24 +106,24 @@ def patterns(counts: dict[int, int], capacity: int, rounds: int = 150) -> list[t
         left -= x[k] * columns[:, k]
         left[done] = 0
         left[left < 1e-9] = 0
-    inverse = np.linalg.inv(columns)
-    for k in range(rounds):
-        if x.sum() <= (1 + GAP) * least:
-            break
+    # counts a little higher, so that columns never tie in leaving and no basis comes again
+    x += 1e-7 * np.maximum(x, 1) * np.arange(1, m + 1) / m
+    wanted, inverse, k = columns @ x, np.linalg.inv(columns), 0
+    while x.sum() > (1 + GAP) * least:
         value, column = best_column(inverse.sum(0), sizes, capacity)
-        if value <= 1 + GAP:  # the optimum is at least sum(x) / value (Farley)
-            break
+        least = max(least, x.sum() / value)  # the optimum is at least that (Farley)
         d = inverse @ column
         up = d > 1e-10
-        if not up.any():
+        if x.sum() <= (1 + GAP) * least or not up.any():
             break
         ratio = np.full(m, np.inf)
         ratio[up] = np.maximum(x[up], 0) / d[up]
         r = int(ratio.argmin())
         columns[:, r] = column
-        if k % 500 == 499:
+        k += 1
+        if k % 200 == 0:  # rounding errors do not add up
             inverse = np.linalg.inv(columns)
-            x = inverse @ demand
+            x = inverse @ wanted
         else:
             step = ratio[r]
             x -= step * d

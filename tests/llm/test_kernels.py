@@ -299,6 +299,22 @@ def test_license_texts():
     assert all(m == size and a == 0 for _, _, a, _, m, size in got)
 
 
+def test_patterns_reach_their_bound_over_many_classes():
+    """150 columns leave these 161 classes 0.15 % over the material bound."""
+    rng = np.random.default_rng(1)
+    tops = packing.size_tops(2048)
+    sizes = rng.choice(tops[tops >= 64], 161, False)
+    counts = {int(s): int(n) for s, n in zip(sizes, (rng.pareto(0.7, 161) * 300 + 1).astype(int))}
+    found = packing.patterns(counts, 2048)
+    assert all(sum(s * k for s, k in p.items()) <= 2048 for p, _ in found)
+    placed: dict[int, int] = {}
+    for p, n in found:
+        for s, k in p.items():
+            placed[s] = placed.get(s, 0) + n * k
+    assert placed == counts
+    assert sum(n for _, n in found) <= (1 + packing.GAP) * sum(s * n for s, n in counts.items()) / 2048 + len(counts)
+
+
 def test_knapsack_and_patterns():
     rng = np.random.default_rng(4)
     for _ in range(10):
