@@ -304,7 +304,7 @@ def test_patterns_reach_their_bound_over_many_classes():
     rng = np.random.default_rng(1)
     tops = packing.size_tops(2048)
     sizes = rng.choice(tops[tops >= 64], 161, False)
-    counts = {int(s): int(n) for s, n in zip(sizes, (rng.pareto(0.7, 161) * 300 + 1).astype(int))}
+    counts = {int(s): int(n) for s, n in zip(sizes, (rng.pareto(0.7, 161) * 30000 + 1).astype(int))}
     found = packing.patterns(counts, 2048)
     assert all(sum(s * k for s, k in p.items()) <= 2048 for p, _ in found)
     placed: dict[int, int] = {}
