@@ -99,6 +99,11 @@ def id_filter(ids: DataFrame):
     return ids.sparkSession.sparkContext.broadcast(np.packbits(sketch_sum(ids, fold, 1 << FILTER_LOG2, kind=np.uint8) > 0))
 
 
+def passes(bits: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """Which ids pass a filter, given as unpacked bits."""
+    return bits[_place(ids)] > 0
+
+
 def passing(rows: DataFrame, key: str, sent, inside: bool = True) -> DataFrame:
     """The rows whose key passes the filter, or those for which it surely does not. Null keys do not pass."""
     k = rows.columns.index(key)
@@ -107,7 +112,7 @@ def passing(rows: DataFrame, key: str, sent, inside: bool = True) -> DataFrame:
         bits = np.unpackbits(sent.value)
         for b in batches:
             ids = b.column(k)
-            yes = (bits[_place(ids.fill_null(0))] > 0) & ids.is_valid().to_numpy(zero_copy_only=False)
+            yes = passes(bits, ids.fill_null(0)) & ids.is_valid().to_numpy(zero_copy_only=False)
             yield b.filter(pa.array(yes == inside))
 
     return rows.mapInArrow(test, rows.schema)

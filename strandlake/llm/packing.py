@@ -150,14 +150,19 @@ def patterns(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
     return out
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, doc_hash, bin) of every piece of docs (doc_id, text); with_ids adds
-    the ids as little-endian bytes."""
-    tops = size_tops(length)
+def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, length: int, sent=None) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, doc_hash, bin) of every piece of docs (doc_id, text).
+
+    With a filter `sent` over ids (null counts as -1), only documents that pass it, and their ids as little-endian bytes. The
+    worker that encodes looks it up: a worker of its own would hold every text once more.
+    """
+    tops, with_ids = size_tops(length), sent is not None
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = tokens.encoder(tokenizer)
+        e, bits = tokens.encoder(tokenizer), np.unpackbits(sent.value) if with_ids else None
         for batch in batches:
+            if with_ids:
+                batch = batch.filter(pa.array(common.passes(bits, batch.column(0).fill_null(-1))))
             for piece in words.pieces(batch, "text"):
                 flat, starts, _ = e.encode(piece.column(1))
                 rows: tuple[list, ...] = ([], [], [], [], [], [])
@@ -253,10 +258,8 @@ def _filled(placed: DataFrame, docs: DataFrame, sequences: int, tokenizer: str,
     gaps = _on_a_line(gaps, ["sequence_id"], "room", bases(room[:last], 0))
     go = _on_a_line(go.select("doc_id", "start", "length", "doc_tokens", "doc_hash", "sequence_id", "nth", block), ["sequence_id", "nth"], "length", bases([sums.get(b, 0) for b in range(last, n)], last))
     # the ids of the pieces that go: only their documents are encoded again
-    key = common.fresh(docs.columns, "key")
-    keyed = docs.withColumn(key, F.coalesce("doc_id", F.lit(-1)))
-    some = common.passing(keyed, key, common.id_filter(go.select(F.coalesce("doc_id", F.lit(-1)).alias(key)))).select("doc_id", "text")
-    ids = cut_documents(some, tokenizer, end_id, length, with_ids=True).groupBy("doc_id", "start", "doc_tokens", "doc_hash").agg(F.first("ids").alias("ids"))
+    sent = common.id_filter(go.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id")))
+    ids = cut_documents(docs, tokenizer, end_id, length, sent).groupBy("doc_id", "start", "doc_tokens", "doc_hash").agg(F.first("ids").alias("ids"))
     same = [F.col(f"p.{c}").eqNullSafe(F.col(f"i.{c}")) for c in ("doc_id", "start", "doc_tokens", "doc_hash")]
     go = go.alias("p").join(ids.alias("i"), same[0] & same[1] & same[2] & same[3]).select("cell", "at", F.col("p.length").alias("size"), F.lit(1).alias("role"), F.col("p.doc_id"), F.col("p.start"), F.col("p.doc_tokens"), "ids", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("used"))
     none = lambda c, kind: F.lit(None).cast(kind).alias(c)
