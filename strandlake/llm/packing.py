@@ -251,7 +251,8 @@ def _filled(placed: DataFrame, docs: DataFrame, sequences: int, tokenizer: str,
 
     def bases(sizes: list[int], first: int) -> DataFrame:
         ends = np.cumsum([0, *sizes])
-        return spark.createDataFrame([(first + i, int(x)) for i, x in enumerate(ends[:-1])], "block long, base long")
+        # from Arrow: rows of Python objects go through workers of their own, with a daemon that stays
+        return spark.createDataFrame(pa.table({"block": np.arange(first, first + len(sizes)), "base": ends[:-1].astype(np.int64)}))
 
     stay, go = placed.where(F.col("sequence_id") < last * each), placed.where(F.col("sequence_id") >= last * each)
     gaps = used.where(F.col("sequence_id") < last * each).select("sequence_id", "used", (F.lit(length) - F.col("used")).alias("room"), block).where("room > 0")

@@ -368,7 +368,8 @@ def _fetched(chained: DataFrame, documents: DataFrame) -> DataFrame:
                     sizes.append([v - u for u, v in got])
                 yield pa.RecordBatch.from_arrays([chain, side_, b.column(1).take(pa.array(row)), other, lo, hi, solid, pa.array(raw, pa.binary()), pa.array(sizes, pa.list_(pa.int32()))], names=names)
 
-    out = texts.join(asks, "doc_id").select("text", "doc_id", "asks")
+    # by a shuffle, however small: the workers of the filter and of fetch() would live side by side in every task
+    out = texts.join(asks.hint("merge"), "doc_id").select("text", "doc_id", "asks")
     return out.mapInArrow(fetch, "chain long, side int, doc_id long, other long, lo int, hi int, solid int, words binary, sizes array<int>")
 
 
@@ -492,7 +493,8 @@ def without_passages(documents: DataFrame, least: int = LEAST) -> DataFrame:
     sent = common.id_filter(found.select("doc_id"))
     keyed = documents.withColumn(key, documents["doc_id"].cast("long"))
     clean = common.passing(keyed, key, sent, inside=False)
-    maybe = common.passing(keyed, key, sent).join(spans, F.col(key) == F.col(other), "left").drop(other)
+    # by a shuffle, however few spans: the workers of the filter and of cut() would live side by side in every task
+    maybe = common.passing(keyed, key, sent).join(spans.hint("merge"), F.col(key) == F.col(other), "left").drop(other)
     text, chars = documents.columns.index("text"), documents.columns.index("n_chars") if "n_chars" in documents.columns else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
