@@ -209,6 +209,19 @@ def test_growth_takes_a_strand_back():
     assert len(a.x) == n and a.edges == edges_ and sum(map(len, a.boxes.values())) == n
 
 
+def test_growth_merges_proposals_once_a_change(monkeypatch):
+    """Of hundreds of rejected positions none merges the proposals again; positions and spins are drawn as numpy's choice draws them."""
+    made = []
+    monkeypatch.setattr(growth, "Candidates", lambda *a, _=growth.Candidates: made.append(1) or _(*a))
+    a = growth.Assembly(np.ones((72, 72)), growth.Config(), 11)
+    a.grow(30)
+    assert len(a.x) == 30 and sum(a.rejected.values()) > 60 and len(made) <= 30
+    w = np.random.default_rng(1).random(50)
+    for seed in range(20):
+        drawn = growth.shares(w).searchsorted(np.random.default_rng(seed).random(), side="right")
+        assert drawn == np.random.default_rng(seed).choice(50, p=w / w.sum())
+
+
 def test_labels(spark):
     f = spark.createDataFrame([("d/mono_hc15_N1.bin",), ("x_C9_y.bin",), ("plain.bin",)], "file string")
     assert [r["label"] for r in labels.labelled(f).collect()] == ["C15", "C9", "Other"]
