@@ -1,6 +1,7 @@
 """Path operators over components of any size: breadth-first sweeps, weighted and turn-aware shortest paths, far pairs, backbones.
 
 Searches run on tiles (plans/tiled.py), so a component is spread over as many tasks as it needs; all components are searched at once.
+Turn-aware paths, path rows of backbones and longest paths of components that fit into a pack (plans/packed.py) are found there, by the same rules.
 The farthest node of a sweep is that of the largest cost (to nine digits), then of the smallest id. On a path a node's predecessor is the one
 with the smallest id among those on shortest paths; paths are rows, found by pointer doubling. Steps without length count as 1e-9 long.
 """
@@ -10,17 +11,19 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans import iterate
+from ..plans import iterate, packed
 from ..plans.tiled import Tiled, along_curve, numbered
 from . import graph
 
 KEY = ["run_id", "comp"]
 #: pairs of far nodes that are looked for: one less than this
 SEEDS = 8
-SHORTEST = 1e-9
+SHORTEST = packed.SHORTEST
+MODES = ("geodesic", "turnaware", "both")
 
 
 @dataclass
@@ -142,10 +145,26 @@ def turn_aware(net: Network, pairs: DataFrame, lam: float, by_length: bool = Fal
 
 def turn_aware_costs(points: DataFrame, edges: DataFrame, comps: DataFrame, lam: float = 0.5, by_length: bool = False) -> DataFrame:
     """(run_id, comp, a, b, cost, hops) of the turn-aware path between the double sweep's ends, for components with edges."""
-    net = network(points, edges, comps)
+    small, large, between = packed.parted(edges, comps)
+
+    def kernel(p: packed.Pack) -> dict:
+        a, b, labels = p.sweeps()
+        some = np.flatnonzero(labels[1][b] > 0)
+        cost, steps, _ = packed.Turns(p, lam, by_length).ways(a[some], b[some])
+        some, cost, steps = (v[np.isfinite(cost)] for v in (some, cost, steps))
+        return _keys(p, some) | {"a": p.ids[a[some]], "b": p.ids[b[some]], "cost": cost, "hops": steps.astype(np.int64)}
+
+    out = packed.solved(points, edges, small, kernel, "run_id long, comp long, a long, b long, cost double, hops long").withColumn("cost", F.round("cost", 6))
+    if large is None:
+        return out
+    net = network(points, between, large)
     ends = two_sweeps(net.graph(), net.nodes).where("steps > 0").withColumn("slot", F.lit(0))
     t = turn_aware(net, ends, lam, by_length)
-    return ends.select(*KEY, "a_id", "b_id").join(t, KEY).select(*KEY, F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round("cost", 6).alias("cost"), F.col("steps").cast("long").alias("hops"))
+    return out.unionByName(ends.select(*KEY, "a_id", "b_id").join(t, KEY).select(*KEY, F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round("cost", 6).alias("cost"), F.col("steps").cast("long").alias("hops")))
+
+
+def _keys(p: packed.Pack, of: np.ndarray) -> dict:
+    return {"run_id": p.run[of], "comp": p.comp[of]}
 
 
 def core_nodes(net: Network, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -158,7 +177,7 @@ def core_nodes(net: Network, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _ends(net: Network, edges: DataFrame, mode: str, lam: float, peel: bool) -> DataFrame:
     """(run_id, comp, a, b, steps, turned): ends and steps of each component's backbone, and whether it is a turn-aware path."""
-    if mode not in ("geodesic", "turnaware", "both"):
+    if mode not in MODES:
         raise ValueError(f"mode: {mode}")
     plain = two_sweeps(net.graph(), net.nodes).select(*KEY, "a", "b", "steps")
     if mode == "geodesic":
@@ -191,12 +210,47 @@ def backbones(points: DataFrame, edges: DataFrame, comps: DataFrame, mode: str =
 
 def backbone_nodes(points: DataFrame, edges: DataFrame, comps: DataFrame, mode: str = "both", lam: float = 0.5, peel: bool = True) -> DataFrame:
     """(run_id, comp, pos, id): the nodes of every component's backbone in order."""
-    net = network(points, edges, comps)
-    e = iterate.cut(_ends(net, edges, mode, lam, peel).withColumn("slot", F.lit(0)), "ends")
-    plain = path_nodes(net, e.where("not turned"))
+    if mode not in MODES:
+        raise ValueError(f"mode: {mode}")
+    small, large, between = packed.parted(edges, comps)
+    out = packed.solved(points, edges, small, lambda p: _packed_backbones(p, mode, lam, peel), "run_id long, comp long, pos long, id long")
+    if large is None:
+        return out
+    net = network(points, between, large)
+    e = iterate.cut(_ends(net, between, mode, lam, peel).withColumn("slot", F.lit(0)), "ends")
+    out = out.unionByName(path_nodes(net, e.where("not turned")))
     if mode == "geodesic":
-        return plain
-    return plain.unionByName(turn_aware_nodes(net, e.where("turned"), lam))
+        return out
+    return out.unionByName(turn_aware_nodes(net, e.where("turned"), lam))
+
+
+def _packed_backbones(p: packed.Pack, mode: str, lam: float, peel: bool) -> dict:
+    """The rows of backbone_nodes() for a pack; its ends by the rules of _ends()."""
+    a, b, labels = p.sweeps()
+    turned, turns, ta, tb = np.zeros(len(a), bool), None, a, b
+    if mode != "geodesic":
+        if peel:
+            core = p.core()
+            ca, cb, _ = p.only(core[p.u] & core[p.v]).sweeps(among=core)
+            both = core[a] & core[b]
+            ta, tb = np.where(both, ca, a), np.where(both, cb, b)
+        some, turns = np.flatnonzero(labels[1][b] > 0), packed.Turns(p, lam, False)
+        steps = turns.ways(ta[some], tb[some])[1]
+        turned[some] = np.isfinite(steps) if mode == "turnaware" else steps > labels[1][b[some]]
+    plain = np.flatnonzero(~turned)
+    up = packed.before(p.src, p.dst, np.ones(len(p.src)), labels[0], np.arange(p.n))
+    which, nodes, pos = packed.traced(up, b[plain])
+    rows = [(plain[which], pos, nodes)]
+    bent = np.flatnonzero(turned)
+    if len(bent):
+        cost = turns.from_nodes(ta[bent])[0]
+        at, of = turns.into(tb[bent])
+        order = np.lexsort((p.src[at], np.round(cost[at], 9), of))
+        _, firsts = np.unique(of[order], return_index=True)
+        which, states, pos = packed.traced(packed.before(turns.tail, turns.to, turns.cost, cost, p.src), at[order[firsts]])
+        rows += [(bent, np.zeros(len(bent), np.int64), ta[bent]), (bent[which], pos + 1, p.dst[states])]
+    of, pos, nodes = (np.concatenate(v) for v in zip(*rows))
+    return _keys(p, of) | {"pos": pos, "id": p.ids[nodes]}
 
 
 def path_nodes(net: Network, pairs: DataFrame, by_length: bool = False) -> DataFrame:
@@ -304,11 +358,75 @@ def geometric_backbones(net: Network, edges: DataFrame, lam: float = 0.5, seeds:
     return best.unionByName(far)
 
 
+def _packed_pairs(p: packed.Pack, among: np.ndarray | None, seeds: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, cost) by component of a pack for every slot of far_pairs()."""
+    seed, least, out = p.top(-np.diff(p.begin).astype(float), among, None), None, []
+    for _ in range(max(1, seeds - 1)):
+        d = p.from_nodes(seed, True)[0]
+        least = d if least is None else np.where(np.isfinite(least) & np.isfinite(d), np.minimum(least, d), np.inf)
+        a, seed = p.top(d, among), p.top(least, among)
+        b, cost, new = np.full(len(a), -1), np.full(len(a), -np.inf), a >= 0
+        for before in out:  # a node that was one seed's farthest before is not searched from again
+            same = before[0] == a
+            b, cost, new = np.where(same, before[1], b), np.where(same, before[2], cost), new & ~same
+        d = p.from_nodes(np.where(new, a, -1), True)[0]
+        far = p.top(d, among)
+        found = np.flatnonzero(new & (far >= 0))
+        b[found], cost[found] = far[found], d[far[found]]
+        out.append((a, b, cost))
+    return out
+
+
+def _packed_axis(p: packed.Pack, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of _axis_ends() by component of a pack, -1 where it has none of the nodes; places count from the component's first node."""
+    g, k = p.group[among], len(p.first)
+    x, y = p.x - p.x[p.first][p.group], p.y - p.y[p.first][p.group]
+    n = np.maximum(np.bincount(g, minlength=k), 1)
+    cx, cy = x - (np.bincount(g, x[among], k) / n)[p.group], y - (np.bincount(g, y[among], k) / n)[p.group]
+    xx, yy, xy = (np.bincount(g, v[among], k) for v in (cx * cx, cy * cy, cx * cy))
+    t = (0.5 * np.arctan2(2 * xy, xx - yy))[p.group]
+    along = cx * np.cos(t) + cy * np.sin(t)
+    return p.top(-along, among), p.top(along, among)
+
+
+def _packed_longest(p: packed.Pack, lam: float, seeds: int) -> dict:
+    """The rows of longest_paths() for a pack, before rounding; all by the rules of far_pairs(), tree_diameters() and geometric_backbones()."""
+    a, b, labels = p.sweeps(True)
+    far, steps = labels[0][b], labels[1][b]
+    best = np.max([cost for _, _, cost in _packed_pairs(p, None, seeds)], axis=0)
+    ta, tb, _ = p.only(p.largest_tree()).sweeps(True)
+    tree = p.from_nodes(ta, True)[0][tb]
+    core = p.core()
+    bone, nodes, top = far.copy(), steps + 1, np.where(p.top(np.zeros(p.n), core) >= 0, -np.inf, np.inf)
+    turns = packed.Turns(p, lam, True)
+    ends = p.sweeps(True, core)[:2]
+    asked: list = []
+    for s, t in [_packed_axis(p, core), *[pair[:2] for pair in _packed_pairs(p, core, seeds)], ends]:
+        new = (s >= 0) & (t >= 0)
+        for x, y in asked:  # equal pairs are searched once
+            new &= (x != s) | (y != t)
+        asked.append((s, t))
+        new = np.flatnonzero(new)
+        _, hops, length = turns.ways(s[new], t[new])
+        longer = np.round(length, 9) > top[new]
+        at = new[longer]
+        top[at], bone[at], nodes[at] = np.round(length[longer], 9), length[longer], hops[longer] + 1
+    some = np.flatnonzero(steps > 0)
+    sizes = {"far_length": far, "best_length": best, "tree_length": tree, "backbone_length": bone}
+    return _keys(p, some) | {"a": p.ids[a[some]], "b": p.ids[b[some]]} | {k: v[some] for k, v in sizes.items()} | {"backbone_nodes": nodes[some].astype(np.int64)}
+
+
 def longest_paths(points: DataFrame, edges: DataFrame, comps: DataFrame, lam: float = 0.5, seeds: int = SEEDS) -> DataFrame:
     """Lengths by component with edges: farthest pair, best of the far pairs, spanning-tree diameter on the graph, and the geometric backbone."""
-    net = network(points, edges, comps)
+    small, large, between = packed.parted(edges, comps)
+    sizes = ["far_length", "best_length", "tree_length", "backbone_length"]
+    out = packed.solved(points, edges, small, lambda p: _packed_longest(p, lam, seeds), f"run_id long, comp long, a long, b long, {', '.join(f'{c} double' for c in sizes)}, backbone_nodes long")
+    out = out.withColumns({c: F.round(c, 6) for c in sizes})
+    if large is None:
+        return out
+    net = network(points, between, large)
     far = two_sweeps(net.graph(True), net.nodes).where("steps > 0").select(*KEY, F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round("cost", 6).alias("far_length"))
     best = far_pairs(net, net.nodes, seeds).groupBy(*KEY).agg(F.round(F.max("cost"), 6).alias("best_length"))
-    tree = tree_diameters(net, points, edges).select(*KEY, F.round("length", 6).alias("tree_length"))
-    bone = geometric_backbones(net, edges, lam, seeds).select(*KEY, F.round("length", 6).alias("backbone_length"), (F.col("steps") + 1).cast("long").alias("backbone_nodes"))
-    return far.join(best, KEY).join(tree, KEY).join(bone, KEY)
+    tree = tree_diameters(net, points, between).select(*KEY, F.round("length", 6).alias("tree_length"))
+    bone = geometric_backbones(net, between, lam, seeds).select(*KEY, F.round("length", 6).alias("backbone_length"), (F.col("steps") + 1).cast("long").alias("backbone_nodes"))
+    return out.unionByName(far.join(best, KEY).join(tree, KEY).join(bone, KEY).select(out.columns))
